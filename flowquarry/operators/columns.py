@@ -98,6 +98,18 @@ def column_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     })
 
 
+def column_overview(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Per column: whether over 80 % of its non-null values read as numbers, and its distinct non-null values."""
+    cols = list(cols or df.columns)
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).cast("string").alias("value")) for c in cols])
+    values = df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count("*").alias("n"))
+    present = F.sum(F.when(F.col("value").isNotNull(), F.col("n")))
+    numeric = F.coalesce(F.sum(F.when(parse_double("value").isNotNull(), F.col("n"))), F.lit(0))
+    return values.groupBy("column").agg(
+        (F.coalesce(F.try_divide(numeric, present), F.lit(0.0)) > 0.8).alias("is_numeric"),
+        F.count("value").alias("unique_count"))
+
+
 def numeric_columns(profile: DataFrame, min_share: float = 0.7, of_present: bool = False) -> DataFrame:
     """Columns whose share of readable numbers is above ``min_share``."""
     share = "numeric_share_of_present" if of_present else "numeric_share"

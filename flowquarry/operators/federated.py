@@ -52,11 +52,15 @@ def noise_updates(clipped: DataFrame, sigma: float, clip: float, seed: int, per_
 
 
 def indicative_epsilon(scenarios: DataFrame) -> DataFrame:
-    """steps * (batch / rows) / sigma^2 with a floor on rows: an indication, not a privacy accountant."""
+    """steps * (batch / rows) / sigma^2 with a floor on rows, NULL without noise.
+
+    An indication, not a privacy accountant.
+    """
     steps = F.col("rounds") * F.col("num_clients") * F.col("local_epochs")
     rows = F.greatest(F.lit(10000), F.col("batch_size") * F.col("num_clients") * 100)
-    sigma2 = F.greatest(F.col("noise_multiplier") * F.col("noise_multiplier"), F.lit(1e-6))
-    return scenarios.withColumn("epsilon", steps * (F.col("batch_size") / rows) / sigma2)
+    sigma = F.col("noise_multiplier")
+    estimate = steps * (F.col("batch_size") / rows) / F.greatest(sigma * sigma, F.lit(1e-6))
+    return scenarios.withColumn("epsilon", F.when(sigma.isNotNull(), estimate))
 
 
 def ciphertext_count(length: Column, degree: int = 8192) -> Column:

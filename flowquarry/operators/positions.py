@@ -84,14 +84,14 @@ def hash_positions(
     offsets = counts.select(
         "_g", "_slice",
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_n").over(whole).alias("_size"),
+        F.sum("_n").over(whole).alias("_group_rows"),
     )
     inside = Window.partitionBy("_g", "_slice").orderBy(*order)
     out = sliced.join(offsets, ["_g", "_slice"]).withColumn(
         pos, (F.col("_before") + F.row_number().over(inside) - 1).cast("long"))
     if size:
-        out = out.withColumn(size, F.col("_size").cast("long"))
-    return out.drop("_g", "_slice", "_before", "_size")
+        out = out.withColumn(size, F.col("_group_rows").cast("long"))
+    return out.drop("_g", "_slice", "_before", "_group_rows")
 
 
 def first_by_hash(

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowquarry.config import WINDOW_PRESETS
@@ -55,6 +55,10 @@ def windows_from_positions(
     )
 
 
+def _field(name: str) -> Callable[[Column], Column]:
+    return lambda r: r[name]
+
+
 def window_columns(cut: DataFrame, group_cols: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
     """Matrix, label of the last row and kept arrays of windows cut from (_x, _label, kept columns)."""
     return cut.select(
@@ -62,7 +66,7 @@ def window_columns(cut: DataFrame, group_cols: Sequence[str] = (), keep: Sequenc
         "window_id",
         F.transform("rows", lambda r: r["_x"]).alias("x"),
         F.element_at("rows", -1)["_label"].alias("label"),
-        *[F.transform("rows", lambda r, c=c: r[c]).alias(c) for c in keep],
+        *[F.transform("rows", _field(c)).alias(c) for c in keep],
     )
 
 

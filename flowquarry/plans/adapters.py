@@ -76,7 +76,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         vectors(spark, sf_dir).withColumn("_p", powers).withColumn("_s", summed)
         .select("id", F.col("label_id").alias("y_true"),
-                F.transform("_p", lambda v: v / F.col("_s")).alias("proba"),
+                F.transform("_p", lambda v: F.round(v / F.col("_s"), 9)).alias("proba"),
                 (F.array_position(best, F.array_max(best)) - 1).cast("int").alias("y_pred"))
     )
 
