@@ -81,17 +81,15 @@ def column_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     One pass over the table; the result has one row per column.
     """
     cols = list(cols or df.columns)
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs += [F.count(quoted(c)).alias(f"present_{i}"), F.count(readable(df, c)).alias(f"numeric_{i}"),
-                 F.var_samp(number(df, c)).alias(f"variance_{i}")]
-    one = df.agg(F.count("*").alias("rows"), *aggs)
-    entries = [
-        F.struct(F.lit(c).alias("column"), F.col("rows"), F.col(f"present_{i}").alias("present"),
-                 F.col(f"numeric_{i}").alias("numeric"), F.col(f"variance_{i}").alias("variance"))
-        for i, c in enumerate(cols)
-    ]
-    return one.select(F.inline(F.array(*entries))).withColumns({
+    narrow = df.select(
+        *[quoted(c).isNotNull().alias(f"_p{i}") for i, c in enumerate(cols)],
+        *[readable(df, c).alias(f"_v{i}") for i, c in enumerate(cols)])
+    cells = [x for i, c in enumerate(cols) for x in (F.lit(c), F.col(f"_p{i}"), F.col(f"_v{i}"))]
+    long = narrow.select(F.stack(F.lit(len(cols)), *cells).alias("column", "_present", "_value"))
+    return long.groupBy("column").agg(
+        F.count("*").alias("rows"), F.count_if("_present").alias("present"), F.count("_value").alias("numeric"),
+        F.var_samp(finite_or_zero(F.col("_value"))).alias("variance"),
+    ).withColumns({
         "present_share": F.try_divide("present", "rows"),
         "numeric_share": F.try_divide("numeric", "rows"),
         "numeric_share_of_present": F.try_divide("numeric", "present"),
@@ -156,8 +154,18 @@ def compare_columns(profile: DataFrame, wanted: DataFrame) -> DataFrame:
     return both.select("column", status.alias("status"), F.coalesce("present", F.lit(0)).alias("present"))
 
 
-def long_form(df: DataFrame, features: Sequence[str], keep: Sequence[str | Column] = ()) -> DataFrame:
-    """One row per (row, feature): kept columns, ``feature``, ``value`` as a finite double."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), number(df, c).alias("value")) for c in features])
-    kept = [quoted(c) if isinstance(c, str) else c for c in keep]
-    return df.select(*kept, F.inline(pairs))
+def long_form(
+    df: DataFrame, features: Sequence[str], keep: Sequence[str] = (), nulls: bool = False
+) -> DataFrame:
+    """One row per (row, feature): kept columns, ``feature`` and ``value``.
+
+    ``value`` is a finite double, or NULL where it cannot be read if ``nulls`` is
+    set. Aggregating this by feature is several times faster than one aggregate
+    per column, whose generated code outgrows the compiler on wide tables.
+    """
+    read = readable if nulls else number
+    kept = [f"_k{i}" for i in range(len(keep))]
+    narrow = df.select(
+        *[quoted(c).alias(k) for c, k in zip(keep, kept)], *[read(df, f).alias(f) for f in features])
+    long = narrow.unpivot(kept, [f"`{f}`" for f in features], "feature", "value")
+    return long.withColumnsRenamed(dict(zip(kept, keep)))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowquarry.operators.columns import number
-from flowquarry.operators.profiling import correlation_matrix, per_feature
+from flowquarry.operators.profiling import correlations, per_feature
 
 # Shares of variance that are reported.
 VARIANCE_TARGETS = (0.80, 0.90, 0.95, 0.99)
@@ -38,9 +38,7 @@ def fit_components(df: DataFrame, features: Sequence[str]) -> Components:
     Spark reduces the rows to one matrix of columns x columns; only that is solved on the driver.
     """
     d = len(features)
-    matrix = np.zeros((d, d))
-    for r in correlation_matrix(df, features).select("i", "j", "r").collect():
-        matrix[r["i"], r["j"]] = r["r"]
+    matrix = correlations(df, features)
     moments = {r["feature"]: r for r in per_feature(df, features, {"mean": F.avg, "sd": F.stddev_pop}).collect()}
     values, vectors = np.linalg.eigh(matrix)
     order = np.argsort(values)[::-1]

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowquarry.session import settle
+from flowquarry.session import settle, settle_measured
 
 SLICE_DIGITS = 4  # 65,536 slices per group
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -40,12 +40,6 @@ def _group_key(group_cols: Sequence[str]) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in group_cols]) if group_cols else F.struct(F.lit(0).alias("all"))
 
 
-def table_bytes(df: DataFrame) -> int:
-    """Size of the rows as text, summed on the executors."""
-    row = df.select(F.sum(F.length(F.to_json(F.struct("*"))).cast("long")).alias("b")).first()
-    return int(row["b"] or 0)
-
-
 def attach(df: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a table of one row per key; its measured size picks the join.
 
@@ -53,8 +47,8 @@ def attach(df: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "inner")
     Above it the keys are salted, so a key that holds a large share of ``df``
     still spreads over ``SALTS`` tasks.
     """
-    dim = settle(dim, "dim")
-    if table_bytes(dim) <= BROADCAST_BYTES:
+    dim, size = settle_measured(dim, "dim")
+    if size <= BROADCAST_BYTES:
         return df.join(F.broadcast(dim), list(on), how)
     return salted_join(df, dim, on, how)
 
@@ -133,14 +127,10 @@ def first_by_hash(
 def _ranged(df: DataFrame, group_cols: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Settled table, range-partitioned and sorted by (group, order), with row and range numbers."""
     keys = [F.col(f"`{c}`") for c in (*group_cols, *order)]
-    return settle(
-        df.withColumn("_g", _group_key(group_cols))
-        .repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_row", F.monotonically_increasing_id())
-        .withColumn("_range", F.shiftright("_row", 33)),
-        "ranged",
-    )
+    ranged = settle(
+        df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_row", F.monotonically_increasing_id()),
+        "ranged")
+    return ranged.withColumns({"_g": _group_key(group_cols), "_range": F.shiftright("_row", 33)})
 
 
 def _earlier_ranges(ranged: DataFrame, sums: dict[str, Column]) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from flowquarry.functions.addresses import anonymize_long, ip_to_long, key_digest, long_to_ip
 from flowquarry.operators.columns import quoted
-from flowquarry.operators.positions import BROADCAST_BYTES, attach, table_bytes
-from flowquarry.session import settle
+from flowquarry.operators.positions import BROADCAST_BYTES, attach
+from flowquarry.session import settle_measured
 
 
 def _anonymized(df: DataFrame, ip: str, out: str, key: bytes) -> DataFrame:
@@ -22,7 +22,9 @@ def _anonymized(df: DataFrame, ip: str, out: str, key: bytes) -> DataFrame:
 def ip_mapping(df: DataFrame, ip_cols: Sequence[str], key: bytes) -> DataFrame:
     """(ip, anon_ip) for every distinct address of the columns; unreadable ones and 0.0.0.0 map to themselves."""
     ips = df.select(F.explode(F.array(*[quoted(c) for c in ip_cols])).alias("ip")).filter("ip IS NOT NULL").distinct()
-    return _anonymized(ips, "ip", "anon_ip", key)
+    # 32 digests per address: a small table, spread over all cores all the same.
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, 1)
+    return _anonymized(ips.repartition(tasks, "ip"), "ip", "anon_ip", key)
 
 
 def anonymize(df: DataFrame, ip_cols: Sequence[str], key: bytes) -> DataFrame:
@@ -31,8 +33,8 @@ def anonymize(df: DataFrame, ip_cols: Sequence[str], key: bytes) -> DataFrame:
     Few distinct addresses: each is computed once and looked up by a broadcast
     join. Many: the expression runs row by row, which needs no shuffle at all.
     """
-    mapping = settle(ip_mapping(df, ip_cols, key), "ips")
-    small = table_bytes(mapping) <= BROADCAST_BYTES
+    mapping, size = settle_measured(ip_mapping(df, ip_cols, key), "ips")
+    small = size <= BROADCAST_BYTES
     for c in ip_cols:
         if small:
             lookup = mapping.select(F.col("ip").alias(c), F.col("anon_ip").alias("_new"))

@@ -1,7 +1,7 @@
 """Feature statistics: profiles, tests of attack against benign, rankings.
 
-Moments come from one wide aggregate (no shuffle of rows). Everything that needs
-the distinct values of a feature (distinct counts, Kolmogorov-Smirnov, quantiles)
+Moments are aggregated by feature before any shuffle. Everything that needs the
+distinct values of a feature (distinct counts, Kolmogorov-Smirnov, quantiles)
 shares one table of value counts, where a value that fills a third of the rows is
 a single row.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
@@ -28,19 +29,13 @@ MAX_MATRIX_COLUMNS = 4096
 def per_feature(
     df: DataFrame, features: Sequence[str], stats: dict[str, Stat], by: Sequence[str] = (), nulls: bool = False
 ) -> DataFrame:
-    """One row per feature (and group) with the given aggregates, from one aggregation of the table.
+    """One row per feature (and group) with the given aggregates, from one pass over the table.
 
-    Unreadable values count as 0, or are left out when ``nulls`` is set.
+    Unreadable values count as 0, or are left out when ``nulls`` is set. Tasks
+    aggregate before the shuffle, so only features x groups rows move.
     """
-    read = readable if nulls else number
-    narrow = df.select(*[quoted(b) for b in by], *[read(df, f).alias(f"_f{i}") for i, f in enumerate(features)])
-    aggs = [fn(F.col(f"_f{i}")).alias(f"_f{i}_{s}") for i in range(len(features)) for s, fn in stats.items()]
-    wide = narrow.groupBy(*by).agg(*aggs)
-    entries = [
-        F.struct(F.lit(f).alias("feature"), *[F.col(f"_f{i}_{s}").alias(s) for s in stats])
-        for i, f in enumerate(features)
-    ]
-    return wide.select(*[quoted(b) for b in by], F.inline(F.array(*entries)))
+    long = long_form(df, features, by, nulls)
+    return long.groupBy(*by, "feature").agg(*[fn(F.col("value")).alias(s) for s, fn in stats.items()])
 
 
 # --- shared tables -----------------------------------------------------------
@@ -97,20 +92,11 @@ def numeric_profile(
 
 def class_moments(df: DataFrame, features: Sequence[str], flag: str = "is_attack") -> DataFrame:
     """n, mean and sample variance of attack and benign rows, one row per feature."""
-    # The flag is carried into each expression, so a single pass serves both classes.
-    marked = df.withColumn("_attack", quoted(flag))
-    narrow = marked.select("_attack", *[number(df, f).alias(f"_f{i}") for i, f in enumerate(features)])
-    aggs = [F.count_if(F.col("_attack")).alias("n_attack"), F.count_if(~F.col("_attack")).alias("n_benign")]
-    for i in range(len(features)):
-        for cls, chosen in (("attack", F.col("_attack")), ("benign", ~F.col("_attack"))):
-            value = F.when(chosen, F.col(f"_f{i}"))
-            aggs += [F.avg(value).alias(f"_f{i}_{cls}_mean"), F.var_samp(value).alias(f"_f{i}_{cls}_var")]
-    entries = [
-        F.struct(F.lit(f).alias("feature"), *[
-            F.col(f"_f{i}_{cls}_{s}").alias(f"{cls}_{s}") for cls in ("attack", "benign") for s in ("mean", "var")])
-        for i, f in enumerate(features)
-    ]
-    return narrow.agg(*aggs).select("n_attack", "n_benign", F.inline(F.array(*entries)))
+    by_class = per_feature(df, features, {"n": F.count, "mean": F.avg, "var": F.var_samp}, [flag])
+    sides = (("attack", F.col(flag)), ("benign", ~F.col(flag)))
+    return by_class.groupBy("feature").agg(
+        *[F.coalesce(F.max(F.when(side, F.col("n"))), F.lit(0)).alias(f"n_{cls}") for cls, side in sides],
+        *[F.max(F.when(side, F.col(s))).alias(f"{cls}_{s}") for cls, side in sides for s in ("mean", "var")])
 
 
 def effect_sizes(moments: DataFrame) -> DataFrame:
@@ -245,8 +231,7 @@ def density_histogram(df: DataFrame, features: Sequence[str], bins: int = 30) ->
         "feature", "rows",
         F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
         F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
-    values = F.array(*[F.struct(F.lit(f).alias("feature"), readable(df, f).alias("value")) for f in features])
-    long = df.select(F.inline(values)).filter("value IS NOT NULL")
+    long = long_form(df, features, nulls=True).filter("value IS NOT NULL")
     width = (F.col("hi") - F.col("lo")) / bins
     bin_no = F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1)).cast("int")
     placed = attach(long, edges, ["feature"]).groupBy("feature", bin_no.alias("bin"), "lo", "hi", "rows").agg(
@@ -334,15 +319,20 @@ def analysis_summary(scored: DataFrame) -> DataFrame:
 
 # --- correlation -------------------------------------------------------------
 
-def correlation_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(i, j, feature1, feature2, r) for all pairs; the rows are reduced to one square matrix on the executors.
+def correlations(df: DataFrame, features: Sequence[str]) -> np.ndarray:
+    """Pearson matrix: the rows are reduced to one matrix of columns x columns on the executors.
 
     Only that matrix, bounded by the number of columns, reaches the driver.
     """
     if len(features) > MAX_MATRIX_COLUMNS:
         raise ValueError(f"at most {MAX_MATRIX_COLUMNS} columns")
     vectors = df.select(array_to_vector(F.array(*[number(df, f) for f in features])).alias("v"))
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+    return Correlation.corr(vectors, "v").first()[0].toArray()
+
+
+def correlation_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(i, j, feature1, feature2, r) for all pairs."""
+    matrix = correlations(df, features)
     rows = [(i, j, features[i], features[j], float(matrix[i, j]))
             for i in range(len(features)) for j in range(len(features))]
     return df.sparkSession.createDataFrame(rows, "i int, j int, feature1 string, feature2 string, r double")

@@ -46,27 +46,34 @@ def per_file_quota(target: int, files: int) -> int:
     return max(1, target // files)
 
 
-def rare_labels(attack: DataFrame, target: int, label: str = "label", source: str = "source") -> DataFrame:
-    """Counts per attack label with the per-source quota and ``is_rare``: fewer rows than 80 % of that quota."""
-    per_source = settle(
-        attack.groupBy(quoted(label).alias("label"), quoted(source).alias("source")).agg(F.count("*").alias("n")),
-        "attack-counts")
-    files = per_source.select("source").distinct().count()
-    quota = per_file_quota(target, max(1, files))
+def _source_counts(attack: DataFrame, label: str, source: str) -> DataFrame:
+    counts = attack.groupBy(quoted(label).alias("label"), quoted(source).alias("source")).agg(F.count("*").alias("n"))
+    return settle(counts, "attack-counts")
+
+
+def _mark_rare(per_source: DataFrame, target: int) -> DataFrame:
+    quota = per_file_quota(target, max(1, per_source.select("source").distinct().count()))
     return per_source.groupBy("label").agg(F.sum("n").alias("n")).select(
         "label", "n", F.lit(quota).alias("quota"), (F.col("n") < quota * 0.8).alias("is_rare"))
 
 
+def rare_labels(attack: DataFrame, target: int, label: str = "label", source: str = "source") -> DataFrame:
+    """Counts per attack label with the per-source quota and ``is_rare``: fewer rows than 80 % of that quota."""
+    return _mark_rare(_source_counts(attack, label, source), target)
+
+
 def sample_attacks(
     attack: DataFrame, target: int, seed: int, key: str, label: str = "label", source: str = "source"
 ) -> DataFrame:
     """All rows of rare labels; the rest of each source's quota from common labels; full duplicates dropped."""
-    marks = settle(rare_labels(attack, target, label, source), "rare")
-    marked = attach(attack, marks.select(F.col("label").alias(label), "quota", "is_rare"), [label])
-    rare = marked.filter("is_rare").drop("quota", "is_rare")
-    left = marked.groupBy(source).agg(
-        F.greatest(F.max("quota") - F.count_if(F.col("is_rare")), F.lit(0)).alias("quota"))
-    common = marked.filter("NOT is_rare").drop("quota", "is_rare").withColumn("_order", order_hash(seed, key))
+    per_source = _source_counts(attack, label, source)
+    marks = settle(_mark_rare(per_source, target), "rare")
+    marked = attach(attack, marks.select(F.col("label").alias(label), "is_rare"), [label])
+    rare = marked.filter("is_rare").drop("is_rare")
+    rare_rows = F.sum(F.when(F.col("is_rare"), F.col("n")).otherwise(0))
+    left = per_source.join(marks.select("label", "quota", "is_rare"), "label").groupBy("source").agg(
+        F.greatest(F.max("quota") - rare_rows, F.lit(0)).alias("quota")).withColumnRenamed("source", source)
+    common = marked.filter("NOT is_rare").drop("is_rare").withColumn("_order", order_hash(seed, key))
     filled = first_by_hash(common, [source], ["_order", key], left).drop("_order")
     return rare.unionByName(filled).dropDuplicates()
 
@@ -111,12 +118,11 @@ def shuffled(df: DataFrame, seed: int, key: str, pos: str = "shuffle_pos") -> Da
 def oversample(df: DataFrame, required: int, seed: int, key: str, label: str = "label") -> DataFrame:
     """Classes with fewer than ``required`` rows get that many, by draws with replacement.
 
-    Only rows of such classes (each under ``required`` rows) are numbered and
-    copied; draw j of a class takes the row at position md5(seed|label|j) mod n.
+    Only rows of such classes are numbered and copied; draw j of a class takes the row at position md5(seed|label|j) mod n.
     """
     counts = label_counts(df, label).filter(F.col("n") < required).withColumnRenamed("label", label)
     small = settle(attach(df, counts, [label]).withColumn("_order", order_hash(seed, key)), "small-classes")
-    numbered = small.withColumn("_pos", F.row_number().over(Window.partitionBy(label).orderBy("_order", key)) - 1)
+    numbered = hash_positions(small, [label], ["_order", key], "_pos")
     drawn = order_hash(seed, label, F.col("_draw").cast("string"))
     draws = counts.select(label, "n", F.explode(F.sequence(F.lit(0), F.lit(required) - F.col("n") - 1)).alias("_draw"))
     draws = draws.select(

@@ -75,7 +75,7 @@ def model_ready_cache(spark, sf_dir):
     config = StudyConfig(features=EVENT_FEATURES)
     cache.load_or_build(spark, root, config, [sf_dir], build)
     rows, _ = cache.load_or_build(spark, root, config, [sf_dir], build)
-    return rows.select("window_id", "label").crossJoin(rows.agg(F.count("*").alias("windows")))
+    return rows.select("window_id", "label", rows.agg(F.count("*")).scalar().alias("windows"))
 
 
 AUDIT = "SELECT label, count(*) AS n, round(count(*) / (SELECT count(*) FROM flows) * 100, 2) AS percent FROM flows GROUP BY label"

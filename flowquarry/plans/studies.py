@@ -88,7 +88,7 @@ def feature_study(
     categories = [c for c in columns if c not in numeric]
     scored: DataFrame | None = None
     if numbers:
-        ranks = profiling.value_ranks(df, numbers, flag)
+        ranks = settle(profiling.value_ranks(df, numbers, flag), "ranks")
         scored = profiling.numeric_importance(
             profiling.numeric_profile(df, numbers, ranks),
             profiling.effect_sizes(profiling.class_moments(df, numbers, flag)),

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -59,3 +60,11 @@ def settle(df: DataFrame, name: str = "step") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settle_measured(df: DataFrame, name: str = "step") -> tuple[DataFrame, int]:
+    """Settled table and the size of its rows as text, measured by the job that writes it."""
+    seen = Observation()
+    size = F.sum(F.length(F.to_json(F.struct("*"))).cast("long"))
+    settled = settle(df.observe(seen, size.alias("bytes")), name)
+    return settled, int(seen.get["bytes"] or 0)
