@@ -53,9 +53,10 @@ def anonymize_long(column: str, key: bytes) -> Column:
     as a 32-bit number), so two addresses share exactly the prefix they shared before.
     """
     prefix = f"shiftleft(shiftright(`{column}`, 32 - i), 32 - i)"
-    digest = f"sha2(concat(unhex('{pad_key(key).hex()}'), unhex(lpad(hex({prefix}), 8, '0'))), 256)"
-    mask = f"cast(conv(substr({digest}, 1, 8), 16, 10) as bigint)"
+    digest = f"sha2(concat(X'{pad_key(key).hex()}', unhex(lpad(hex({prefix}), 8, '0'))), 256)"
+    # Only the hex digit that holds bit i of the digest is read.
+    mask = f"shiftright(instr('0123456789abcdef', substr({digest}, i div 4 + 1, 1)) - 1, 3 - i % 4)"
     return F.expr(
         "aggregate(sequence(0, 31), 0L, (acc, i) -> acc + "
-        f"shiftleft(shiftright(`{column}` ^ {mask}, 31 - i) & 1L, 31 - i))"
+        f"shiftleft((shiftright(`{column}`, 31 - i) ^ cast({mask} as bigint)) & 1L, 31 - i))"
     )

@@ -22,9 +22,8 @@ def _anonymized(df: DataFrame, ip: str, out: str, key: bytes) -> DataFrame:
 def ip_mapping(df: DataFrame, ip_cols: Sequence[str], key: bytes) -> DataFrame:
     """(ip, anon_ip) for every distinct address of the columns; unreadable ones and 0.0.0.0 map to themselves."""
     ips = df.select(F.explode(F.array(*[quoted(c) for c in ip_cols])).alias("ip")).filter("ip IS NOT NULL").distinct()
-    # 32 digests per address: a small table, spread over all cores all the same.
-    tasks = max(df.sparkSession.sparkContext.defaultParallelism, 1)
-    return _anonymized(ips.repartition(tasks, "ip"), "ip", "anon_ip", key)
+    # Few bytes but 32 digests per address: spread over all cores, not coalesced by size.
+    return _anonymized(ips.repartition(df.sparkSession.sparkContext.defaultParallelism), "ip", "anon_ip", key)
 
 
 def anonymize(df: DataFrame, ip_cols: Sequence[str], key: bytes) -> DataFrame:

@@ -190,12 +190,11 @@ def top_separation(differences: DataFrame, top: int = 10) -> DataFrame:
 
 def quartiles(ranks: DataFrame) -> DataFrame:
     """Exact linear-interpolated quartiles per feature and class, from value counts with running totals."""
+    totals = ranks.groupBy("feature").agg(F.sum("attack").alias("n_attack"), F.sum("benign").alias("n_benign"))
     classes = F.array(*[
-        F.struct(F.lit(c).alias("class"), F.col(c).alias("rows"), F.col(f"upto_{c}").alias("upto"))
+        F.struct(F.lit(c).alias("class"), F.col(c).alias("rows"), F.col(f"upto_{c}").alias("upto"), F.col(f"n_{c}").alias("n"))
         for c in ("attack", "benign")])
-    by_class = ranks.select("feature", "value", F.inline(classes)).filter("rows > 0")
-    totals = by_class.groupBy("feature", "class").agg(F.sum("rows").alias("n"))
-    placed = attach(by_class, totals, ["feature", "class"])
+    placed = attach(ranks, totals, ["feature"]).select("feature", "value", F.inline(classes)).filter("rows > 0")
     out, first = [], F.col("upto") - F.col("rows")
     for q in (0.25, 0.5, 0.75):
         at = (F.col("n") - 1) * q

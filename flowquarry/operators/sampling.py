@@ -67,7 +67,7 @@ def sample_attacks(
 ) -> DataFrame:
     """All rows of rare labels; the rest of each source's quota from common labels; full duplicates dropped."""
     per_source = _source_counts(attack, label, source)
-    marks = settle(_mark_rare(per_source, target), "rare")
+    marks = _mark_rare(per_source, target)
     marked = attach(attack, marks.select(F.col("label").alias(label), "is_rare"), [label])
     rare = marked.filter("is_rare").drop("is_rare")
     rare_rows = F.sum(F.when(F.col("is_rare"), F.col("n")).otherwise(0))

@@ -18,6 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Shares the rows of a table of few files among all cores; a table of many files stays as it is read.
+
+    A file of one row group is one task, whatever the number of cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if len(df.inputFiles()) * 2 <= cores else df
+
+
 def event_label() -> F.Column:
     """BENIGN for views, a rare label for errors of high value, else the event type."""
     return (
@@ -43,13 +52,13 @@ def event_columns(events: DataFrame) -> DataFrame:
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as flows; a day is a source."""
-    return event_columns(table(spark, sf_dir, "events"))
+    return event_columns(spread(table(spark, sf_dir, "events"), "event_id"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as wide numeric flows, return flag N as benign."""
     label = F.when(F.col("l_returnflag") == "N", BENIGN).otherwise(F.col("l_returnflag"))
-    return table(spark, sf_dir, "lineitem").withColumns({
+    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey").withColumns({
         "label": label, "is_attack": F.col("l_returnflag") != "N",
         "source": F.date_format("l_shipdate", "yyyy-MM")})
 
