@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from flowquarry.operators import components, profiling
 from flowquarry.operators.columns import model_columns
+from flowquarry.plans import studies
 from flowquarry.plans.adapters import EMBEDDING_SIZE, embedding_columns
 from flowquarry.plans.registry import VECTORS, query, rounded, with_sql
 
@@ -81,4 +82,12 @@ def distinctive_per_component(spark, sf_dir):
     return components.distinctive_per_component(*_distinctive(spark, sf_dir))
 
 
+@query("component_study")
+def component_study(spark, sf_dir):
+    df, names = embedding_columns(spark, sf_dir)
+    labelled = df.select("*", F.col("label_id").cast("string").alias("label"), F.lit("all").alias("source"))
+    study = studies.component_study(labelled, names, key="id", threshold=THRESHOLD)
+    return rounded(study["distinctive"], 6, "pca_importance_score")
+
+
 assert EMBEDDING_SIZE == 64  # the two-digit column names of the SQL rest on it

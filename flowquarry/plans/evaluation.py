@@ -134,8 +134,20 @@ def loss_curve(spark, sf_dir):
     return rounded(evaluation.loss_curve(mean, CLASSES, 4), 9, "cross_entropy")
 
 
-@query("evaluation_report")
+@query("evaluation_report", with_sql([*P, GRID, BINARY], """
+, cells AS (SELECT t.c AS y_true, p.c AS y_pred, (SELECT count(*) FROM predictions x WHERE x.y_true = t.c AND x.y_pred = p.c) AS n
+  FROM ids t CROSS JOIN ids p),
+lines AS (SELECT y_true, '[' || string_agg(n, ',' ORDER BY y_pred) || ']' AS line FROM cells GROUP BY y_true),
+bins AS (SELECT ceil(list_max(proba) * 10) AS bin, count(*) AS n, avg((y_true = y_pred)::INT) AS a, avg(list_max(proba)) AS c FROM predictions GROUP BY 1)
+SELECT (SELECT round(avg((y_true = y_pred)::INT), 9) FROM predictions) AS accuracy, round(tp / (tp + fn), 9) AS detection_rate,
+  round(fp / (fp + tn), 9) AS false_alarm_rate, round(tp / (tp + fp), 9) AS attack_precision,
+  (SELECT round(sum(abs(a - c) * n) / sum(n), 9) FROM bins) AS calibration_error,
+  (SELECT '[' || string_agg(line, ',' ORDER BY y_true) || ']' FROM lines) AS confusion,
+  (SELECT count(DISTINCT y_true) FROM predictions WHERE y_true <> 0) AS attack_types FROM counts"""))
 def evaluation_report(spark, sf_dir):
     dimension = spark.createDataFrame(
         [(i, BENIGN if i == 0 else f"attack_{i}") for i in range(CLASSES)], "label_id int, label string")
-    return evaluation.report(predictions(spark, sf_dir), dimension, BENIGN)
+    report = evaluation.report(predictions(spark, sf_dir), dimension, BENIGN)
+    rates = ("accuracy", "detection_rate", "false_alarm_rate", "attack_precision", "calibration_error")
+    return rounded(report, 9, *rates).select(
+        *rates, F.to_json("confusion").alias("confusion"), F.size("attack_types").cast("long").alias("attack_types"))

@@ -72,10 +72,10 @@ chi AS (SELECT "column", CAST(any_value(categories) - 1 AS BIGINT) AS dof, any_v
   FROM cells WHERE categories BETWEEN 2 AND 49 GROUP BY "column")"""
 
 
-def _categories(spark, sf_dir):
+def _categories(spark, sf_dir, columns=("o_orderstatus", "o_orderpriority", "o_clerk")):
     clerk = F.when(F.col("o_orderpriority") != "1-URGENT", F.concat(F.lit("c"), F.expr("o_custkey div 100").cast("string")))
     df = table(spark, sf_dir, "orders").withColumns({"o_clerk": clerk, "is_attack": F.col("o_totalprice") > 250000})
-    return profiling.category_counts(df, ["o_orderstatus", "o_orderpriority", "o_clerk"])
+    return profiling.category_counts(df, columns)
 
 
 @query("contingency", with_sql([ORDER_FLAGS], 'SELECT * FROM contingency'))
@@ -114,11 +114,20 @@ def chi2_yates(spark, sf_dir):
     return rounded(profiling.chi_square(counts), 8, "chi2_statistic", "cramers_v")
 
 
-@query("categorical_importance")
+# With an even number of degrees of freedom the chi-square tail is a finite sum.
+@query("categorical_importance", with_sql([ORDER_FLAGS], """
+, tails AS (SELECT "column", chi2, n, exp(-chi2 / 2) * list_sum(list_transform(range(dof // 2),
+    lambda i: power(chi2 / 2, i) / gamma(i + 1))) AS p FROM chi WHERE dof % 2 = 0),
+spreads AS (SELECT "column", count(*) AS c, -sum((attack + benign) / n * ln((attack + benign) / n)) AS h
+  FROM contingency JOIN totals USING ("column") GROUP BY "column")
+SELECT "column", round(h, 6) AS entropy, round(p, 6) AS chi2_pvalue, p < 0.05 AND sqrt(chi2 / n) > 0.1 AS is_discriminative,
+  round((least(h, 3) + least(2 * c / n, 2) + 4 * (1 - p) * sqrt(chi2 / n)) / 7, 6) AS importance_score
+FROM tails JOIN spreads USING ("column")"""))
 def categorical_importance(spark, sf_dir):
-    counts = _categories(spark, sf_dir)
+    counts = _categories(spark, sf_dir, ("o_orderstatus", "o_orderpriority"))
     scored = profiling.categorical_importance(profiling.categorical_profile(counts), profiling.chi_square(counts))
-    return rounded(scored, 6, "entropy", "chi2_pvalue", "importance_score")
+    return rounded(scored, 6, "entropy", "chi2_pvalue", "importance_score").select(
+        "column", "entropy", "chi2_pvalue", "is_discriminative", "importance_score")
 
 
 @query("ks_two_sample", with_sql([*BASE, MOMENTS, KS], """
@@ -270,18 +279,40 @@ def numeric_pairs(spark, sf_dir):
     return profiling.pair_values(flows(spark, sf_dir), "value", "k", "row_key")
 
 
-@query("feature_ranking")
+# The tail with one degree of freedom is the complementary error function, here by its series.
+STUDY = [*BASE, MOMENTS, KS, PROFILE, f"""scores AS (
+  SELECT feature, 'numeric' AS type, p < 0.05 AND {D} > 0.2 AS is_discriminative,
+    (least(cv, 3) + least(2 * unique_count / n_rows, 2) + 4 * (1 - p) * {D}) / 7 AS score
+  FROM profile JOIN tested USING (feature) JOIN moments USING (feature)
+  UNION ALL SELECT 'l_linestatus', 'categorical', p < 0.05 AND v > 0.1, (least(h, 3) + least(2 * c / n, 2) + 4 * (1 - p) * v) / 7
+  FROM (SELECT *, sqrt(x / n) AS v, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(60),
+      lambda i: power(-1.0::DOUBLE, i) * power(sqrt(x / 2), 2 * i + 1) / (gamma(i + 1) * (2 * i + 1)))) AS p
+    FROM (SELECT any_value(n) AS n, any_value(c) AS c, sum(power(abs(a - ea) - least(abs(a - ea), 0.5), 2) / ea
+        + power(abs(b - eb) - least(abs(b - eb), 0.5), 2) / eb) AS x, -sum((a + b) / n * ln((a + b) / n)) AS h
+      FROM (SELECT a, b, sum(a + b) OVER () AS n, count(*) OVER () AS c, (a + b) * sum(a) OVER () / sum(a + b) OVER () AS ea,
+          (a + b) * sum(b) OVER () / sum(a + b) OVER () AS eb
+        FROM (SELECT count(*) FILTER (is_attack) AS a, count(*) FILTER (NOT is_attack) AS b FROM lines GROUP BY l_linestatus))))),
+ranked AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, feature) AS INTEGER) AS "rank" FROM scores)"""]
+
+
+def _study(spark, sf_dir):
+    return feature_study(lines(spark, sf_dir), [*LINE_FEATURES, "l_linestatus"])
+
+
+@query("feature_ranking", with_sql(STUDY, """
+SELECT "rank", feature, type, is_discriminative, round(score, 6) AS importance_score FROM ranked WHERE "rank" <= 25"""))
 def feature_ranking(spark, sf_dir):
-    study = feature_study(lines(spark, sf_dir), [*LINE_FEATURES, "l_linestatus"])
-    return rounded(study["ranking"], 6, "importance_score").select(
+    return rounded(_study(spark, sf_dir)["ranking"], 6, "importance_score").select(
         "rank", "feature", "type", "is_discriminative", "importance_score")
 
 
-@query("suggested_features")
+@query("suggested_features", with_sql(STUDY, """
+SELECT "rank", feature, is_discriminative FROM ranked WHERE score > 0.1 ORDER BY "rank" LIMIT 30"""))
 def suggested_features(spark, sf_dir):
-    return feature_study(lines(spark, sf_dir), [*LINE_FEATURES, "l_linestatus"])["suggestion"]
+    return _study(spark, sf_dir)["suggestion"]
 
 
-@query("analysis_summary")
+@query("analysis_summary", with_sql(STUDY, """
+SELECT count(*) AS features, count(*) FILTER (is_discriminative) AS discriminative, round(max(score), 6) AS top_score FROM scores"""))
 def analysis_summary(spark, sf_dir):
-    return feature_study(lines(spark, sf_dir), [*LINE_FEATURES, "l_linestatus"])["summary"]
+    return rounded(_study(spark, sf_dir)["summary"], 6, "top_score")

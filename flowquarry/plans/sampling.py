@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from flowquarry.operators import sampling
 from flowquarry.operators.columns import split_by_label
+from flowquarry.operators.positions import attach
 from flowquarry.plans.adapters import flows
 from flowquarry.plans.registry import FLOWS, hash_order, query, rounded, with_sql
 from flowquarry.plans.studies import head_sample as head_sample_study
@@ -156,4 +157,4 @@ SELECT row_key, label, label IN (SELECT label FROM marks WHERE is_rare) AS is_ra
 def rare_membership(spark, sf_dir):
     _, attack = split_by_label(flows(spark, sf_dir), "label")
     marks = sampling.rare_labels(attack, TARGET).select("label", "is_rare")
-    return attack.join(F.broadcast(marks), "label").select("row_key", "label", "is_rare")
+    return attach(attack, marks, ["label"]).select("row_key", "label", "is_rare")
