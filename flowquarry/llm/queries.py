@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowquarry.llm.decontamination import contamination_report
+from flowquarry.llm.exact_dedup import exact_groups
 from flowquarry.llm.registry import ORACLE, QUERIES, query, table
 from flowquarry.llm.token_counts import token_counts
 from flowquarry.llm.token_store import store_digest
@@ -11,6 +13,18 @@ from flowquarry.llm.token_store import store_digest
 __all__ = ["ORACLE", "QUERIES"]
 
 
+OP2_SQL = r"""
+WITH clean AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
+groups AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM clean GROUP BY text_sha256)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM clean JOIN groups USING (text_sha256)"""
+
+
+@query("op2_exact_dedup", OP2_SQL)
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(table(spark, sf_dir, "documents"))
+
+
 @query("op5_token_store")
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_digest(table(spark, sf_dir, "documents"))
@@ -20,3 +34,8 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query("op9_decontamination")
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
