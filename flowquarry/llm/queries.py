@@ -9,10 +9,18 @@ from flowquarry.llm.exact_dedup import exact_groups
 from flowquarry.llm.registry import ORACLE, QUERIES, query, table
 from flowquarry.llm.token_counts import token_counts
 from flowquarry.llm.token_store import store_digest
+from flowquarry.llm.toxicity import fit_toxicity, toxicity
 
 __all__ = ["ORACLE", "QUERIES"]
 
 
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return toxicity(docs, model).drop("text")
+
+
 OP2_SQL = r"""
 WITH clean AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
