@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowquarry.llm.decontamination import contamination_report
 from flowquarry.llm.exact_dedup import exact_groups
+from flowquarry.llm.mixing import fit_domains, mixing_rates, plan_mixture
 from flowquarry.llm.registry import ORACLE, QUERIES, query, table
 from flowquarry.llm.token_counts import token_counts
 from flowquarry.llm.token_store import store_digest
@@ -14,6 +16,17 @@ from flowquarry.llm.toxicity import fit_toxicity, toxicity
 __all__ = ["ORACLE", "QUERIES"]
 
 
+# Domains of the labelled documents: their language, and one of its own for those of low quality.
+DOMAIN_WEIGHTS = {"en": 0.50, "de": 0.15, "fr": 0.15, "es": 0.15, "low": 0.05}
+
+
+def domain_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of the labelled documents."""
+    lang = docs.select("doc_id", "lang")
+    return labels.select("doc_id", "quality").join(lang, "doc_id").select(
+        "doc_id", F.when(F.col("quality") == 0, "low").otherwise(F.col("lang")).alias("domain"))
+
+
 @query("op1_toxicity")
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -33,6 +46,14 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op3_mixing")
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    model = fit_domains(docs, domain_labels(docs, table(spark, sf_dir, "labels")), F.col("domain"), list(DOMAIN_WEIGHTS))
+    plan = plan_mixture(docs, model, DOMAIN_WEIGHTS)
+    return mixing_rates(docs, plan).drop("text", "lang")
+
+
 @query("op5_token_store")
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_digest(table(spark, sf_dir, "documents"))
