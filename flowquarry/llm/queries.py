@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowquarry.llm.decontamination import contamination_report
 from flowquarry.llm.exact_dedup import exact_groups
+from flowquarry.llm.jaccard_join import near_duplicates
 from flowquarry.llm.mixing import fit_domains, mixing_rates, plan_mixture
 from flowquarry.llm.registry import ORACLE, QUERIES, query, table
 from flowquarry.llm.token_counts import token_counts
@@ -54,6 +55,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_rates(docs, plan).drop("text", "lang")
 
 
+@query("op4_jaccard_join")
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op5_token_store")
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_digest(table(spark, sf_dir, "documents"))
