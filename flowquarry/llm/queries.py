@@ -10,6 +10,7 @@ from flowquarry.llm.exact_dedup import exact_groups
 from flowquarry.llm.jaccard_join import near_duplicates
 from flowquarry.llm.mixing import fit_domains, mixing_rates, plan_mixture
 from flowquarry.llm.registry import ORACLE, QUERIES, query, table
+from flowquarry.llm.suffix_dedup import repeated_passages
 from flowquarry.llm.token_counts import token_counts
 from flowquarry.llm.token_store import store_digest
 from flowquarry.llm.toxicity import fit_toxicity, toxicity
@@ -74,3 +75,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_decontamination")
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_suffix_dedup")
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("starts", "ends")

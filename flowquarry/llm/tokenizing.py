@@ -10,6 +10,8 @@ from collections.abc import Iterable
 import numpy as np
 from tokenizers import Tokenizer
 
+WORD_END = "</w>"  # fixed value: how such a vocabulary marks the last token of a pre-token
+JOINED = 512  # words given to the library in one string
 CACHE_ENTRIES = 1_000_000  # words a worker remembers; later new words are encoded each time they occur
 
 
@@ -43,8 +45,29 @@ class WordIds:
     def __init__(self, name: str):
         self.tokenizer = load_tokenizer(name)
         self.cache: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = token.endswith(WORD_END)
         self.closing = {c: self._library([c])[0] for c in (b",", b".")}
 
+    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words by the library. A word of Latin letters is one pre-token, which ends with the only
+        id that has the word end; so many of them can be given to the library in one string."""
+        texts = [w.decode() for w in words]
+        plain = [t.isalpha() and max(t) < "\u0250" and "\u0130" not in t for t in texts]
+        out = {}
+        letters = [i for i, p in enumerate(plain) if p]
+        joined = [" ".join([texts[i] for i in letters[k:k + JOINED]]) for k in range(0, len(letters), JOINED)]
+        for k, found in enumerate(self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.asarray(found.ids, dtype="<u4")
+            raw, at = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            for i, start, end in zip(letters[k * JOINED:(k + 1) * JOINED], [0, *at[:-1]], at, strict=True):
+                out[words[i]] = raw[start:end]
+        rest = [w for w, p in zip(words, plain) if not p]
+        out.update(zip(rest, self._library(rest)))
+        return out
+
     def _library(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
@@ -58,7 +81,7 @@ class WordIds:
         """Ids of the words that the cache lacks."""
         cores = {w: self._core(w) for w in words}
         unknown = sorted({c for c, _ in cores.values()} - self.cache.keys())
-        ids = dict(zip(unknown, self._library(unknown)))
+        ids = self._encode(unknown)
         out = {}
         for word, (core, last) in cores.items():
             known = ids[core] if core in ids else self.cache[core]
