@@ -122,6 +122,12 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, domains: lis
     return DomainModel(tuple(domains), weights, np.where(seen, bias, -50.0))
 
 
+def quality_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of labelled documents: their language, or ``low`` for those of low quality."""
+    return labels.select("doc_id", "quality").join(docs.select("doc_id", "lang"), "doc_id").select(
+        "doc_id", F.when(F.col("quality") == 0, "low").otherwise(F.col("lang")).alias("domain"))
+
+
 @dataclass(frozen=True)
 class MixingPlan:
     """What a document's rate follows from: step length, bounds, pull and the scaled excesses of all steps."""

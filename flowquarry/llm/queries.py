@@ -8,27 +8,20 @@ from pyspark.sql import functions as F
 from flowquarry.llm.decontamination import contamination_report
 from flowquarry.llm.exact_dedup import exact_groups
 from flowquarry.llm.jaccard_join import near_duplicates
-from flowquarry.llm.mixing import fit_domains, mixing_rates, plan_mixture
+from flowquarry.llm.line_dedup import drop_boilerplate
+from flowquarry.llm.mixing import fit_domains, mixing_rates, plan_mixture, quality_domains
 from flowquarry.llm.registry import ORACLE, QUERIES, query, table
 from flowquarry.llm.suffix_dedup import repeated_passages
 from flowquarry.llm.token_counts import token_counts
 from flowquarry.llm.token_store import store_digest
 from flowquarry.llm.toxicity import fit_toxicity, toxicity
+from flowquarry.llm.warc import archive_round_trip
 
 __all__ = ["ORACLE", "QUERIES"]
 
-
-# Domains of the labelled documents: their language, and one of its own for those of low quality.
 DOMAIN_WEIGHTS = {"en": 0.50, "de": 0.15, "fr": 0.15, "es": 0.15, "low": 0.05}
 
 
-def domain_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, domain) of the labelled documents."""
-    lang = docs.select("doc_id", "lang")
-    return labels.select("doc_id", "quality").join(lang, "doc_id").select(
-        "doc_id", F.when(F.col("quality") == 0, "low").otherwise(F.col("lang")).alias("domain"))
-
-
 @query("op1_toxicity")
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -51,7 +44,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_mixing")
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    model = fit_domains(docs, domain_labels(docs, table(spark, sf_dir, "labels")), F.col("domain"), list(DOMAIN_WEIGHTS))
+    model = fit_domains(docs, quality_domains(docs, table(spark, sf_dir, "labels")), F.col("domain"), list(DOMAIN_WEIGHTS))
     plan = plan_mixture(docs, model, DOMAIN_WEIGHTS)
     return mixing_rates(docs, plan).drop("text", "lang")
 
@@ -66,12 +59,50 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_digest(table(spark, sf_dir, "documents"))
 
 
+OP6_SQL = """
+WITH lines AS (
+  SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+boilerplate AS (
+  SELECT trim(line) AS line FROM lines WHERE length(trim(line)) >= 16
+  GROUP BY trim(line) HAVING count(DISTINCT coalesce('s' || source, 'n')) >= 10),
+marked AS (SELECT l.*, b.line IS NOT NULL AS gone FROM lines l LEFT JOIN boilerplate b ON trim(l.line) = b.line)
+SELECT doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(*) FILTER (gone) AS INTEGER) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
+
+@query("op6_line_dedup", OP6_SQL)
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_boilerplate(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query("op7_token_counts")
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+OP8_SQL = """
+WITH sized AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+last AS (SELECT payload, max(page_id) AS response FROM sized GROUP BY payload),
+coded AS (
+  SELECT payload, response, list_transform(range(8), lambda i: CAST('0x' || substr(sha1(payload), CAST(5 * i + 1 AS INTEGER), 5) AS INTEGER)) AS v FROM last)
+SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(v, lambda x: array_to_string(list_transform([15, 10, 5, 0],
+         lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> s) & 31) + 1, 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> response THEN response END AS refers_to
+FROM sized JOIN coded USING (payload)"""
+
+
+@query("op8_warc", OP8_SQL)
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op9_decontamination")
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
