@@ -28,8 +28,9 @@ from flowquarry.session import settle
 GRADES = 4
 PER_CLASS = 8_000  # labelled rows of each class to fit on
 FEATURES = 2_048  # features of the model
-MIN_DOCUMENTS = 6  # of the sample that hold a feature
-LEAST_Z = 4.0  # standard errors by which a feature's log odds must differ
+MIN_DOCUMENTS = 4  # of the sample that hold a feature
+LEAST_Z = 3.0  # standard errors by which a feature's log odds must differ
+LEAST_ODDS = 2.5  # and how far: words that are merely commoner in one language are no evidence
 BEGINNINGS = (4, 5, 6)
 CACHE_ENTRIES = 500_000
 WORD = re.compile(r"\w+")
@@ -130,7 +131,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: st
     odds = {c: (F.col(n) + 0.5) / (F.lit(float(sizes[c])) - F.col(n) + 0.5) for c, n in (("toxic", "t"), ("clean", "c"))}
     error = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     z = F.log(odds["toxic"] / odds["clean"]) / error
-    chosen = counts.withColumn("z", z).filter(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "feature").limit(features).collect()
+    counts = counts.withColumns({"odds": F.log(odds["toxic"] / odds["clean"]), "z": z})
+    chosen = counts.filter((F.abs("z") >= LEAST_Z) & (F.abs("odds") >= LEAST_ODDS)).orderBy(F.desc(F.abs("z")), "feature").limit(features).collect()
     place = {r.feature: i for i, r in enumerate(chosen)}
     if not place:
         return OrdinalModel({}, (1.0, 2.0, 3.0))
