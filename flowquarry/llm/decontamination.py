@@ -9,8 +9,6 @@ words that lie on each other are then compared, and an item counts as found if s
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,28 +21,26 @@ BROADCAST_SEEDS = 2_000_000  # seeds of the benchmark that are broadcast (about
 
 
 def words_of(text: Column) -> Column:
-    """Lower-case words without punctuation; an empty array for NULL."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\s]+", "")
-    return F.filter(F.split(plain, r"\s+"), lambda w: w != "")
+    """Lower-case runs of letters and digits; an empty array for NULL."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _seed_at(number: int, runs: list[tuple[int, int]]):
+def _seed_at(number: int, mask: str):
     def seed(i: Column) -> Column:
-        words = [F.slice("_codes", i + start + 1, length) for start, length in runs]
+        words = [F.get("_codes", i + k) for k, bit in enumerate(mask) if bit == "1"]
         return F.struct(i.alias("pos"), F.xxhash64(F.lit(number), *words).alias("seed"))
 
     return seed
 
 
 def _seed_rows(df: DataFrame, keep: list[str], masks: tuple[str, ...]) -> DataFrame:
-    """A row (.., pos, seed) per mask and place of a table with ``_words``."""
+    """A row (.., pos, seed) per mask and place of a table with ``_words``; a text shorter than a mask has none of it."""
     coded = df.withColumn("_codes", F.transform("_words", lambda w: F.xxhash64(w))).select(*keep, "_codes")
     arrays = []
     for number, mask in enumerate(masks):
-        runs = [(m.start(), m.end() - m.start()) for m in re.finditer("1+", mask)]
         last = F.size("_codes") - len(mask)
         places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        arrays.append(F.transform(places, _seed_at(number, runs)))
+        arrays.append(F.transform(places, _seed_at(number, mask)))
     return coded.select(*keep, F.inline(F.concat(*arrays)))
 
 

@@ -188,9 +188,12 @@ def tokens_at(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame
     Positions outside the corpus and NULLs are left out; repeated ones are answered once each.
     """
     segments = read_segments(spark, path).select("start", "n_tokens", "levels", "marks", "ranks")
-    wanted = positions.select("position").filter("position IS NOT NULL")
-    spans = segments.select("start", (F.col("start") + F.col("n_tokens")).alias("_end"))
-    found = wanted.join(spans, (F.col("position") >= F.col("start")) & (F.col("position") < F.col("_end"))).select("start", "position")
+    # a segment meets the positions of the few stretches of SEGMENT_TOKENS tokens that it reaches into
+    spans = segments.filter("n_tokens > 0").select(
+        F.col("start").alias("at"), (F.col("start") + F.col("n_tokens")).alias("end"),
+        F.explode(F.sequence(F.floor(F.col("start") / SEGMENT_TOKENS), F.floor((F.col("start") + F.col("n_tokens") - 1) / SEGMENT_TOKENS))).alias("stretch"))
+    wanted = positions.select("position", F.floor(F.col("position") / SEGMENT_TOKENS).alias("stretch")).filter("position IS NOT NULL")
+    found = wanted.join(spans, "stretch").filter("position >= at AND position < end").select("at", "position")
 
     def access(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         at = left["position"].to_numpy()
@@ -199,7 +202,7 @@ def tokens_at(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame
         parts = [right[c][0].as_py() for c in ("levels", "marks", "ranks")]
         return pa.table({"position": at, "token_id": dac_access(*parts, at - key[0].as_py()).astype(np.int64)})
 
-    return found.groupBy("start").cogroup(segments.filter("n_tokens > 0").groupBy("start")).applyInArrow(access, "position long, token_id long")
+    return found.groupBy("at").cogroup(segments.filter("n_tokens > 0").groupBy("start")).applyInArrow(access, "position long, token_id long")
 
 
 def store_digest(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1) -> DataFrame:
