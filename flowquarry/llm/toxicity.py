@@ -61,12 +61,10 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, n_features: int, grades: np.
                 steps: int = 400, rate: float = 0.1, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of P(y >= k) = s(w x - theta_k) by Adam, for 0/1 features at (rows, cols).
 
-    Thresholds are theta_1 and positive steps, so they stay in order. Classes weigh the same in total.
+    Thresholds are theta_1 and positive steps, so they stay in order. Rows weigh the same, so that a text without
+    any feature keeps the low chance that the sample gives it.
     """
     n = len(grades)
-    counts = np.bincount(grades, minlength=n_grades).astype(float)
-    weight = (1 / np.maximum(counts, 1))[grades] * n / max((counts > 0).sum(), 1)
-    target = (grades[:, None] >= np.arange(1, n_grades)[None, :]).astype(float)
     params = np.zeros(n_features + n_grades - 1)
     params[n_features] = 1.0
     first, second = np.zeros_like(params), np.zeros_like(params)
@@ -79,10 +77,10 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, n_features: int, grades: np.
         slope = above * (1 - above)
         at = np.arange(n)
         chance = np.maximum(above[at, grades] - above[at, grades + 1], 1e-9)
-        by_score = -weight * (slope[at, grades] - slope[at, grades + 1]) / chance
+        by_score = -(slope[at, grades] - slope[at, grades + 1]) / chance
         by_theta = np.zeros((n, n_grades + 1))
-        by_theta[at, grades] += weight * slope[at, grades] / chance
-        by_theta[at, grades + 1] -= weight * slope[at, grades + 1] / chance
+        by_theta[at, grades] += slope[at, grades] / chance
+        by_theta[at, grades + 1] -= slope[at, grades + 1] / chance
         by_theta = by_theta[:, 1:n_grades].sum(axis=0)
         gradient = np.zeros_like(params)
         gradient[:n_features] = np.bincount(cols, by_score[rows], minlength=n_features) / n + ridge * params[:n_features]
