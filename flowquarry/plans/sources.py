@@ -52,10 +52,81 @@ def ingest_csv(spark, sf_dir):
 SELECT CAST(row_key AS VARCHAR) AS flow_id, value FROM flows WHERE k = 1 AND event_type = 'signup'"""))
 def ingest_rejects(spark, sf_dir):
     _, store = _ingested(spark, sf_dir)
-    rejects = spark.read.parquet(f"{store}/rejects")
+    rejects = ingest.read_rejects(spark, store)
     return rejects.select(F.col("Flow ID").alias("flow_id"), F.col("`Flow Bytes/s`").alias("value"))
 
 
+FOLDER = r"([^/]+)/[^/]+$"
+
+
+@query("ingest_day_first_times", with_sql([FLOWS], """
+SELECT CAST(row_key AS VARCHAR) AS flow_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, CASE WHEN row_key % 50 = 0 THEN 'time' END AS reject_reason
+FROM flows WHERE row_key % 50 <> 0
+UNION ALL SELECT CAST(row_key AS VARCHAR), NULL, 'time' FROM flows WHERE row_key % 50 = 0"""))
+def ingest_day_first_times(spark, sf_dir):
+    """Times as the public flow tables write them, day first, and some that cannot be read."""
+    raw, store = scratch_path(spark, "raw-csv"), scratch_path(spark, "flow-store")
+    day_first = F.when(F.col("row_key") % 50 == 0, "yesterday").otherwise(F.date_format("ts", "dd/MM/yyyy HH:mm:ss"))
+    flows(spark, sf_dir).select(
+        F.col("row_key").alias("Flow ID"), day_first.alias("Timestamp"), F.col("label").alias("Label")).write.option("header", True).csv(raw)
+    table = ingest.ingest(spark, raw, store)
+    rejects = ingest.read_rejects(spark, store).select(F.col("Flow ID").alias("flow_id"), F.lit(None).cast("string").alias("at"), "reject_reason")
+    return table.select(
+        F.col("Flow ID").alias("flow_id"), F.date_format("Timestamp", "yyyy-MM-dd HH:mm:ss").alias("at"),
+        F.lit(None).cast("string").alias("reject_reason")).union(rejects)
+
+
+@query("ingest_text_columns", with_sql([FLOWS], """
+SELECT event_type AS service, count(*) AS n, round(sum(value), 4) AS rate FROM flows GROUP BY event_type"""))
+def ingest_text_columns(spark, sf_dir):
+    """A column that is no feature stays text."""
+    raw, store = scratch_path(spark, "raw-csv"), scratch_path(spark, "flow-store")
+    flows(spark, sf_dir).select(
+        F.col("event_type").alias(" Service"), F.col("value").alias("Flow Bytes/s"), F.col("label").alias("Label")).write.option("header", True).csv(raw)
+    table = ingest.ingest(spark, raw, store)
+    return rounded(table.groupBy(F.col("Service").alias("service")).agg(F.count("*").alias("n"), F.sum("`Flow Bytes/s`").alias("rate")), 4, "rate")
+
+
+def _deliver(df, raw: str, source: str) -> None:
+    df.select(F.col("row_key").alias("Flow ID"), F.col("label").alias("Label")).write.mode("overwrite").option("header", True).csv(f"{raw}/{source}")
+
+
+@query("ingest_redelivered", with_sql([FLOWS], """
+SELECT 'even' AS source, label, label <> 'BENIGN' AS is_attack, count(*) AS n FROM flows WHERE row_key % 2 = 0 AND label = 'BENIGN' GROUP BY label
+UNION ALL SELECT 'odd', label, label <> 'BENIGN', count(*) FROM flows WHERE row_key % 2 = 1 GROUP BY label"""))
+def ingest_redelivered(spark, sf_dir):
+    """A source that is delivered again without its attacks keeps none of them."""
+    raw, store = scratch_path(spark, "raw-csv"), scratch_path(spark, "flow-store")
+    df = flows(spark, sf_dir)
+    _deliver(df.filter("row_key % 2 = 0"), raw, "even")
+    _deliver(df.filter("row_key % 2 = 1"), raw, "odd")
+    ingest.ingest(spark, raw, store, source=FOLDER)
+    _deliver(df.filter("row_key % 2 = 0 AND NOT is_attack"), raw, "even")
+    table = ingest.ingest(spark, raw, store, source=FOLDER)
+    return table.groupBy("source", F.col("Label").alias("label"), "is_attack").agg(F.count("*").alias("n"))
+
+
+@query("ingest_unlabelled_files", with_sql([FLOWS], """
+SELECT source, 'no label column' AS reason, NULL::BIGINT AS n FROM (SELECT DISTINCT source FROM flows) WHERE source < '2024-01-04'
+UNION ALL SELECT source, NULL, count(*) FROM flows WHERE source >= '2024-01-04' AND source < '2024-01-07' GROUP BY source"""))
+def ingest_unlabelled_files(spark, sf_dir):
+    """Files without a label column leave a trace; the others are read."""
+    raw, store = scratch_path(spark, "raw-csv"), scratch_path(spark, "flow-store")
+    df = flows(spark, sf_dir).filter("source < '2024-01-07'").withColumn("day", F.col("source"))
+    df = df.withColumnRenamed("label", "Label")
+    for part, columns in (("source < '2024-01-04'", ["day", "row_key"]), ("source >= '2024-01-04'", ["day", "row_key", "Label"])):
+        df.filter(part).select(*columns).write.mode("append").partitionBy("day").option("header", True).csv(raw)
+    table = ingest.ingest(spark, raw, store, source=r"day=([^/]+)/[^/]+$")
+    bad = ingest.unlabelled_sources(spark, store).withColumn("n", F.lit(None).cast("long"))
+    return ingest.list_sources(table).select("source", F.lit(None).cast("string").alias("reason"), F.col("rows").alias("n")).union(bad)
+
+
+@query("list_sources", with_sql([FLOWS], """
+SELECT source, count(*) AS rows FROM flows GROUP BY source"""))
+def list_sources(spark, sf_dir):
+    return ingest.list_sources(flows(spark, sf_dir))
+
+
 @query("ingest_label_scan", with_sql([FLOWS], """
 SELECT label, count(*) AS n FROM flows WHERE label <> 'BENIGN' AND NOT (k = 1 AND event_type = 'signup') GROUP BY label"""))
 def ingest_label_scan(spark, sf_dir):

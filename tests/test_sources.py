@@ -25,29 +25,54 @@ def test_ingest(spark, raw, tmp_path):
     store = str(tmp_path / "store")
     table = ingest.ingest(spark, str(raw), store, ["Total Bwd packets", "Flow Bytes/s"])
     rows = {r["Flow ID"]: r for r in table.collect()}
-    assert set(rows) == {"a", "b", "d", "e"}
-    a, b, d = rows["a"], rows["b"], rows["d"]
+    assert set(rows) == {"a", "d", "e"}
+    a, d = rows["a"], rows["d"]
     assert (a["source"], a["is_attack"], a["Flow Bytes/s"], a["Total Bwd packets"]) == ("Mon day", False, 0, 3)
-    assert b["is_attack"] and b["Flow Bytes/s"] == 0 and b["Timestamp"] is None
-    assert (d["source"], d["Flow Bytes/s"], d["Src IP"]) == ("Tue", 1.0, None)
-    rejects = spark.read.parquet(f"{store}/rejects").collect()
-    assert [(r["Flow ID"], r["Total Bwd packets"]) for r in rejects] == [("c", 0)]
-    assert {r["source"]: r["rows"] for r in ingest.list_sources(table).collect()} == {"Mon day": 2, "Tue": 2}
+    assert (d["source"], d["Flow Bytes/s"], d["Src IP"], d["Timestamp"]) == ("Tue", 1.0, None, None)
+    rejects = {r["Flow ID"]: r for r in ingest.read_rejects(spark, store).collect()}
+    assert {k: (r["reject_reason"], r["Total Bwd packets"]) for k, r in rejects.items()} == {"b": ("time", 4), "c": ("label", 0)}
+    assert rejects["b"]["Timestamp text"] == "bad"
+    assert {r["source"]: r["rows"] for r in ingest.list_sources(table).collect()} == {"Mon day": 1, "Tue": 2}
+    assert [tuple(r) for r in ingest.unlabelled_sources(spark, store).collect()] == [("notes", "no label column")]
 
 
 def test_only_new_or_changed_files_are_read_again(spark, raw, tmp_path, monkeypatch):
     store = str(tmp_path / "store")
     ingest.ingest(spark, str(raw), store)
     seen = []
-    real = ingest.read_flow_files
-    monkeypatch.setattr(ingest, "read_flow_files", lambda s, p, w: seen.append(sorted(x[-7:] for x in p)) or real(s, p, w))
-    assert ingest.ingest(spark, str(raw), store).count() == 4
+    real = ingest.read_headers
+    monkeypatch.setattr(ingest, "read_headers", lambda s, p: seen.append(sorted(x[-7:] for x in p)) or real(s, p))
+    assert ingest.ingest(spark, str(raw), store).count() == 3
     put(raw, "Tue.csv", "Label,Flow Bytes/s,Flow ID\nBENIGN,1,d\nDoS,2,e\nDoS,3,f\n")
     put(raw, "Wed.csv", "Label,Flow ID\nDoS,g\n")
     table = ingest.ingest(spark, str(raw), store)
     assert seen == [["Tue.csv", "Wed.csv"]]
     assert sorted((r["Flow ID"], r["is_attack"]) for r in table.collect()) == [
-        ("a", False), ("b", True), ("d", False), ("e", True), ("f", True), ("g", True)]
+        ("a", False), ("d", False), ("e", True), ("f", True), ("g", True)]
+
+
+def test_a_new_delivery_replaces_a_source(spark, raw, tmp_path):
+    store = str(tmp_path / "store")
+    ingest.ingest(spark, str(raw), store)
+    put(raw, "Mon day.csv", "Label,Flow ID\nDoS,z\n")  # neither its benign row nor its rejects are left
+    put(raw, "Tue.csv", "Label,Flow ID\n")  # no row at all
+    table = ingest.ingest(spark, str(raw), store)
+    assert [(r["Flow ID"], r["source"]) for r in table.collect()] == [("z", "Mon day")]
+    assert ingest.read_rejects(spark, store).count() == 0
+    put(raw, "Mon day.csv", "x,y\n1,2\n")  # its labels are gone
+    assert ingest.ingest(spark, str(raw), store).count() == 0
+    assert {r["source"] for r in ingest.unlabelled_sources(spark, store).collect()} == {"Mon day", "notes"}
+
+
+def test_times_and_text_columns(spark, tmp_path):
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    put(folder, "x.csv", "Timestamp,Service,Flow Bytes/s,Label\n14/02/2018 08:31:01,http,1,BENIGN\n"
+        "2024-01-01 00:00:01.25,dns,2,BENIGN\n14/02/2018 08:31:01 PM,\"a,b\",x,DoS\n,ftp,4,DoS\n")
+    table = ingest.ingest(spark, str(folder), str(tmp_path / "store"))
+    rows = {r["Service"]: (str(r["Timestamp"]), r["Flow Bytes/s"]) for r in table.collect()}
+    assert rows == {"http": ("2018-02-14 08:31:01", 1.0), "dns": ("2024-01-01 00:00:01.250000", 2.0),
+                    "a,b": ("2018-02-14 20:31:01", 0.0), "ftp": ("None", 4.0)}
 
 
 def test_a_folder_without_labels_is_refused(spark, tmp_path):
