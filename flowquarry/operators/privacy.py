@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from flowquarry.functions.addresses import anonymize_long, ip_to_long, key_digest, long_to_ip
 from flowquarry.operators.columns import quoted
-from flowquarry.operators.positions import BROADCAST_BYTES, attach
-from flowquarry.session import settle_measured
+from flowquarry.operators.positions import attach
+from flowquarry.session import settle
 
 
 def _anonymized(df: DataFrame, ip: str, out: str, key: bytes) -> DataFrame:
@@ -19,34 +19,45 @@ def _anonymized(df: DataFrame, ip: str, out: str, key: bytes) -> DataFrame:
     return numbered.withColumn("_anon", anonymize_long("_n", key)).withColumn(out, changed).drop("_n", "_anon")
 
 
+def canonical_ip(ip: str | Column) -> Column:
+    """One spelling per address, without leading zeros; what is no address stays as it is."""
+    ip = F.col(f"`{ip}`") if isinstance(ip, str) else ip
+    return F.when(ip_to_long(ip) > 0, long_to_ip(ip_to_long(ip))).otherwise(ip)
+
+
 def ip_mapping(df: DataFrame, ip_cols: Sequence[str], key: bytes) -> DataFrame:
-    """(ip, anon_ip) for every distinct address of the columns; unreadable ones and 0.0.0.0 map to themselves."""
-    ips = df.select(F.explode(F.array(*[quoted(c) for c in ip_cols])).alias("ip")).filter("ip IS NOT NULL").distinct()
-    # Few bytes but 32 digests per address: spread over all cores, not coalesced by size.
+    """(ip, anon_ip) for every distinct address of the columns, in its one spelling; unreadable ones and 0.0.0.0 map to themselves."""
+    ips = df.select(F.explode(F.array(*[quoted(c) for c in ip_cols])).alias("ip")).filter("ip IS NOT NULL")
+    ips = ips.select(canonical_ip("ip").alias("ip")).distinct()
+    # Few bytes but 32 digests per address: dealt to all cores, not coalesced by size.
     return _anonymized(ips.repartition(df.sparkSession.sparkContext.defaultParallelism), "ip", "anon_ip", key)
 
 
 def anonymize(df: DataFrame, ip_cols: Sequence[str], key: bytes) -> DataFrame:
-    """Replace each address column.
+    """Replace each address column; columns keep their order.
 
-    Few distinct addresses: each is computed once and looked up by a broadcast
-    join. Many: the expression runs row by row, which needs no shuffle at all.
+    Each distinct address is computed once and looked up by ``attach``, which broadcasts a mapping of checked size
+    and salts the join beyond it.
     """
-    mapping, size = settle_measured(ip_mapping(df, ip_cols, key), "ips")
-    small = size <= BROADCAST_BYTES
+    order = [quoted(c) for c in df.columns]
+    mapping = settle(ip_mapping(df, ip_cols, key), "ips")
     for c in ip_cols:
-        if small:
-            lookup = mapping.select(F.col("ip").alias(c), F.col("anon_ip").alias("_new"))
-            df = df.join(F.broadcast(lookup), c, "left").withColumn(c, F.col("_new")).drop("_new")
-        else:
-            df = _anonymized(df, c, c, key)
-    return df
+        lookup = mapping.select(F.col("ip").alias("_ip"), F.col("anon_ip").alias("_new"))
+        df = attach(df.withColumn("_ip", canonical_ip(c)), lookup, ["_ip"], "left").withColumn(c, F.col("_new")).drop("_new", "_ip")
+    return df.select(*order)
 
 
 def deanonymize(df: DataFrame, ip_col: str, mapping: DataFrame, out: str) -> DataFrame:
-    """Original address by the mapping, the value itself when it is not mapped."""
-    reverse = mapping.select(F.col("anon_ip").alias(ip_col), F.col("ip").alias("_old"))
-    return attach(df, reverse, [ip_col], "left").withColumn(out, F.coalesce("_old", quoted(ip_col))).drop("_old")
+    """Original address by the mapping, in its one spelling; the value itself when it is not mapped.
+
+    Rows keep their number: of addresses with the same output, which only 0.0.0.0 and texts that are no addresses can
+    share with another, since they map to themselves, the one that was changed counts.
+    """
+    own = F.struct((F.col("ip") == F.col("anon_ip")).alias("same"), "ip")
+    reverse = mapping.groupBy(F.col("anon_ip").alias("_ip")).agg(F.min(own).alias("_old")).select("_ip", F.col("_old.ip").alias("_old"))
+    order = [quoted(c) for c in df.columns if c != out]
+    found = attach(df.withColumn("_ip", quoted(ip_col)), reverse, ["_ip"], "left")
+    return found.select(*order, F.coalesce("_old", quoted(ip_col)).alias(out))
 
 
 def with_octets(df: DataFrame, ip_cols: Sequence[str], to_octets) -> DataFrame:

@@ -23,7 +23,6 @@ from flowquarry.session import settle
 
 Stat = Callable[[Column], Column]
 EPSILON = 1e-12
-MAX_MATRIX_COLUMNS = 4096
 
 
 def per_feature(
@@ -123,8 +122,11 @@ def ks_test(ranks: DataFrame) -> DataFrame:
     )
 
 
-def numeric_importance(profile: DataFrame, effects: DataFrame, ks: DataFrame, min_rows: int = 10) -> DataFrame:
-    """Discriminative flag and composite score; tests count only with more than ``min_rows`` rows per class."""
+def numeric_importance(profile: DataFrame, effects: DataFrame, ks: DataFrame, min_rows: int = 0) -> DataFrame:
+    """Discriminative flag and composite score; tests count only with more than ``min_rows`` rows per class.
+
+    The default asks for a row of each class, without which there is nothing to test; 10 is a usual choice.
+    """
     tested = (F.col("n_attack") > min_rows) & (F.col("n_benign") > min_rows)
     joined = profile.join(effects, "feature").join(ks.select("feature", "ks_statistic", "ks_pvalue"), "feature")
     joined = joined.withColumns({
@@ -261,16 +263,18 @@ def categorical_profile(counts: DataFrame) -> DataFrame:
     )
 
 
-def chi_square(counts: DataFrame, max_categories: int = 50) -> DataFrame:
-    """Independence test of value and class with Cramér's V, for 1 < categories < ``max_categories``.
+def chi_square(counts: DataFrame, max_categories: int | None = None) -> DataFrame:
+    """Independence test of value and class with Cramér's V, a row for every column.
 
-    Yates' correction applies with one degree of freedom.
+    Yates' correction applies with one degree of freedom. The statistics are NULL for a column of one value, for
+    rows of one class only, and, if ``max_categories`` is given, for a column of that many categories or more.
     """
     totals = counts.groupBy("column").agg(
         F.count("*").alias("categories"), F.sum("attack").alias("n_attack"), F.sum("benign").alias("n_benign"))
-    tested = totals.filter(
-        (F.col("categories") > 1) & (F.col("categories") < max_categories)
-        & (F.col("n_attack") > 0) & (F.col("n_benign") > 0))
+    fits = (F.col("categories") > 1) & (F.col("n_attack") > 0) & (F.col("n_benign") > 0)
+    if max_categories is not None:
+        fits = fits & (F.col("categories") < max_categories)
+    tested = totals.withColumn("fits", fits)
     joined = attach(counts, tested, ["column"])
     n = F.col("n_attack") + F.col("n_benign")
     dof = F.col("categories") - 1
@@ -282,8 +286,8 @@ def chi_square(counts: DataFrame, max_categories: int = 50) -> DataFrame:
         return gap * gap / expected
 
     statistic = F.sum(cell("attack", "n_attack") + cell("benign", "n_benign"))
-    return joined.groupBy("column", "categories", "n_attack", "n_benign").agg(
-        statistic.alias("chi2_statistic")).select(
+    return joined.groupBy("column", "categories", "n_attack", "n_benign", "fits").agg(
+        F.when(F.col("fits"), statistic).alias("chi2_statistic")).select(
         "column", dof.cast("long").alias("dof"), "chi2_statistic", F.sqrt(F.col("chi2_statistic") / n).alias("cramers_v"))
 
 
@@ -298,11 +302,11 @@ def categorical_importance(profile: DataFrame, chi2: DataFrame) -> DataFrame:
 
 # --- rankings ----------------------------------------------------------------
 
-def rank_features(scored: DataFrame, top: int = 25) -> DataFrame:
-    """The ``top`` features by score with rank numbers; the window sees only those rows."""
-    best = scored.orderBy(F.desc("importance_score"), "feature").limit(top)
+def rank_features(scored: DataFrame, top: int | None = 25) -> DataFrame:
+    """Features by score with rank numbers, the ``top`` first ones or all; the window has one row per feature."""
     rank = F.row_number().over(Window.partitionBy().orderBy(F.desc("importance_score"), "feature"))
-    return best.withColumn("rank", rank)
+    ranked = scored.withColumn("rank", rank)
+    return ranked if top is None else ranked.filter(F.col("rank") <= top)
 
 
 def suggest_features(ranked: DataFrame, min_score: float = 0.1, target: int = 30) -> DataFrame:
@@ -323,18 +327,19 @@ def correlations(df: DataFrame, features: Sequence[str]) -> np.ndarray:
 
     Only that matrix, bounded by the number of columns, reaches the driver.
     """
-    if len(features) > MAX_MATRIX_COLUMNS:
-        raise ValueError(f"at most {MAX_MATRIX_COLUMNS} columns")
     vectors = df.select(array_to_vector(F.array(*[number(df, f) for f in features])).alias("v"))
     return Correlation.corr(vectors, "v").first()[0].toArray()
 
 
 def correlation_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(i, j, feature1, feature2, r) for all pairs."""
+    """(i, j, feature1, feature2, r) for all pairs; the upper half is taken from the matrix and mirrored."""
     matrix = correlations(df, features)
-    rows = [(i, j, features[i], features[j], float(matrix[i, j]))
-            for i in range(len(features)) for j in range(len(features))]
-    return df.sparkSession.createDataFrame(rows, "i int, j int, feature1 string, feature2 string, r double")
+    first, second = np.triu_indices(len(features))
+    rows = zip(first.tolist(), second.tolist(), matrix[first, second].tolist())
+    names = F.array(*[F.lit(f) for f in features])
+    upper = df.sparkSession.createDataFrame(list(rows), "i int, j int, r double")
+    both = upper.union(upper.filter("i < j").select("j", "i", "r"))
+    return both.select("i", "j", F.get(names, F.col("i")).alias("feature1"), F.get(names, F.col("j")).alias("feature2"), "r")
 
 
 def high_correlations(matrix: DataFrame, threshold: float = 0.95) -> DataFrame:

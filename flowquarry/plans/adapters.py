@@ -18,15 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Shares the rows of a table of few files among all cores; a table of many files stays as it is read.
-
-    A file of one row group is one task, whatever the number of cores.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if len(df.inputFiles()) * 2 <= cores else df
-
-
 def event_label() -> F.Column:
     """BENIGN for views, a rare label for errors of high value, else the event type."""
     return (
@@ -52,13 +43,13 @@ def event_columns(events: DataFrame) -> DataFrame:
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as flows; a day is a source."""
-    return event_columns(spread(table(spark, sf_dir, "events"), "event_id"))
+    return event_columns(table(spark, sf_dir, "events"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as wide numeric flows, return flag N as benign."""
     label = F.when(F.col("l_returnflag") == "N", BENIGN).otherwise(F.col("l_returnflag"))
-    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey").withColumns({
+    return table(spark, sf_dir, "lineitem").withColumns({
         "label": label, "is_attack": F.col("l_returnflag") != "N",
         "source": F.date_format("l_shipdate", "yyyy-MM")})
 
@@ -78,16 +69,19 @@ def embedding_columns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, y_true, proba, y_pred): softmax of the first ten coordinates."""
-    powers = F.transform(F.slice("x", 1, CLASSES), lambda v: F.exp(v))
+    """(id, y_true, proba, y_pred): softmax of minus the mean squared distance to each class mean, over all coordinates."""
+    rows = vectors(spark, sf_dir)
+    means = rows.select("label_id", F.posexplode("x").alias("pos", "v")).groupBy("label_id", "pos").agg(F.round(F.avg("v"), 9).alias("m"))
+    centres = [  # classes x coordinates numbers
+        [r["m"] for r in group["centre"]] for group in
+        means.groupBy("label_id").agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("centre")).orderBy("label_id").collect()]
+    squares = [F.zip_with("x", F.array(*[F.lit(m) for m in c]), lambda v, m: (v - m) * (v - m)) for c in centres]
+    distances = F.array(*[F.round(F.aggregate(s, F.lit(0.0), lambda total, v: total + v) / EMBEDDING_SIZE, 9) for s in squares])
+    powers = rows.withColumn("_d", distances).withColumn("_p", F.transform("_d", lambda d: F.exp(-d)))
     summed = F.aggregate("_p", F.lit(0.0), lambda acc, v: acc + v)
-    best = F.slice("x", 1, CLASSES)
-    return (
-        vectors(spark, sf_dir).withColumn("_p", powers).withColumn("_s", summed)
-        .select("id", F.col("label_id").alias("y_true"),
-                F.transform("_p", lambda v: F.round(v / F.col("_s"), 9)).alias("proba"),
-                (F.array_position(best, F.array_max(best)) - 1).cast("int").alias("y_pred"))
-    )
+    return powers.withColumn("_s", summed).select(
+        "id", F.col("label_id").alias("y_true"), F.transform("_p", lambda v: F.round(v / F.col("_s"), 9)).alias("proba"),
+        (F.array_position("_d", F.array_min("_d")) - 1).cast("int").alias("y_pred"))
 
 
 def client_updates(spark: SparkSession, sf_dir: str) -> DataFrame:

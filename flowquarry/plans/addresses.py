@@ -86,6 +86,18 @@ def ip_deanonymize(spark, sf_dir):
     return privacy.deanonymize(hidden, "src_ip", mapping, "restored").select("row_key", "restored")
 
 
+ALIASES = "CASE WHEN k % 3 = 0 THEN replace(src_ip, '.', '.0') WHEN k = 1 THEN '0.0.0.0' WHEN k = 2 THEN 'no address' ELSE src_ip END"
+
+
+@query("ip_alias_roundtrip", with_sql([FLOWS], """
+SELECT row_key, CASE WHEN k = 1 THEN '0.0.0.0' WHEN k = 2 THEN 'no address' ELSE src_ip END AS restored FROM flows"""))
+def ip_alias_roundtrip(spark, sf_dir):
+    """Addresses in several spellings, the zero address and texts come back as one row each, in one spelling."""
+    df = flows(spark, sf_dir).select("row_key", F.expr(ALIASES).alias("ip"))
+    mapping = settle(privacy.ip_mapping(df, ["ip"], KEY))
+    return privacy.deanonymize(privacy.anonymize(df, ["ip"], KEY), "ip", mapping, "restored").select("row_key", "restored")
+
+
 @query("ip_stats", with_sql([FLOWS, MAPPING], f"""
 SELECT count(*) AS total_ips, count(*) FILTER (ip <> anon_ip) AS changed_ips,
        '{key_digest(KEY)[:16]}' AS key_hash FROM mapping"""))

@@ -60,12 +60,14 @@ VECTORS = """vectors AS (
 coords AS (
   SELECT id, label_id, unnest(x) AS v, unnest(range(len(x))) AS pos FROM vectors)"""
 
-PREDICTIONS = """powers AS (
-  SELECT vec_id AS id, label AS y_true, CAST(embedding AS DOUBLE[])[1:10] AS z,
-         list_transform(CAST(embedding AS DOUBLE[])[1:10], lambda v: exp(v)) AS p FROM embeddings),
-predictions AS (
+PREDICTIONS = VECTORS + """,
+means AS MATERIALIZED (SELECT label_id AS c, pos, round(avg(v), 9) AS m FROM coords GROUP BY label_id, pos),
+distances AS MATERIALIZED (
+  SELECT id, label_id AS y_true, c, round(sum((v - m) * (v - m)) / 64, 9) AS d FROM coords JOIN means USING (pos) GROUP BY id, label_id, c),
+powers AS MATERIALIZED (SELECT id, y_true, list(d ORDER BY c) AS d, list(exp(-d) ORDER BY c) AS p FROM distances GROUP BY id, y_true),
+predictions AS MATERIALIZED (
   SELECT id, y_true, list_transform(p, lambda v: round(v / list_sum(p), 9)) AS proba,
-         CAST(list_position(z, list_max(z)) - 1 AS INTEGER) AS y_pred FROM powers)"""
+         CAST(list_position(d, list_min(d)) - 1 AS INTEGER) AS y_pred FROM powers)"""
 
 UPDATES = VECTORS + """,
 updates AS (

@@ -113,8 +113,8 @@ def ingest_unlabelled_files(spark, sf_dir):
     """Files without a label column leave a trace; the others are read."""
     raw, store = scratch_path(spark, "raw-csv"), scratch_path(spark, "flow-store")
     df = flows(spark, sf_dir).filter("source < '2024-01-07'").withColumn("day", F.col("source"))
-    df = df.withColumnRenamed("label", "Label")
-    for part, columns in (("source < '2024-01-04'", ["day", "row_key"]), ("source >= '2024-01-04'", ["day", "row_key", "Label"])):
+    df = df.withColumnsRenamed({"label": "Label", "row_key": "Flow ID"})
+    for part, columns in (("source < '2024-01-04'", ["day", "Flow ID"]), ("source >= '2024-01-04'", ["day", "Flow ID", "Label"])):
         df.filter(part).select(*columns).write.mode("append").partitionBy("day").option("header", True).csv(raw)
     table = ingest.ingest(spark, raw, store, source=r"day=([^/]+)/[^/]+$")
     bad = ingest.unlabelled_sources(spark, store).withColumn("n", F.lit(None).cast("long"))

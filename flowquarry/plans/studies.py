@@ -107,8 +107,8 @@ def feature_study(
     if scored is None:
         raise ValueError("no columns to study")
     scored = settle(scored, "scores")
-    ranked = profiling.rank_features(scored, top)
-    return {"scores": scored, "ranking": ranked, "suggestion": profiling.suggest_features(ranked),
+    ranked = profiling.rank_features(scored, None)
+    return {"scores": scored, "ranking": ranked.filter(F.col("rank") <= top), "suggestion": profiling.suggest_features(ranked),
             "summary": profiling.analysis_summary(scored)}
 
 
@@ -122,7 +122,7 @@ def head_sample(flows: DataFrame, max_rows: int, sources: int, order: Sequence[s
 def component_study(
     flows: DataFrame,
     columns: Sequence[str],
-    cap: int = 10000,
+    cap: int | None = None,
     seed: int = 79,
     key: str = "row_key",
     label: str = "label",
@@ -133,9 +133,12 @@ def component_study(
     per_component: int = 10,
     min_loading: float = 0.05,
 ) -> dict[str, DataFrame]:
-    """Uniform sample per label and source, components, correlations, distinctive features and their class tables."""
+    """Components, correlations, distinctive features and their class tables of all rows.
+
+    With ``cap``, of at most so many rows of each label, taken evenly from the sources.
+    """
     spark = flows.sparkSession
-    sample = settle(sample_labels(flows, cap, seed, key, label, source), "component-sample")
+    sample = flows if cap is None else settle(sample_labels(flows, cap, seed, key, label, source), "component-sample")
     kept = model_columns(sample, columns)
     fit = components.fit_components(sample, kept)
     matrix = profiling.correlation_matrix(sample, kept)

@@ -3,7 +3,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from flowquarry.functions.addresses import ip_to_long, long_to_ip, octets, pad_key, seed_key
-from flowquarry.operators import privacy
+from flowquarry.operators import positions, privacy
 
 KEY = seed_key(79)
 
@@ -52,11 +52,23 @@ def test_anonymisation_equals_a_plain_implementation_and_is_one_to_one(spark):
     assert all(shared(a, b) == shared(got[a], got[b]) for a in good[:30] for b in good[-30:] if a != b)
 
 
-def test_row_wise_and_looked_up_anonymisation_agree(spark, monkeypatch):
+def test_broadcast_and_salted_anonymisation_agree(spark, monkeypatch):
     df = frame(spark, ["10.0.0.1", "10.0.0.2", None, "bad", "10.0.0.1"]).withColumn("dst", F.lit("1.2.3.4"))
-    looked_up = sorted(map(str, privacy.anonymize(df, ["ip", "dst"], KEY).select("i", "ip", "dst").collect()))
-    monkeypatch.setattr(privacy, "BROADCAST_BYTES", 0)
-    assert sorted(map(str, privacy.anonymize(df, ["ip", "dst"], KEY).select("i", "ip", "dst").collect())) == looked_up
+    small = privacy.anonymize(df, ["ip", "dst"], KEY)
+    assert small.columns == df.columns
+    looked_up = sorted(map(str, small.collect()))
+    monkeypatch.setattr(positions, "BROADCAST_BYTES", -1)
+    large = privacy.anonymize(df, ["ip", "dst"], KEY)
+    assert large.columns == df.columns and sorted(map(str, large.collect())) == looked_up
+
+
+def test_spellings_and_fixed_points_come_back_once(spark):
+    ips = ["10.0.0.1", "10.0.0.01", "010.0.0.1", "0.0.0.0", "bad", None, plain("0.0.0.0")]
+    df = frame(spark, ips)
+    mapping = privacy.ip_mapping(df, ["ip"], KEY)
+    back = privacy.deanonymize(privacy.anonymize(df, ["ip"], KEY), "ip", mapping, "old").orderBy("i").collect()
+    assert [r["old"] for r in back[:3]] == ["10.0.0.1"] * 3 and [r["old"] for r in back[4:6]] == ["bad", None]
+    assert len(back) == len(ips)
 
 
 def test_mapping_is_stored_with_its_key(spark, tmp_path):

@@ -105,8 +105,11 @@ def test_categories_that_are_not_tested(spark):
     rows = [("x", str(i), i % 2 == 0) for i in range(60)]
     df = spark.createDataFrame(rows, "one string, many string, is_attack boolean")
     counts = profiling.category_counts(df, ["one", "many"])
-    assert profiling.chi_square(counts).count() == 0
-    scored = profiling.categorical_importance(profiling.categorical_profile(counts), profiling.chi_square(counts))
+    bounded = profiling.chi_square(counts, max_categories=50)
+    assert [(r["chi2_statistic"], r["cramers_v"]) for r in bounded.collect()] == [(None, None)] * 2
+    free = {r["column"]: r["chi2_statistic"] for r in profiling.chi_square(counts).collect()}
+    assert free["one"] is None and abs(free["many"] - 60) < 1e-9
+    scored = profiling.categorical_importance(profiling.categorical_profile(counts), bounded)
     got = {r["column"]: r for r in scored.collect()}
     assert got["one"]["entropy"] == 0 and not got["one"]["is_discriminative"]
     assert got["many"]["importance_score"] == pytest.approx((3.0 + 2.0) / 7)
