@@ -6,9 +6,10 @@ of the same size and the same prefix are one group, which enters the index once.
 
 1. Frequent shingles: tasks report what many of their documents share; the most frequent
    of these, at most ``HEAVY``, go last in the order. Any order gives the same result.
-2. Index: a row per prefix shingle and group; shingles of one group only are dropped.
-3. Group pairs of a list are filtered by size, by place of the shingle and by bit signature.
-   A list is worked through in blocks; a task reports what hangs together, not the pairs.
+2. Index: a row per prefix shingle and group; shingles of one group only are dropped, and
+   of shingles with the same list of groups one stays.
+3. Group pairs of a list are filtered by size and by bit signature. A list is worked through
+   in blocks; a task reports what hangs together, not the pairs.
 4. What hangs together through all lists is a cluster. Its members' sets are read again from
    the texts and compared exactly, each pair of distinct sets once, block by block. Again a
    task reports links per member and what hangs together, so rows grow with members, not pairs.
@@ -23,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowquarry.llm.arrays import local_roots, mixed, shingle_set, sorted_runs
+from flowquarry.llm.arrays import local_roots, mixed, shingle_sets, sorted_runs
 from flowquarry.llm.components import connected_components
 from flowquarry.session import settle
 
 PERCENT = 75
 HEAVY = 1 << 17
 HEAVY_IN_TASK = 8  # documents of one batch that share a shingle, for it to be reported
-SIGNATURE_BITS = 1024
+SIGNATURE_BITS = 1024  # at least; a signature has a bit per shingle or more, as a power of two
 LIST_BLOCK = 1024  # groups of one list compared at once
 MEMBER_BLOCK = 256  # members of one cluster compared at once
 BLOCK_BYTES = 32 << 20
@@ -72,7 +73,7 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
 
 def _report_heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingle_set(t) for t in _texts(batch)]
+        sets = shingle_sets(_texts(batch))
         codes, counts = np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)]), return_counts=True)
         often = counts >= HEAVY_IN_TASK
         yield pa.RecordBatch.from_pydict({"code": codes[often].view(np.int64), "n": counts[often].astype(np.int64)})
@@ -86,13 +87,23 @@ def frequent_shingles(texts: DataFrame) -> list[int]:
 
 
 def _digest(codes: np.ndarray) -> tuple[int, int]:
-    return tuple(int(s) for s in np.stack([mixed(codes).sum(dtype=np.uint64), mixed(~codes).sum(dtype=np.uint64)]).view(np.int64))
+    """Two sums over the set, 128 bits together, that tell sets apart."""
+    return tuple(np.array([codes.sum(dtype=np.uint64), mixed(codes).sum(dtype=np.uint64)]).view(np.int64).tolist())
 
 
-def _signature(codes: np.ndarray) -> bytes:
+def signature(codes: np.ndarray) -> np.ndarray:
     """Parity of the set's codes per bit; sets that differ in k codes differ in k bits at most."""
-    odd = np.bincount((codes >> np.uint64(54)).astype(np.intp), minlength=SIGNATURE_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+    bits = max(SIGNATURE_BITS, 1 << (max(len(codes), 1) - 1).bit_length())
+    odd = np.bincount((codes & np.uint64(bits - 1)).astype(np.intp), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(signatures: np.ndarray, words: int) -> np.ndarray:
+    """Signatures (last axis) as they would be with fewer bits."""
+    while signatures.shape[-1] > words:
+        half = signatures.shape[-1] // 2
+        signatures = signatures[..., :half] ^ signatures[..., half:]
+    return signatures
 
 
 MEMBER_SCHEMA = "_key long, _text_hash long, n long, d1 long, d2 long, gid long, sig binary"
@@ -102,9 +113,8 @@ def _read_members(order_of, percent: int, postings: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = order_of.value
         for batch in batches:
-            rows, seen, codes_out, gid_out, place_out = [], set(), [], [], []
-            for text in _texts(batch):
-                codes = shingle_set(text)
+            rows, seen, codes_out, gid_out = [], set(), [], []
+            for codes in shingle_sets(_texts(batch)):
                 prefix = order.prefix(codes, percent)
                 d1, d2 = _digest(codes) if len(codes) else (0, 0)
                 gid = int(mixed(np.array([len(codes)], np.uint64) + mixed(prefix).sum(dtype=np.uint64)).view(np.int64)[0])
@@ -113,13 +123,12 @@ def _read_members(order_of, percent: int, postings: bool):
                         seen.add(gid)
                         codes_out.append(prefix)
                         gid_out.append(np.full(len(prefix), gid))
-                        place_out.append(np.arange(len(prefix), dtype=np.int32))
                 else:
-                    rows.append((len(codes), d1, d2, gid, _signature(codes)))
+                    rows.append((len(codes), d1, d2, gid, signature(codes).tobytes()))
             if postings:
                 cat = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
                 yield pa.RecordBatch.from_pydict({
-                    "code": cat(codes_out, np.uint64).view(np.int64), "gid": cat(gid_out, np.int64).astype(np.int64), "place": cat(place_out, np.int32)})
+                    "code": cat(codes_out, np.uint64).view(np.int64), "gid": cat(gid_out, np.int64).astype(np.int64)})
             else:
                 n, d1, d2, gid, sig = zip(*rows) if rows else ((),) * 5
                 yield pa.RecordBatch.from_pydict({
@@ -129,28 +138,52 @@ def _read_members(order_of, percent: int, postings: bool):
     return run
 
 
-def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of shingles that two different groups have, one for each group."""
-    last: tuple | None = None  # the row before the batch, and whether its shingle is already known as shared
-    for batch in batches:
-        if not len(batch):
-            continue
-        code, gid, place = (batch[c].to_numpy() for c in ("code", "gid", "place"))
-        own = np.ones(len(code), dtype=bool)
-        own[1:] = (code[1:] != code[:-1]) | (gid[1:] != gid[:-1])
-        if last is not None and last[:2] == (code[0], gid[0]):
-            own[0] = False
-        code, gid, place = code[own], gid[own], place[own]
-        if not len(code):
-            continue
-        same = code[1:] == code[:-1]
-        keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        if last is not None and last[0] == code[0]:
-            keep[0] = True
-            if not last[3]:
-                yield pa.RecordBatch.from_pydict({"code": [last[0]], "gid": [last[1]], "place": pa.array([last[2]], pa.int32())})
-        yield pa.RecordBatch.from_pydict({"code": code[keep], "gid": gid[keep], "place": pa.array(place[keep], pa.int32())})
-        last = (int(code[-1]), int(gid[-1]), int(place[-1]), bool(keep[-1]))
+LIST_SCHEMA = "list long, whole boolean, gids array<long>"
+
+
+def _shared_lists(list_block: int):
+    """The groups that have a shingle, for each shingle of two groups or more; longer lists in pieces of ``list_block``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = gids = np.zeros(0, dtype=np.int64)
+        begun = False  # whether pieces of the held list have gone out
+
+        def made(lists: list[tuple[int, bool, np.ndarray]]) -> pa.RecordBatch:
+            code, whole, members = zip(*lists) if lists else ((), (), ())
+            sizes = np.concatenate([[0], np.cumsum([len(m) for m in members])]).astype(np.int32)
+            values = pa.array(np.concatenate(members) if members else np.zeros(0, np.int64), pa.int64())
+            return pa.RecordBatch.from_pydict({
+                "list": pa.array(code, pa.int64()), "whole": pa.array(whole, pa.bool_()),
+                "gids": pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)})
+
+        def finish(code: int, members: np.ndarray, last: bool) -> list[tuple[int, bool, np.ndarray]]:
+            if not begun and last and len(members) <= list_block:
+                return [(code, True, members)] if len(members) > 1 else []
+            return [(code, False, members[i:i + list_block]) for i in range(0, len(members), list_block)]
+
+        for batch in batches:
+            code, gid = (np.concatenate([old, batch[c].to_numpy()]) for old, c in ((held, "code"), (gids, "gid")))
+            if not len(code):
+                continue
+            own = np.concatenate([[True], (code[1:] != code[:-1]) | (gid[1:] != gid[:-1])])
+            code, gid = code[own], gid[own]
+            cuts = np.concatenate([[0], np.flatnonzero(code[1:] != code[:-1]) + 1])
+            several = np.flatnonzero(np.diff(cuts) > 1) if not begun else np.arange(len(cuts) - 1)
+            out = []
+            for i in several.tolist():
+                out += finish(int(code[cuts[i]]), gid[cuts[i]:cuts[i + 1]], True)
+                begun = False
+            if len(cuts) > 1:
+                begun = False
+            held, gids = code[cuts[-1]:], gid[cuts[-1]:]
+            if len(held) > list_block:  # all but the last, which the next row may repeat
+                begun = True
+                out += finish(int(held[0]), gids[:-1], False)
+                held, gids = held[-1:], gids[-1:]
+            yield made(out)
+        if len(held):
+            yield made(finish(int(held[0]), gids, True))
+
+    return run
 
 
 def blocked(rows: DataFrame, sizes: DataFrame, on: str, member: Column) -> DataFrame:
@@ -161,48 +194,58 @@ def blocked(rows: DataFrame, sizes: DataFrame, on: str, member: Column) -> DataF
     return dealt.withColumns({"first": F.least("own", "other"), "second": F.greatest("own", "other")}).drop("other", "blocks")
 
 
+def near_pairs(sizes: np.ndarray, signatures: list[np.ndarray], single: np.ndarray, left: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i < left, j > i) that sizes and signatures do not rule out.
+
+    A signature speaks for a group of one set only. Sets of sizes a and b that are similar enough differ in
+    a + b - 2 * (least overlap) codes at most.
+    """
+    words = np.array([len(s) for s in signatures])
+    blocks = {w: (at, np.stack([signatures[i] for i in at])) for w in np.unique(words).tolist() for at in [np.flatnonzero(words == w)]}
+    narrow: dict[tuple[int, int], np.ndarray] = {}
+    lefts, rights = [], []
+    for i in range(left):
+        for w, (at, block) in blocks.items():
+            chosen = (at > i) & (np.minimum(sizes[i], sizes[at]) * 100 >= percent * np.maximum(sizes[i], sizes[at]))
+            if not chosen.any():
+                continue
+            fewest = min(w, int(words[i]))
+            if (w, fewest) not in narrow:
+                narrow[w, fewest] = folded(block, fewest)
+            j = at[chosen]
+            apart = np.bitwise_count(narrow[w, fewest][chosen] ^ folded(signatures[i], fewest)).sum(axis=1)
+            ok = (apart <= sizes[i] + sizes[j] - 2 * least_overlap(sizes[i], sizes[j], percent)) | ~(single[i] & single[j])
+            lefts.append(np.full(int(ok.sum()), i))
+            rights.append(j[ok])
+    join = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
+    return join(lefts), join(rights)
+
+
 def _list_edges(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, at in sorted_runs(batches, ("code", "first", "second")):
-            gid, n, place, own, first, second = (table[c].to_numpy() for c in ("gid", "n", "place", "own", "first", "second"))
+        for table, at in sorted_runs(batches, ("list", "first", "second")):
+            gid, n, own, first, second = (table[c].to_numpy() for c in ("gid", "n", "own", "first", "second"))
             single = table["single"].to_numpy(zero_copy_only=False)
-            bits = np.frombuffer(b"".join(table["sig"].to_pylist()), dtype=np.uint64).reshape(len(gid), -1)
+            signatures = [np.frombuffer(b, dtype=np.uint64) for b in table["sig"].to_pylist()]
             a_out, b_out = [], []
             for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
-                lefts, rights = [], []
                 across = first[s] != second[s]
-                for i in range(s, e):
-                    j = np.arange(i + 1, e) if not across else np.arange(s, e)[own[s:e] > own[i]]
-                    if not len(j):
-                        continue
-                    need = least_overlap(n[i], n[j], percent)
-                    most = np.minimum(place[i], place[j]) + 1 + np.minimum(n[i] - place[i], n[j] - place[j]) - 1
-                    ok = (np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j])) & (most >= need)
-                    j = j[ok]
-                    if not len(j):
-                        continue
-                    apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1)
-                    j = j[(apart <= n[i] + n[j] - 2 * need[ok]) | ~(single[i] & single[j])]
-                    lefts.append(np.full(len(j), i - s))
-                    rights.append(j - s)
-                if lefts:
-                    root = local_roots(e - s, np.concatenate(lefts), np.concatenate(rights))
+                order = s + (np.argsort(own[s:e], kind="stable") if across else np.arange(e - s))
+                left = int((own[s:e] == first[s]).sum()) if across else e - s
+                i, j = near_pairs(n[order], [signatures[k] for k in order.tolist()], single[order], left, percent)
+                if across:
+                    i, j = i[j >= left], j[j >= left]
+                if len(i):
+                    root = local_roots(e - s, i, j)
                     to = np.flatnonzero(root != np.arange(e - s))
-                    a_out.append(gid[s + to])
-                    b_out.append(gid[s + root[to]])
+                    a_out.append(gid[order[to]])
+                    b_out.append(gid[order[root[to]]])
             cat = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_pydict({"a": cat(a_out), "b": cat(b_out)})
 
     return run
 
 
-def _read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_pydict({
-            "cluster": batch["cluster"], "member": batch["member"], "copies": batch["copies"],
-            "codes": pa.array([shingle_set(t).tobytes() for t in _texts(batch)], pa.binary())})
-
-
 def overlaps(sets: list[np.ndarray], left: int) -> np.ndarray:
     """Intersection sizes of the first ``left`` sets with all sets."""
     n = len(sets)
@@ -234,8 +277,7 @@ def _cluster_links(percent: int):
                 ids, at_first = np.unique(member[s:e], return_index=True)
                 at_first = at_first[np.argsort(own[s + at_first], kind="stable")]
                 where = s + at_first
-                raw = table["codes"].take(pa.array(where)).to_pylist()
-                sets = [np.frombuffer(r, dtype=np.uint64) for r in raw]
+                sets = shingle_sets(table["_text"].take(pa.array(where)).cast(pa.binary()).to_pylist())
                 across = first[s] != second[s]
                 left = int((own[where] == first[s]).sum())
                 common = overlaps(sets, left)
@@ -283,14 +325,17 @@ def verdicts_by_text(docs: DataFrame, text: str, key: str, percent: int) -> Data
     groups = settle(classes.groupBy("gid").agg(
         F.min("n").alias("n"), F.min("sig").alias("sig"), (F.count("*") == 1).alias("single")), "groups")
 
-    index = texts.select("_text").mapInArrow(_read_members(order, percent, True), "code long, gid long, place int")
+    index = texts.select("_text").mapInArrow(_read_members(order, percent, True), "code long, gid long")
     lists = settle(
-        index.repartition("code").sortWithinPartitions("code", "gid").mapInArrow(_shared_only, "code long, gid long, place int"), "lists")
-    long_lists = lists.groupBy("code").count().filter(F.col("count") > LIST_BLOCK).select(
-        "code", F.ceil(F.col("count") / LIST_BLOCK).alias("blocks"))
-    dealt = blocked(lists.join(groups, "gid"), long_lists, "code", F.xxhash64("gid"))
+        index.repartition("code").sortWithinPartitions("code", "gid").mapInArrow(_shared_lists(LIST_BLOCK), LIST_SCHEMA), "lists")
+    # copies share many shingles, which then have the same list; one of these is enough
+    short = lists.filter("whole").groupBy("gids").agg(F.min("list").alias("list")).select("list", F.explode("gids").alias("gid"))
+    pieces = lists.filter("NOT whole")
+    sizes = pieces.groupBy("list").agg(F.ceil(F.sum(F.size("gids")) / LIST_BLOCK).alias("blocks"))
+    entries = short.union(pieces.select("list", F.explode("gids").alias("gid")))
+    dealt = blocked(entries.join(groups, "gid"), sizes, "list", F.xxhash64("gid"))
     edges = (
-        dealt.repartition("code", "first", "second").sortWithinPartitions("code", "first", "second")
+        dealt.repartition("list", "first", "second").sortWithinPartitions("list", "first", "second")
         .mapInArrow(_list_edges(percent), "a long, b long"))
     near = connected_components(edges)
 
@@ -302,10 +347,10 @@ def verdicts_by_text(docs: DataFrame, text: str, key: str, percent: int) -> Data
         F.ceil(F.col("members") / MEMBER_BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).alias("blocks")).filter("blocks > 1"), "cluster-blocks")
     readers = several.select("cluster", "member", "copies", F.col("reader._key").alias("_reader"), F.col("reader._text_hash").alias("_hash"))
     same = texts["_key"].eqNullSafe(readers["_reader"]) & (texts["_text_hash"] == readers["_hash"])
-    sets = texts.join(readers, same).select("cluster", "member", "copies", "_text").mapInArrow(
-        _read_sets, "cluster long, member long, copies long, codes binary")
+    # members grow with the table, so the texts are joined by a shuffle at every size
+    members_read = texts.join(readers.hint("merge"), same).select("cluster", "member", "copies", "_text")
     compared = settle(
-        blocked(sets, blocks, "cluster", F.xxhash64("member"))
+        blocked(members_read, blocks, "cluster", F.xxhash64("member"))
         .repartition("cluster", "first", "second").sortWithinPartitions("cluster", "first", "second", "member")
         .mapInArrow(_cluster_links(percent), "member long, root long, links long"), "links")
     linked = compared.groupBy("member").agg(F.sum("links").alias("links"))

@@ -8,7 +8,7 @@ import pytest
 from flowquarry.llm import jaccard_join
 from flowquarry.llm.arrays import shingle_set, word_codes
 from flowquarry.llm.components import connected_components
-from flowquarry.llm.jaccard_join import drop_near_duplicates, near_duplicates, overlaps
+from flowquarry.llm.jaccard_join import drop_near_duplicates, near_duplicates, near_pairs, overlaps, signature
 from tests.llm.data import WORDS, awkward_texts, frame
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -102,6 +102,22 @@ def test_overlaps_by_matrix():
     assert (overlaps(sets, 5) == [[len(np.intersect1d(a, b)) for b in sets] for a in sets[:5]]).all()
 
 
+def test_signatures_never_rule_out_a_link():
+    pick = np.random.default_rng(2)
+    for n in (3, 40, 900, 1100, 2100, 5000):
+        base = np.unique(pick.integers(0, 1 << 63, n, dtype=np.uint64))
+        for gone, new in ((0, 0), (n // 8, 0), (n // 14, n // 14), (0, n // 3)):
+            other = np.unique(np.concatenate([base[gone:], pick.integers(0, 1 << 63, new, dtype=np.uint64)]))
+            common = len(np.intersect1d(base, other))
+            sizes = np.array([len(base), len(other)])
+            found = near_pairs(sizes, [signature(base), signature(other)], np.array([True, True]), 2, 75)
+            if 100 * common >= 75 * (sizes.sum() - common):
+                assert len(found[0]) == 1
+        far = np.unique(pick.integers(0, 1 << 63, n, dtype=np.uint64))
+        if n > 40:
+            assert len(near_pairs(np.array([n, n]), [signature(base), signature(far)], np.array([True, True]), 2, 75)[0]) == 0
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 95), (97, 95), (7, 7)], "a long, b long")
     found = {r.node: r.component for r in connected_components(edges).collect()}

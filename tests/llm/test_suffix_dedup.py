@@ -7,7 +7,7 @@ import pytest
 
 from flowquarry.llm import suffix_dedup
 from flowquarry.llm.suffix_dedup import LENGTH, adjacent_prefixes, repeated_passages, smaller_than_next, suffix_order
-from tests.llm.data import awkward_texts, frame
+from tests.llm.data import awkward_texts, frame, prose
 
 
 def brute_force(rows):
@@ -39,9 +39,9 @@ def test_awkward_texts(spark, batch_bytes):
     assert _found(repeated_passages(frame(spark, rows), batch_bytes=batch_bytes)) == brute_force(rows)
 
 
-def test_long_texts_in_units(spark, monkeypatch):
-    rows = awkward_texts()[:20]
-    monkeypatch.setattr(suffix_dedup, "UNIT_BYTES", 256)
+def test_long_texts_in_units(spark):
+    rows = [(2, prose(61, 60_000)), (1, prose(61, 60_000)[150_001:400_000]), (3, prose(62, 70_000) + prose(61, 200)), (4, "z" * 700_000)]
+    assert len(rows[0][1]) > suffix_dedup.UNIT_BYTES
     assert _found(repeated_passages(frame(spark, rows))) == brute_force(rows)
 
 

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from flowquarry.llm import token_store, tokenizing
+from flowquarry.llm import tokenizing
 from flowquarry.llm.token_counts import token_counts
 from flowquarry.llm.token_store import dac_access, dac_decode, dac_encode, read_token_store, tokens_at, write_token_store
 from flowquarry.llm.tokenizing import WordIds, load_tokenizer
@@ -40,8 +40,7 @@ def test_codes_round_trip_and_random_access(n):
     assert (dac_access(*coded, at) == ids[at]).all()
 
 
-def test_store_round_trip(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(token_store, "TEXTS_AT_ONCE", 1000)
+def test_store_round_trip(spark, tmp_path):
     rows, path = awkward_texts(), str(tmp_path / "store")
     write_token_store(frame(spark, rows), path)
     library = load_tokenizer("word_bpe_49k.json")
