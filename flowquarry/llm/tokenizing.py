@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
-from collections import ChainMap
+import re
 from collections.abc import Iterable
 
 import numpy as np
@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 WORD_END = "</w>"  # fixed value: how such a vocabulary marks the last token of a pre-token
 JOINED = 512  # words given to the library in one string
+CLOSING = re.compile(rb"(?<=[0-9A-Za-z])([,.])(?=[ \t-\r]|\Z)")  # a lone comma or full stop at the end of a word
 CACHE_ENTRIES = 1_000_000  # words a worker remembers; later new words are encoded each time they occur
 
 
@@ -49,13 +50,12 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith(WORD_END)
-        self.closing = {c: self._library([c])[0] for c in (b",", b".")}
 
     def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words by the library. A word of Latin letters is one pre-token, which ends with the only
         id that has the word end; so many of them can be given to the library in one string."""
         texts = [w.decode() for w in words]
-        plain = [t.isalpha() and max(t) < "\u0250" and "\u0130" not in t for t in texts]
+        plain = [w.isalpha() or t.isalpha() and max(t) < "\u0250" and "\u0130" not in t for w, t in zip(words, texts)]
         out = {}
         letters = [i for i, p in enumerate(plain) if p]
         joined = [" ".join([texts[i] for i in letters[k:k + JOINED]]) for k in range(0, len(letters), JOINED)]
@@ -72,33 +72,27 @@ class WordIds:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def _core(self, word: bytes) -> tuple[bytes, bytes]:
-        last = word[-1:] if word[-1:] in self.closing and word[-2:-1].isalnum() else b""
-        core = word[:-1] if last else word
-        return (core.lower() if core.isalpha() else core), last
-
     def learn(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
-        """Ids of the words that the cache lacks."""
-        cores = {w: self._core(w) for w in words}
-        unknown = sorted({c for c, _ in cores.values()} - self.cache.keys())
-        ids = self._encode(unknown)
-        out = {}
-        for word, (core, last) in cores.items():
-            known = ids[core] if core in ids else self.cache[core]
-            out[word] = known + self.closing[last] if last else known
-        if len(self.cache) < CACHE_ENTRIES:
-            self.cache.update(ids)
-            self.cache.update(out)
+        """Ids of words that the cache lacks; ASCII words of either case share them."""
+        cores = {w: w.lower() if w.isascii() else w for w in words}
+        cache = self.cache
+        ids = self._encode(sorted({c for c in cores.values() if c not in cache}))
+        out = {w: ids[c] if c in ids else cache[c] for w, c in cores.items()}
+        if len(cache) < CACHE_ENTRIES:
+            cache.update(ids)
+            cache.update(out)
         return out
 
     def texts(self, texts: Iterable[bytes | None]) -> list[bytes]:
-        split = [(t or b"").split() for t in texts]
-        known = self.cache
-        if new := set().union(*split) - known.keys():
-            learnt = self.learn(new)
-            if not new <= known.keys():
-                known = ChainMap(learnt, known)
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
+        split = [CLOSING.sub(rb" \1", t.lower() if t.isascii() else t).split() if t else [] for t in texts]
+        distinct = list(set().union(*split))
+        # the words of these texts only: a small table is faster to look up in, and the cache may be full
+        known = dict(zip(distinct, map(self.cache.get, distinct)))
+        new = [w for w, ids in known.items() if ids is None]
+        if new:
+            known.update(self.learn(new))
+        get = known.__getitem__
+        return [b"".join(map(get, ws)) for ws in split]
 
 
 @functools.lru_cache(maxsize=2)
