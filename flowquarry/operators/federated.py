@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowquarry.functions.stats import standard_normal
-from flowquarry.operators.evaluation import accuracy, with_predicted_class
 from flowquarry.operators.positions import attach, order_hash
-from flowquarry.operators.preparation import scale_array, train_scaler
-from flowquarry.operators.sampling import client_parts
-from flowquarry.session import settle
 
 
 # --- one round, as tables (round, client, pos, w0, w1) -----------------------
@@ -68,116 +59,6 @@ def ciphertext_count(length: Column, degree: int = 8192) -> Column:
     return F.ceil(length / (degree // 2)).cast("long")
 
 
-# --- whole rounds ------------------------------------------------------------
-
-@dataclass(frozen=True)
-class FederatedConfig:
-    clients: int = 5
-    rounds: int = 10
-    local_epochs: int = 2
-    learning_rate: float = 0.5
-    iid: bool = True
-    use_noise: bool = False
-    noise_multiplier: float = 0.8
-    clip: float = 1.0
-    seed: int = 79
-
-
-def _gradient_sums(weights: np.ndarray, classes: int):
-    """Per task: sum of softmax gradients per client, a few numbers however many rows the task reads."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros_like(weights)
-        rows = np.zeros(len(weights))
-        for batch in batches:
-            x = np.column_stack([np.stack(batch["scaled"].to_numpy()), np.ones(len(batch))])
-            y = batch["label_id"].to_numpy()
-            clients = batch["client"].to_numpy()
-            for c in np.unique(clients):
-                mine = clients == c
-                logits = x[mine] @ weights[c].T
-                p = np.exp(logits - logits.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                p[np.arange(len(p)), y[mine]] -= 1.0
-                sums[c] += p.T @ x[mine]
-                rows[c] += len(p)
-        per_client = sums[0].size
-        yield pd.DataFrame({
-            "client": np.repeat(np.arange(len(weights)), per_client),
-            "pos": np.tile(np.arange(per_client), len(weights)),
-            "gradient": sums.ravel(),
-            "rows": np.repeat(rows, per_client),
-        })
-
-    return run
-
-
-def _local_step(parts: DataFrame, weights: np.ndarray, classes: int, rate: float) -> np.ndarray:
-    """One gradient step of every client at once; reads all rows in parallel, sums on (client, position)."""
-    partial = parts.select("client", "scaled", "label_id").mapInPandas(
-        _gradient_sums(weights, classes), "client int, pos long, gradient double, rows double")
-    sums = partial.groupBy("client", "pos").agg(F.sum("gradient").alias("g"), F.sum("rows").alias("n"))
-    step = np.zeros_like(weights)
-    for r in sums.filter("n > 0").collect():  # clients x weights numbers
-        step[r["client"]].flat[r["pos"]] = r["g"] / r["n"]
-    return weights - rate * step
-
-
-def federated_rounds(
-    df: DataFrame, config: FederatedConfig, key: str = "id"
-) -> tuple[DataFrame, DataFrame]:
-    """Softmax models trained by clients and averaged each round; (weights per round, accuracy).
-
-    A client is a share of the rows, not a task: its gradient is summed over all
-    tasks, so no client has to fit into one. The model (classes x features) is
-    the only thing that goes through the driver.
-    """
-    spark = df.sparkSession
-    classes = int(df.agg(F.max("label_id")).first()[0]) + 1
-    scaled = scale_array(df, settle(train_scaler(df, "x"), "scaler"), "x")
-    parts = settle(client_parts(
-        scaled.select(key, "scaled", "label_id"), config.clients, config.seed, key,
-        None if config.iid else "label_id"), "clients")
-    features = int(parts.select(F.size("scaled")).first()[0]) + 1
-    model = np.zeros((classes, features))
-    history = None
-    for r in range(1, config.rounds + 1):
-        local = np.repeat(model[None], config.clients, axis=0)
-        for _ in range(config.local_epochs):
-            local = _local_step(parts, local, classes, config.learning_rate)
-        updates = spark.createDataFrame(pd.DataFrame({
-            "round": np.int32(r),
-            "client": np.repeat(np.arange(config.clients, dtype=np.int32), model.size),
-            "pos": np.tile(np.arange(model.size), config.clients),
-            "w0": np.tile(model.ravel(), config.clients),
-            "w1": local.ravel(),
-        }))
-        if config.use_noise:
-            updates = noise_updates(
-                clip_updates(updates, config.clip), config.noise_multiplier, config.clip, config.seed)
-        else:
-            updates = updates.withColumn("w", F.col("w1"))
-        averaged = settle(federated_average(updates), "round")
-        for row in averaged.collect():
-            model.flat[row["pos"]] = row["w"]
-        history = averaged if history is None else history.unionByName(averaged)
-    return history, accuracy(predict_softmax(parts, model))
-
-
-def predict_softmax(rows: DataFrame, model: np.ndarray) -> DataFrame:
-    """Class probabilities of scaled rows as column expressions."""
-    logits = []
-    for w in model:
-        weights = F.array(*[F.lit(float(v)) for v in w[:-1]])
-        logits.append(F.aggregate(
-            F.zip_with("scaled", weights, lambda a, b: a * b), F.lit(float(w[-1])), lambda acc, v: acc + v))
-    shifted = rows.withColumn("_z", F.array(*logits)).withColumn("_top", F.array_max("_z"))
-    powers = shifted.withColumn("_p", F.transform("_z", lambda z: F.exp(z - F.col("_top"))))
-    total = F.aggregate("_p", F.lit(0.0), lambda acc, v: acc + v)
-    scored = powers.withColumn("_total", total).withColumn("proba", F.transform("_p", lambda p: p / F.col("_total")))
-    return with_predicted_class(scored.withColumnRenamed("label_id", "y_true")).drop("_z", "_top", "_p", "_total")
-
-
 # --- scenario results --------------------------------------------------------
 
 # What each scenario is expected to show.

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from flowquarry.operators import federated
-from flowquarry.plans.adapters import client_updates, scenario_tables, vectors
+from flowquarry.plans.adapters import client_updates, scenario_tables
 from flowquarry.plans.registry import FLOWS, UPDATES, hash_order, query, rounded, with_sql
 
 CLIP, SIGMA, SEED = 0.1, 0.8, 79
@@ -114,28 +114,3 @@ def scenario_checks(spark, sf_dir):
 
 
 # From zero weights the softmax is uniform, so the first step has a closed form.
-@query("federated_first_round", with_sql(U, f"""
-, scaled AS (SELECT id, label_id, pos, (v - avg(v) OVER (PARTITION BY pos)) / stddev_pop(v) OVER (PARTITION BY pos) AS z FROM coords
-  UNION ALL SELECT id, label_id, 64, 1.0 FROM vectors),
-parts AS (SELECT id, ntile(4) OVER (ORDER BY {hash_order(SEED, "id")}, id) AS client FROM vectors),
-steps AS (SELECT client, c, pos, -0.5 * avg((0.1 - (label_id = c)::INT) * z) AS w
-  FROM scaled JOIN parts USING (id), range(10) classes(c) GROUP BY client, c, pos)
-SELECT CAST(1 AS INTEGER) AS round, CAST(c * 65 + pos AS BIGINT) AS pos, round(avg(w), 6) AS w FROM steps GROUP BY c, pos"""))
-def federated_first_round(spark, sf_dir):
-    config = federated.FederatedConfig(clients=4, rounds=1, local_epochs=1)
-    history, _ = federated.federated_rounds(vectors(spark, sf_dir), config)
-    return rounded(history, 6, "w")
-
-
-@query("federated_rounds")
-def federated_rounds(spark, sf_dir):
-    config = federated.FederatedConfig(clients=4, rounds=2, local_epochs=2)
-    history, _ = federated.federated_rounds(vectors(spark, sf_dir), config)
-    return rounded(history, 6, "w")
-
-
-@query("federated_rounds_private")
-def federated_rounds_private(spark, sf_dir):
-    config = federated.FederatedConfig(clients=4, rounds=2, local_epochs=1, use_noise=True, iid=False)
-    _, score = federated.federated_rounds(vectors(spark, sf_dir), config)
-    return rounded(score, 6, "accuracy")

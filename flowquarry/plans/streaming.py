@@ -12,7 +12,6 @@ from flowquarry.session import scratch_path
 from flowquarry.streaming import count_windows, monitors
 
 WATERMARK = "10 minutes"
-CLOSED = "WHERE window_end <= (SELECT max(ts) - INTERVAL '10 minutes' FROM flows)"
 
 
 def event_stream(spark, sf_dir):
@@ -20,6 +19,11 @@ def event_stream(spark, sf_dir):
     return event_columns(monitors.read_parquet_stream(spark, f"{sf_dir}/events.parquet*", schema))
 
 
+def event_rows(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return event_columns(events.withColumn("ts", F.col("ts").cast("timestamp")))
+
+
 def _started(df):
     return df.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")).drop("window_end")
 
@@ -30,10 +34,11 @@ def _label_counts(name: str):
     @query(f"stream_label_counts_{name}", with_sql([FLOWS], f"""
 , counted AS (SELECT time_bucket(INTERVAL '{duration}', ts) AS s, time_bucket(INTERVAL '{duration}', ts) + INTERVAL '{duration}' AS window_end,
   label, count(*) AS n FROM flows GROUP BY ALL)
-SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, label, n FROM counted {CLOSED}"""))
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, label, n FROM counted"""))
     def label_counts(spark, sf_dir):
-        stream = monitors.label_counts_stream(event_stream(spark, sf_dir), duration, WATERMARK)
-        return _started(monitors.run_to_table(stream, scratch_path(spark, "label-counts")))
+        return _started(monitors.run_bounded(
+            lambda df: monitors.label_counts_stream(df, duration, WATERMARK), event_stream(spark, sf_dir), event_rows(spark, sf_dir),
+            WATERMARK, scratch_path(spark, "label-counts")))
 
 
 for _name in TIME_RESOLUTIONS:
@@ -47,11 +52,12 @@ counted AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS s, time_bucket(INTERVAL
   count(*) FILTER (a AND f) AS tp FROM marked GROUP BY ALL)
 SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, tn, fp, fn, tp, round(COALESCE(tp / nullif(tp + fn, 0), 0), 9) AS detection_rate,
   round(COALESCE(fp / nullif(fp + tn, 0), 0), 9) AS false_alarm_rate, round(COALESCE(tp / nullif(tp + fp, 0), 0), 9) AS attack_precision
-FROM counted {CLOSED}"""))
+FROM counted"""))
 def stream_detection_rate(spark, sf_dir):
     flagged = F.when(F.col("value") > 5, "flagged").otherwise(BENIGN)
-    stream = monitors.detection_stream(event_stream(spark, sf_dir).withColumn("predicted", flagged), "1 hour", WATERMARK)
-    rates = _started(monitors.run_to_table(stream, scratch_path(spark, "detection")))
+    stream, rows = (df.withColumn("predicted", flagged) for df in (event_stream(spark, sf_dir), event_rows(spark, sf_dir)))
+    rates = _started(monitors.run_bounded(
+        lambda df: monitors.detection_stream(df, "1 hour", WATERMARK), stream, rows, WATERMARK, scratch_path(spark, "detection")))
     return rounded(rates, 9, "detection_rate", "false_alarm_rate", "attack_precision")
 
 

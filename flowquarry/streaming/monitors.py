@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -50,3 +52,17 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str | None = None) ->
         .trigger(availableNow=True).start())
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
+
+
+def run_bounded(
+    make: Callable[[DataFrame], DataFrame], stream: DataFrame, rows: DataFrame, watermark: str, path: str, ts: str = "ts",
+) -> DataFrame:
+    """All windows of a stream over a source that has ended; ``rows`` is that source as a table.
+
+    The stream writes the windows that the watermark has passed. Those still open when the data ends are counted from
+    the rows: none of their rows can have been late.
+    """
+    closed = run_to_table(make(stream), path)
+    passed = rows.agg((F.max(ts) - F.expr(f"INTERVAL {watermark}")).alias("passed"))
+    still_open = make(rows).filter(F.col("window_end") > passed.scalar())
+    return closed.unionByName(still_open)

@@ -41,25 +41,6 @@ def test_epsilon_uses_the_row_floor_and_is_null_without_noise(spark):
     assert got["E"] == pytest.approx(100 * (64 / 32000) / 0.64)
 
 
-def test_one_round_equals_plain_gradient_steps(spark):
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(60, 3))
-    y = rng.integers(0, 3, 60)
-    df = spark.createDataFrame([(i, [float(v) for v in r], int(c)) for i, (r, c) in enumerate(zip(x, y))],
-                               "id long, x array<double>, label_id int")
-    config = federated.FederatedConfig(clients=1, rounds=1, local_epochs=2, learning_rate=0.3)
-    history, score = federated.federated_rounds(df, config)
-    z = np.column_stack([(x - x.mean(axis=0)) / x.std(axis=0), np.ones(60)])
-    w = np.zeros((3, 4))
-    for _ in range(2):
-        p = np.exp(z @ w.T)
-        p /= p.sum(axis=1, keepdims=True)
-        w -= 0.3 * (p - np.eye(3)[y]).T @ z / 60
-    got = [r["w"] for r in history.orderBy("pos").collect()]
-    assert np.allclose(got, w.ravel())
-    assert score.first()[0] == pytest.approx(((z @ w.T).argmax(axis=1) == y).mean())
-
-
 def scenario_tables(spark):
     results = spark.createDataFrame(
         [("A", 0.9, 0.5, 10.0, None, False, False), ("B", 0.0, 0.6, 20.0, None, False, False),

@@ -57,3 +57,12 @@ def test_detection_stream(spark, tmp_path):
     got = monitors.run_to_table(
         monitors.detection_stream(flagged, "20 minutes", "1 minute"), str(tmp_path / "out"), str(tmp_path / "state")).collect()
     assert [(r["tp"], r["fn"], r["tn"], r["fp"], r["detection_rate"]) for r in got] == [(5, 5, 10, 0, 0.5)]
+
+
+def test_a_source_that_has_ended_leaves_no_window_open(spark, tmp_path):
+    write(spark, rows(0, 60), tmp_path, "batch0")
+    table = spark.read.schema(SCHEMA).parquet(f"{tmp_path}/batch*")
+    got = monitors.run_bounded(
+        lambda df: monitors.label_counts_stream(df, "10 minutes", "5 minutes"), stream(spark, tmp_path), table, "5 minutes", str(tmp_path / "out"))
+    assert {(r["window_start"].minute, r["label"]): r["n"] for r in got.collect()} == {
+        (m, label): 5 for m in range(0, 60, 10) for label in ("BENIGN", "dos")}
