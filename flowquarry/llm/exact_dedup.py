@@ -94,7 +94,8 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", block
     """
     names = text_names(docs, text, key, block_bytes)
     best = F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "_row")).alias("best")
-    groups = names.groupBy("levels", "name").agg(best, F.count("*").alias("group_size"))
+    # written first: a join of two plain exchanges can split a large group
+    groups = settle(names.groupBy("levels", "name").agg(best, F.count("*").alias("group_size")), "groups")
     return names.join(groups, ["levels", "name"]).select(
         F.col("key").alias(key), F.col("best.key").alias("keep_id"), "group_size",
         (F.col("_row") == F.col("best._row")).alias("kept"), "text_sha256")
