@@ -30,11 +30,11 @@ from flowquarry.llm.arrays import BYTE_BASE, BYTE_CODES, mixed, sorted_runs
 LENGTH = 50
 GRAM = 16
 SPREAD = LENGTH - GRAM + 1  # places of the gram in a string
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 PLACE_BITS = 20
 UNIT_BYTES = 1 << 18  # bytes worked on at once; a longer text is cut with an overlap
 PACKED = 6  # bytes of a hash that are sent, besides the bucket it is sent to
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 MAX_BUCKET_BITS = 16
 NO_KEY = np.iinfo(np.int64).max  # a NULL key is later than all others
 
@@ -86,9 +86,10 @@ def stretches(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         goes_on[1:] = valid[1:] & valid[:-1] & (place[1:] == place[:-1])
         breaks = np.flatnonzero(~goes_on)
         starts = breaks[valid[breaks]]
+        # an anchor's hash is the least of many, so it is mixed once more before it is used to deal anchors out
         ends = np.concatenate([breaks, [len(place)]])[np.searchsorted(breaks, starts) + 1]
         part = np.searchsorted(begins, starts, side="right") - 1
-        yield np.asarray(index)[part], starts - begins[part] + np.asarray(base)[part], ends - starts, gram[place[starts]]
+        yield np.asarray(index)[part], starts - begins[part] + np.asarray(base)[part], ends - starts, mixed(gram[place[starts]])
 
 
 def _docs(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
