@@ -13,14 +13,11 @@ from flowquarry.plans.registry import FLOWS, query, with_sql
 
 
 def windows_cte(size: int, step: int, partition: str = "") -> str:
-    """Windows as joins of positions, one row per (window, time step)."""
-    by, keep = (f"PARTITION BY {partition} ", f"{partition}, ") if partition else ("", "")
-    same = f"AND p.{partition} = w.{partition}" if partition else ""
-    return f"""placed AS (SELECT *, row_number() OVER ({by}ORDER BY ts, row_key) - 1 AS pos FROM flows),
-ends AS (SELECT {keep}max(pos) AS last_pos FROM placed {"GROUP BY " + partition if partition else ""}),
-starts AS (SELECT {keep}unnest(range(0, last_pos - {size} + 2, {step})) AS start FROM ends),
-cut AS (SELECT {"w." + partition + "," if partition else ""} w.start // {step} AS window_id, p.pos - w.start AS step_no, p.* {"EXCLUDE (" + partition + ")" if partition else ""}
-        FROM starts w JOIN placed p ON p.pos BETWEEN w.start AND w.start + {size} - 1 {same})"""
+    """One row per (window, time step): each position lists the windows it lies in."""
+    by = f"PARTITION BY {partition}" if partition else ""
+    return f"""placed AS (SELECT *, row_number() OVER ({by} ORDER BY ts, row_key) - 1 AS pos, count(*) OVER ({by}) - 1 AS last_pos FROM flows),
+listed AS (SELECT *, unnest(range(greatest((pos - {size} + {step}) // {step}, 0), pos // {step} + 1)) AS window_id FROM placed),
+cut AS MATERIALIZED (SELECT *, pos - window_id * {step} AS step_no FROM listed WHERE window_id * {step} + {size} - 1 <= last_pos)"""
 
 
 def _windows(spark, sf_dir, size=10, step=5, groups=()):
