@@ -4,7 +4,8 @@ Matches are strings of ``LENGTH`` bytes. To bring equal strings together without
 all suffixes, each string is assigned to its anchor, the place in it whose ``GRAM`` bytes have the
 smallest hash; equal strings have equal anchors, and the strings of one anchor start side by side.
 
-1. Documents are dealt into batches of bounded size by a hash, once; all steps read that exchange.
+1. Documents are dealt into batches of bounded size by a hash of the text, salted if some text has too many copies
+   for one batch, once; all steps read that exchange.
 2. A batch reports the hashes of its anchors; only those that two documents share go on.
 3. A batch sends, for each shared anchor, the stretch of text its strings lie in, equal stretches once.
 4. Stretches of one anchor meet. Of different ones a suffix array is built in two stages: suffixes that are
@@ -33,7 +34,7 @@ SPREAD = LENGTH - GRAM + 1  # places of the gram in a string
 BATCH_BYTES = 4 << 20
 PLACE_BITS = 20
 UNIT_BYTES = 1 << 18  # bytes worked on at once; a longer text is cut with an overlap
-PACKED = 6  # bytes of a hash that are sent, besides the bucket it is sent to
+PACKED = 5  # bytes of a hash that are sent, besides the bucket it is sent to; a chance hit costs work, not rightness
 BUCKET_BYTES = 8 << 20
 MAX_BUCKET_BITS = 16
 NO_KEY = np.iinfo(np.int64).max  # a NULL key is later than all others
@@ -376,11 +377,17 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id",
     remove nothing from each other. Other columns are not read. An empty table gives no rows.
     """
     table = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    total = table.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
+    size = F.sum(F.octet_length("text").cast("long"))
+    by_text = table.groupBy(F.xxhash64("text").alias("hash")).agg(size.alias("bytes"))
+    found = by_text.agg(F.sum("bytes").alias("total"), F.max("bytes").alias("most")).first()
+    total = found.total or 0
+    # copies of a text share a batch, which sends their stretches once, unless they are too many for one
+    salts = max(1, -(-(found.most or 0) // batch_bytes))
     batches = max(1, -(-total // batch_bytes))
     # an anchor is expected every (SPREAD + 1) / 2 bytes
     bits = min(MAX_BUCKET_BITS, max(1, (int(total * 2 / (SPREAD + 1) * PACKED / BUCKET_BYTES)).bit_length()))
-    dealt = table.withColumn("batch", F.pmod(F.xxhash64("doc", "text"), F.lit(batches)))
+    salt = F.pmod(F.xxhash64("doc"), F.lit(salts))
+    dealt = table.withColumn("batch", F.pmod(F.xxhash64(salt, "text"), F.lit(batches)))
     reported = dealt.groupBy("batch").applyInArrow(_report_anchors(bits), "bucket long, batch long, codes binary")
     shared = reported.groupBy("bucket").applyInArrow(_shared_anchors, "batch long, bucket long, codes binary")
     sent = dealt.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(
