@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +26,36 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowquarry.llm.tokenizing import word_ids
-from flowquarry.session import scratch_path
+from flowquarry.session import scratch_path, settle
 
 CHUNK_BITS = 8
 RANK_BITS = 512
 SEGMENT_TOKENS = 1 << 20
 TEXTS_AT_ONCE = 1 << 21  # characters tokenized in one go
+ROWS_AT_ONCE = 512  # documents that Spark hands to a worker at once
+BYTES_AT_ONCE = 1 << 22  # and their bytes, beyond the last one of them
+SEGMENTS_AT_ONCE = 4  # segments handed to a worker at once
+ROW_GROUP = 1 << 24  # bytes of a store's row group, which a task holds as it writes and as it reads
 
 SEGMENT_SCHEMA = (
     "part int, segment int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, "
     "levels array<binary>, marks array<binary>, ranks array<binary>")
 
 
+@contextmanager
+def _small_batches(spark: SparkSession, rows: int):
+    """Bounds the Arrow batches of the jobs inside: by default one holds 10,000 rows, however long their texts are."""
+    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(BYTES_AT_ONCE)}
+    before = {k: spark.conf.get(k, None) for k in bounds}
+    try:
+        for k, v in bounds.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def dac_encode(ids: np.ndarray) -> tuple[list[bytes], list[bytes], list[bytes]]:
     """Chunk levels, continuation bitmaps and rank directories of unsigned 32-bit ids."""
     levels, marks, ranks = [], [], []
@@ -96,6 +115,7 @@ def _segments(tokenizer: str, end_id: int):
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what earlier work of this process has left
         words, part, number = word_ids(tokenizer), TaskContext.get().partitionId(), 0
         docs, coded, held = [], [], 0
 
@@ -140,7 +160,8 @@ def write_token_store(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
     segments = ordered.mapInArrow(_segments(tokenizer, end_id), SEGMENT_SCHEMA)
-    segments.write.option("compression", "zstd").parquet(path)
+    with _small_batches(docs.sparkSession, ROWS_AT_ONCE):
+        segments.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
@@ -175,8 +196,10 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_token_store(spark: SparkSession, path: str) -> DataFrame:
     """A row per document as read back: doc_id, start, n_tokens (end id included), ids_crc32."""
     segments = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
-    docs = segments.drop("n_tokens").mapInArrow(
+    decoded = segments.drop("n_tokens").mapInArrow(
         _documents, "part int, segment int, doc_id long, offset long, n_tokens long, ids_crc32 long")
+    with _small_batches(spark, SEGMENTS_AT_ONCE):
+        docs = settle(decoded, "token-documents")
     starts = read_segments(spark, path).select("part", "segment", "start")
     return docs.join(starts, ["part", "segment"]).select(
         "doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")

@@ -13,7 +13,8 @@ from tokenizers import Tokenizer
 WORD_END = "</w>"  # fixed value: how such a vocabulary marks the last token of a pre-token
 JOINED = 512  # words given to the library in one string
 CLOSING = re.compile(rb"(?<=[0-9A-Za-z])([,.])(?=[ \t-\r]|\Z)")  # a lone comma or full stop at the end of a word
-CACHE_ENTRIES = 1_000_000  # words a worker remembers; later new words are encoded each time they occur
+CACHE_ENTRIES = 500_000  # words a worker remembers; later new words are encoded each time they occur
+CACHE_WORD = 64  # bytes of the longest word that is remembered
 
 
 def tokenizer_path(name: str) -> str:
@@ -78,9 +79,12 @@ class WordIds:
         cache = self.cache
         ids = self._encode(sorted({c for c in cores.values() if c not in cache}))
         out = {w: ids[c] if c in ids else cache[c] for w, c in cores.items()}
-        if len(cache) < CACHE_ENTRIES:
-            cache.update(ids)
-            cache.update(out)
+        for new in (ids, out):
+            for w, i in new.items():
+                if len(cache) >= CACHE_ENTRIES:
+                    return out
+                if len(w) <= CACHE_WORD:
+                    cache[w] = i
         return out
 
     def texts(self, texts: Iterable[bytes | None]) -> list[bytes]:

@@ -77,3 +77,36 @@ def test_counts_are_the_librarys(spark, table_entries):
 
 def test_counts_of_an_empty_table(spark):
     assert token_counts(frame(spark, [])).collect() == []
+
+
+def test_memory_of_the_store_is_bounded(spark, tmp_path, monkeypatch):
+    """Batches of few rows and bytes reach the workers, few bytes are remembered, and the session stays as it was."""
+    from flowquarry.llm import token_store
+
+    seen, name, inner = str(tmp_path / "seen"), "spark.sql.execution.arrow.maxRecordsPerBatch", token_store._segments
+
+    def spied(*args):
+        def run(batches):
+            def count():
+                for b in batches:
+                    with open(seen, "a") as f:
+                        f.write(f"{len(b)} {b.nbytes}\n")
+                    yield b
+            return inner(*args)(count())
+        return run
+
+    monkeypatch.setattr(token_store, "_segments", spied)
+    before, text = spark.conf.get(name), "word" + " " * 100_000
+    write_token_store(spark.range(1500).selectExpr("id AS doc_id", f"'{text}' AS text").coalesce(1), str(tmp_path / "store"))
+    sizes = [tuple(map(int, line.split())) for line in open(seen)]
+    assert sum(n for n, _ in sizes) == 1500 and max(n for n, _ in sizes) <= 512 and max(b for _, b in sizes) < 16 << 20
+    assert spark.conf.get(name) == before
+    words = WordIds("word_bpe_49k.json")
+    words.texts([b"Q" * 500 + b" short"])
+    assert b"short" in words.cache and max(map(len, words.cache)) <= 64
+
+
+def test_earlier_mixing_targets_stay():
+    import corpus_pipeline
+
+    assert corpus_pipeline.WEIGHTS == {"en": 0.50, "de": 0.15, "fr": 0.15, "es": 0.12, "low": 0.08}
