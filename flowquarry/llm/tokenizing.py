@@ -42,16 +42,24 @@ class WordIds:
     words' ids in a row; words are split at ASCII white space, as bytes. Two more
     equalities spare library calls for new words: case does not matter in ASCII words,
     and one closing comma or full stop after an ASCII letter or digit is a token of its own.
+    Special tokens are found before the library ignores case, so text that holds one in
+    any case keeps its own.
     """
 
     def __init__(self, name: str):
         self.tokenizer = load_tokenizer(name)
         self.cache: dict[bytes, bytes] = {}
+        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith(WORD_END)
 
+    def _fold(self, text: bytes) -> bytes:
+        """In lower case if that leaves the ids as they are."""
+        low = text.lower()
+        return text if not text.isascii() or any(s in low for s in self.special) else low
+
     def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words by the library. A word of Latin letters is one pre-token, which ends with the only
         id that has the word end; so many of them can be given to the library in one string."""
@@ -74,8 +82,8 @@ class WordIds:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
 
     def learn(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that the cache lacks; ASCII words of either case share them."""
-        cores = {w: w.lower() if w.isascii() else w for w in words}
+        """Ids of words that the cache lacks; ASCII words of either case share them unless they hold a special token."""
+        cores = {w: self._fold(w) for w in words}
         cache = self.cache
         ids = self._encode(sorted({c for c in cores.values() if c not in cache}))
         out = {w: ids[c] if c in ids else cache[c] for w, c in cores.items()}
@@ -88,7 +96,7 @@ class WordIds:
         return out
 
     def texts(self, texts: Iterable[bytes | None]) -> list[bytes]:
-        split = [CLOSING.sub(rb" \1", t.lower() if t.isascii() else t).split() if t else [] for t in texts]
+        split = [CLOSING.sub(rb" \1", self._fold(t)).split() if t else [] for t in texts]
         distinct = list(set().union(*split))
         # the words of these texts only: a small table is faster to look up in, and the cache may be full
         known = dict(zip(distinct, map(self.cache.get, distinct)))

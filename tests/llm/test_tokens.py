@@ -30,6 +30,16 @@ def test_word_ids_are_the_librarys(monkeypatch):
         assert found == expected
 
 
+def test_special_tokens_keep_their_case():
+    library = load_tokenizer("word_bpe_49k.json")
+    specials = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|STARTOFTEXT|>", "<|StartOfText|>"]
+    texts = [form.format(s) for s in specials for form in ("{0}", "{0} The END, of it.", "A{0}b. THE", "é {0}", "Été {0}The, {0}.")]
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert expected[0] != expected[5] == expected[10]
+    found = WordIds("word_bpe_49k.json").texts([t.encode() for t in texts])
+    assert [np.frombuffer(b, "<u4").tolist() for b in found] == expected
+
+
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 5000])
 def test_codes_round_trip_and_random_access(n):
     pick = np.random.default_rng(n)
