@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from flowquarry.llm.decontamination import contamination_report
 from flowquarry.llm.exact_dedup import exact_groups
+from flowquarry.llm.fingerprints import fingerprint_stability
+from flowquarry.llm.hard_negatives import hard_negatives
 from flowquarry.llm.jaccard_join import near_duplicates
 from flowquarry.llm.line_dedup import drop_boilerplate
 from flowquarry.llm.mixing import fit_domains, mixing_rates, plan_mixture, quality_domains
+from flowquarry.llm.periodic_runs import periodic_runs
 from flowquarry.llm.registry import ORACLE, QUERIES, query, table
 from flowquarry.llm.suffix_dedup import repeated_passages
 from flowquarry.llm.token_counts import token_counts
@@ -111,3 +114,64 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_suffix_dedup")
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).drop("starts", "ends")
+
+
+@query("op11_fingerprints")
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_stability(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+WITH kept AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM kept a JOIN kept b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5"""
+
+
+@query("op12_hard_negatives", OP12_SQL)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    own = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", own), F.col("vec_id") % 100 == 0)
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with about every tenth text made periodic from a word on, both drawn by the crc32 of doc_id."""
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    code = F.crc32(F.col("doc_id").cast("string"))
+    drawn = docs.select("doc_id", "text", (code % 10 == 0).alias("chosen"), F.floor(code / 10).alias("g"))
+    drawn = drawn.withColumn("words", F.when(F.col("chosen"), words)).withColumn("n", F.size("words"))
+    drawn = drawn.withColumn("a", (F.col("g") % F.greatest("n", F.lit(1))).cast("int"))
+    drawn = drawn.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    period = F.slice("words", F.col("a") + 1, F.col("p"))
+    repeated = F.slice(F.flatten(F.array_repeat(period, F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    made = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), repeated), " ")
+    return drawn.select("doc_id", F.when(F.col("chosen") & (F.col("n") > 0), made).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    # longest first, then smallest start, then smallest period
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"), F.expr("best.length * 1000 div -best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
