@@ -10,6 +10,8 @@ term of either, on the levels that both use.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,10 +30,14 @@ BROADCAST_TERMS = 2_000_000  # of the lexicon, about 100 MB; a larger one is joi
 BUCKET_BYTES = 32 << 20
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is named: array functions do not share their arguments."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def term_codes(text: Column) -> Column:
     """Sorted 62-bit hashes of the distinct terms of a text; of a text without words, the hash of the text."""
-    words = words_of(text)
-    some = F.when(F.size(words) > 0, words).otherwise(F.array(F.coalesce(text, F.lit(""))))
+    some = bound(words_of(text), lambda words: F.when(F.size(words) > 0, words).otherwise(F.array(F.coalesce(text, F.lit("")))))
     return F.array_sort(F.array_distinct(F.transform(some, lambda w: F.shiftrightunsigned(F.xxhash64(w), 2))))
 
 
@@ -48,25 +54,25 @@ def fingerprint(codes: Column) -> Column:
 
     ``hashes`` has a text of 8 digits for each of LEVELS * SUBSETS subsets, empty where a subset holds no term.
     """
-    known = F.filter(codes, lambda c: c.bitwiseAND(1) == 1)
-    terms = F.array_sort(F.transform(
-        F.when(F.size(known) >= LEAST_KNOWN, known).otherwise(codes), lambda c: F.shiftright(c, 1)))
-    level = F.greatest(F.lit(0), F.ceil(F.log(F.greatest(F.size(terms), F.lit(1)) / F.lit(float(FILL * SUBSETS))) / F.log(F.lit(4.0)))).cast("int")
-    return _hashes(F.struct(level.alias("level"), terms.alias("terms")))
+    def of_terms(terms: Column) -> Column:
+        size = F.greatest(F.size(terms), F.lit(1))
+        level = F.greatest(F.lit(0), F.ceil(F.log(size / F.lit(float(FILL * SUBSETS))) / F.log(F.lit(4.0)))).cast("int")
+        return bound(F.struct(level.alias("level"), terms.alias("terms")), _hashes)
 
+    known = bound(F.filter(codes, lambda c: c.bitwiseAND(1) == 1), lambda k: F.when(F.size(k) >= LEAST_KNOWN, k).otherwise(codes))
+    return bound(F.array_sort(F.transform(known, lambda c: F.shiftright(c, 1))), of_terms)
 
-def _hashes(found: Column) -> Column:
-    def subsets(f: Column) -> Column:
-        first = F.filter(f["terms"], lambda t: t.bitwiseAND(_mask(f["level"])) == 0)  # about FILL * SUBSETS of them
-        return F.struct(f["level"].alias("level"), F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda j: _level(
-            F.filter(first, lambda t: t.bitwiseAND(_mask(f["level"] + j)) == 0), f["level"] + j))).alias("hashes"))
 
-    # a lambda's argument is computed once, however often the lambda names it
-    return F.get(F.transform(F.array(found), subsets), F.lit(0))
+def _hashes(found: Column) -> Column:
+    level = found["level"]
+    first = F.filter(found["terms"], lambda t: t.bitwiseAND(_mask(level)) == 0)  # about FILL * SUBSETS of them
+    hashes = bound(first, lambda kept: F.flatten(F.transform(
+        F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda j: _level(F.filter(kept, lambda t: t.bitwiseAND(_mask(level + j)) == 0), level + j))))
+    return F.struct(level.alias("level"), hashes.alias("hashes"))
 
 
 def _mask(level: Column) -> Column:
-    return F.expr("1L") * F.pow(F.lit(4.0), level).cast("long") - 1
+    return F.call_function("shiftleft", F.expr("1L"), level * 2) - 1
 
 
 def _level(terms: Column, level: Column) -> Column:
@@ -77,7 +83,8 @@ def _level(terms: Column, level: Column) -> Column:
         code = F.lower(F.substring(F.lpad(F.hex(F.xxhash64(F.transform(own, lambda d: d["term"]))), 16, "0"), 1, 8))
         return F.when(F.size(own) > 0, code).otherwise("")
 
-    return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: digits(F.filter(dealt, lambda d: d["subset"] == k)))
+    return bound(dealt, lambda pairs: F.transform(
+        F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: bound(F.filter(pairs, lambda d: d["subset"] == k), digits)))
 
 
 def written(found: Column) -> Column:
