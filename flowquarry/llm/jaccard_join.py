@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowquarry.llm.arrays import local_roots, mixed, shingle_sets, sorted_runs
+from flowquarry.llm.batches import pieces
 from flowquarry.llm.components import connected_components
 from flowquarry.session import settle
 
@@ -73,8 +74,9 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
 
 def _report_heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = shingle_sets(_texts(batch))
+        sets = [s for piece in pieces(batch) for s in shingle_sets(_texts(piece))]
         codes, counts = np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)]), return_counts=True)
+        del sets
         often = counts >= HEAVY_IN_TASK
         yield pa.RecordBatch.from_pydict({"code": codes[often].view(np.int64), "n": counts[often].astype(np.int64)})
 
@@ -112,7 +114,7 @@ MEMBER_SCHEMA = "_key long, _text_hash long, n long, d1 long, d2 long, gid long,
 def _read_members(order_of, percent: int, postings: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = order_of.value
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole)):
             rows, seen, codes_out, gid_out = [], set(), [], []
             for codes in shingle_sets(_texts(batch)):
                 prefix = order.prefix(codes, percent)

@@ -17,12 +17,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from flowquarry.llm.batches import text_function, text_of
 from flowquarry.llm.sampling import labelled_sample
 from flowquarry.session import settle
 
@@ -69,13 +68,13 @@ def _pair_shares(text: str) -> tuple[np.ndarray, np.ndarray]:
     return codes, counts / max(len(data) - 1, 1)
 
 
-PAIR_TYPE = T.StructType([T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("shares", T.ArrayType(T.FloatType()))])
+def _pair_lists(texts: list[str]) -> pa.Array:
+    found = [_pair_shares(t) for t in texts]
+    codes, shares = [c.tolist() for c, _ in found], [v.tolist() for _, v in found]
+    return pa.StructArray.from_arrays([pa.array(codes, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], ["codes", "shares"])
 
 
-@F.pandas_udf(PAIR_TYPE)
-def _pairs(texts: pd.Series) -> pd.DataFrame:
-    found = [_pair_shares(t) for t in texts]
-    return pd.DataFrame({"codes": [c.tolist() for c, _ in found], "shares": [s.tolist() for _, s in found]})
+_pairs = text_function("struct<codes:array<int>,shares:array<float>>", lambda: _pair_lists)
 
 
 def fit_softmax(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, n_cols: int, n_classes: int,
@@ -151,21 +150,25 @@ class MixingPlan:
         return point if ahead else rate
 
 
-def _chances_type(n: int) -> T.StructType:
-    return T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("chances", T.ArrayType(T.DoubleType()))])
+CHANCES = "n_tokens:bigint,chances:array<double>"
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), values.shape[1]).cast(pa.list_(pa.float64()))
 
 
 def posteriors(docs: DataFrame, model: DomainModel, text: str = "text") -> Column:
     """struct(n_tokens, chances): rounded, so that they are the same wherever a text is read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # pairs x domains numbers
 
-    @F.pandas_udf(_chances_type(len(model.domains)))
-    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            tokens, chances = shared.value.read(texts.tolist())
-            yield pd.DataFrame({"n_tokens": tokens, "chances": list(chances.round(6))})
+    def make():
+        def read(texts: list[str]) -> pa.Array:
+            tokens, chances = shared.value.read(texts)
+            return pa.StructArray.from_arrays([pa.array(tokens), _lists(chances.round(6))], ["n_tokens", "chances"])
+
+        return read
 
-    return read(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+    return text_function(f"struct<{CHANCES}>", make)(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
 
 
 def _matrix(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -220,37 +223,47 @@ def plan_mixture(docs: DataFrame, model: DomainModel, weights: dict[str, float],
     return plan
 
 
-def mixing_rates(docs: DataFrame, plan: MixingPlan, text: str = "text", key: str = "doc_id", seed: int = 17) -> DataFrame:
-    """``docs`` with n_tokens, domain (the likeliest), chances, rate and copies.
-
-    copies is the rate rounded up or down by a hash of key and text, so that it has the rate as its mean. NULL
-    and empty texts have no tokens and rate 1; repeated rows get equal results, ties of domains go to the first;
-    columns named like the results are replaced; nothing is shuffled; an empty table stays empty.
-    """
+def _decided(docs: DataFrame, plan: MixingPlan, text: str, key: str, seed: int) -> DataFrame:
+    """(row, found, copies): the rows as they are, what the plan says of their texts, and how often each is to be taken."""
     shared = docs.sparkSession.sparkContext.broadcast(plan)
-    kind = T.StructType([*_chances_type(0).fields, T.StructField("domain", T.StringType()), T.StructField("rate", T.DoubleType())])
 
-    @F.pandas_udf(kind)
-    def decide(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def make():
         own = shared.value
-        for texts in batches:
-            tokens, chances = own.model.read(texts.tolist())
+
+        def decide(texts: list[str]) -> pa.Array:
+            tokens, chances = own.model.read(texts)
             chances = chances.round(6)
             rates = np.where(tokens > 0, own.rates(chances), 1.0)
-            yield pd.DataFrame({"n_tokens": tokens, "chances": list(chances), "rate": rates.round(6),
-                                "domain": [own.model.domains[i] for i in chances.argmax(axis=1)]})[["n_tokens", "chances", "domain", "rate"]]
+            domains = [own.model.domains[i] for i in chances.argmax(axis=1)]
+            return pa.StructArray.from_arrays(
+                [pa.array(tokens), _lists(chances), pa.array(domains, pa.string()), pa.array(rates.round(6))], ["n_tokens", "chances", "domain", "rate"])
 
+        return decide
+
+    decide = text_function(f"struct<{CHANCES},domain:string,rate:double>", make)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    value = text_of(F.col("row"), text)
+    chance = F.pmod(F.xxhash64(F.lit(seed), F.col("row").getField(key).cast("string"), value), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return rows.withColumn("found", decide(value)).withColumn("copies", F.floor(F.col("found.rate") + chance).cast("int"))
+
+
+def mixing_rates(docs: DataFrame, plan: MixingPlan, text: str = "text", key: str = "doc_id", seed: int = 17) -> DataFrame:
+    """``docs`` with n_tokens, domain (the likeliest), chances, rate and copies.
+
+    copies is the rate rounded up or down by a hash of key and text, so that it has the rate as its mean. NULL and empty
+    texts have no tokens and rate 1; a NULL key is a key like others; repeated rows get equal results, ties of domains go
+    to the first; columns named like the results, in any case, are replaced, all others stay. Whole texts are read where
+    they are, a few at a time; nothing is shuffled; an empty table stays empty.
+    """
     names = ["n_tokens", "chances", "domain", "rate"]
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (*names, "copies")]
-    value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    chance = F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{key}`").cast("string"), value), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    decided = docs.withColumns({"_mix": decide(value), "_chance": chance})
-    return decided.select(*rest, *[F.col(f"_mix.{n}").alias(n) for n in names], F.floor(F.col("_mix.rate") + F.col("_chance")).cast("int").alias("copies"))
+    rest = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in (*names, "copies")]
+    return _decided(docs, plan, text, key, seed).select(*rest, *[F.col("found").getField(n).alias(n) for n in names], "copies")
 
 
 def mix(docs: DataFrame, plan: MixingPlan, text: str = "text", key: str = "doc_id", seed: int = 17) -> DataFrame:
-    """``docs`` with each row as often as its ``copies`` say; their columns stay as they are."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    row = docs.select(F.struct(*names).alias("_row"), F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
-    drawn = mixing_rates(row, plan, "_text", "_key", seed).filter("copies > 0")
-    return drawn.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("_row.*")
+    """``docs`` with each row as often as its ``copies`` by ``mixing_rates`` say; all columns stay as they are, whatever their names.
+
+    NULL, empty and very long texts, NULL keys and repeated rows are rows like others; an empty table stays empty.
+    """
+    drawn = _decided(docs, plan, text, key, seed).filter("copies > 0")
+    return drawn.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy")).select("row.*")

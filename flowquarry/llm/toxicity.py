@@ -13,15 +13,14 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from flowquarry.llm.batches import text_function, text_of
 from flowquarry.llm.sampling import labelled_sample
 from flowquarry.session import settle
 
@@ -32,7 +31,8 @@ MIN_DOCUMENTS = 4  # of the sample that hold a feature
 LEAST_Z = 3.0  # standard errors by which a feature's log odds must differ
 LEAST_ODDS = 2.5  # and how far: words that are merely commoner in one language are no evidence
 BEGINNINGS = (4, 5, 6)
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 50_000  # tokens that a task remembers
+CACHE_TOKEN = 64  # characters of the longest
 WORD = re.compile(r"\w+")
 
 
@@ -94,20 +94,18 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, n_features: int, grades: np.
     return params[:n_features], theta
 
 
-FEATURE_TYPE = T.StructType([
-    T.StructField("features", T.ArrayType(T.StringType())), T.StructField("sketch", T.ArrayType(T.StringType()))])
-
-
-@F.pandas_udf(FEATURE_TYPE)
-def _features(texts: pd.Series) -> pd.DataFrame:
-    out = []
+def _sample_features(texts: list[str]) -> pa.Array:
+    features, sketches = [], []
     for text in texts:
         found = sorted({f for t in set(text.split()) for f in word_features(t)})
-        words = [f for f in found if f[0] != "^"]
+        features.append(found)
         # near copies of one text would count its every word as evidence; they mostly share this sketch
-        sketch = sorted(words, key=lambda w: zlib.crc32(w.encode()))[:4]
-        out.append((found, sketch))
-    return pd.DataFrame(out, columns=["features", "sketch"])
+        sketches.append(sorted((f for f in found if f[0] != "^"), key=lambda w: zlib.crc32(w.encode()))[:4])
+    kind = pa.list_(pa.string())
+    return pa.StructArray.from_arrays([pa.array(features, kind), pa.array(sketches, kind)], ["features", "sketch"])
+
+
+_features = text_function("struct<features:array<string>,sketch:array<string>>", lambda: _sample_features)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic",
@@ -147,7 +145,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: st
 
 
 class _Scorer:
-    """Scores of texts; a worker remembers which features of the model a token has."""
+    """Scores of texts; a task remembers which features of the model a token has."""
 
     def __init__(self, model: OrdinalModel):
         self.model, self.tokens = model, {}
@@ -156,44 +154,57 @@ class _Scorer:
         found = self.tokens.get(token)
         if found is None:
             found = tuple(f for f in word_features(token) if f in self.model.weights)
-            if len(self.tokens) < CACHE_ENTRIES:
+            if len(self.tokens) < CACHE_ENTRIES and len(token) <= CACHE_TOKEN:
                 self.tokens[token] = found
         return found
 
-    def __call__(self, texts: pd.Series) -> np.ndarray:
+    def __call__(self, texts: list[str]) -> np.ndarray:
         weights, features = self.model.weights, self.features
         return np.array([
             sum(weights[f] for f in sorted({f for found in map(features, set(t.split())) if found for f in found}))
             for t in texts], dtype=float)
 
 
-def toxicity(docs: DataFrame, model: OrdinalModel, text: str = "text", least: float = 0.5) -> DataFrame:
-    """``docs`` with p_toxic = P(grade >= 1), expected_severity (0 to 3), grade and is_toxic (p_toxic >= least).
+NAMES = ("p_toxic", "expected_severity", "grade")
 
-    A NULL or empty text has the score of no feature. Rows are scored where they are: ties and repeated rows
-    get equal results; columns named like the results are replaced; an empty table stays empty. Whole texts
-    are read in the map tasks, nothing is shuffled.
-    """
+
+def _verdict(docs: DataFrame, model: OrdinalModel, text: str, least: float) -> DataFrame:
+    """(row, verdict): the rows as they are, and what the model says of their texts."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights
 
-    @F.pandas_udf("struct<p_toxic:double,expected_severity:double,grade:int>")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = _Scorer(shared.value)
-        for texts in batches:
-            reaches = shared.value.reaches(scorer(texts))
-            yield pd.DataFrame({"p_toxic": reaches[:, 0].round(9), "expected_severity": reaches.sum(axis=1).round(9),
-                                "grade": (reaches >= 0.5).sum(axis=1).astype("int32")})
+    def make():
+        own, scorer = shared.value, _Scorer(shared.value)
+
+        def score(texts: list[str]) -> pa.Array:
+            reaches = own.reaches(scorer(texts))
+            chance = reaches[:, 0].round(9)
+            return pa.StructArray.from_arrays(
+                [pa.array(chance), pa.array(reaches.sum(axis=1).round(9)), pa.array((reaches >= 0.5).sum(axis=1).astype("int32")),
+                 pa.array(chance >= least)], [*NAMES, "is_toxic"])
 
-    names = ["p_toxic", "expected_severity", "grade"]
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (*names, "is_toxic")]
-    value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    scored = docs.withColumn("_toxicity", score(value))
-    return scored.select(*rest, *[F.col(f"_toxicity.{n}").alias(n) for n in names]).withColumn(
-        "is_toxic", F.col("p_toxic") >= least)
+        return score
+
+    score = text_function("struct<p_toxic:double,expected_severity:double,grade:int,is_toxic:boolean>", make)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.withColumn("verdict", score(text_of(F.col("row"), text)))
+
+
+def toxicity(docs: DataFrame, model: OrdinalModel, text: str = "text", least: float = 0.5) -> DataFrame:
+    """``docs`` with p_toxic = P(grade >= 1), expected_severity (0 to 3), grade and is_toxic (p_toxic >= least).
+
+    A NULL or empty text has the score of no feature. Rows are scored where they are: NULL keys, ties and repeated rows
+    are rows like others and get equal results; columns named like the results, in any case, are replaced, all others
+    stay; an empty table stays empty. Whole texts are read in the map tasks, a few at a time, nothing is shuffled.
+    """
+    found = _verdict(docs, model, text, least)
+    rest = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in (*NAMES, "is_toxic")]
+    return found.select(*rest, *[F.col("verdict").getField(n).alias(n) for n in (*NAMES, "is_toxic")])
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, text: str = "text", least: float = 0.5) -> DataFrame:
-    """``docs`` without those called toxic; their columns stay as they are."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    row = docs.select(F.struct(*names).alias("_row"), F.col(f"`{text}`").alias("_text"))
-    return toxicity(row, model, "_text", least).filter(~F.col("is_toxic")).select("_row.*")
+    """``docs`` without the rows called toxic; all columns stay as they are, whatever their names.
+
+    NULL and empty texts stay, as do repeated rows that are not toxic; an empty table stays empty. Texts are read as by
+    ``toxicity``, and held once.
+    """
+    return _verdict(docs, model, text, least).filter(~F.col("verdict.is_toxic")).select("row.*")
