@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from flowquarry.session import settle
 
 MIN_SITES = 10
-MIN_CHARS = 16
 SKETCH_LOG2 = 10
 ERRORS = 4.0  # standard errors around the threshold that count as near
 
@@ -36,18 +35,19 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def drop_boilerplate(docs: DataFrame, text: str = "text", key: str = "doc_id", site: str = "source",
-                     min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
+                     min_sites: int = MIN_SITES, min_chars: int | None = None) -> DataFrame:
     """(key, n_lines, n_removed, kept_text) for every row of ``docs``.
 
-    Lines end at a line feed and are compared without blanks around them; those of fewer than ``min_chars`` characters
-    stay. A NULL site is a site of its own; a NULL text is one empty line. Repeated rows count a site once and get
-    equal results, a NULL key is a key like others. Other columns are not read; an empty table gives no rows.
+    Lines end at a line feed and are compared without blanks around them; empty ones stay, and if ``min_chars`` is given
+    all of fewer characters. A NULL site is a site of its own; a NULL text is one empty line. Repeated rows count a site once and get
+    equal results, a NULL key is a key like others. Very long texts are read whole, line by line. Other columns are not
+    read, whatever their names; an empty table gives no rows.
     """
     rows = docs.select(
         F.col(f"`{key}`").alias("_key"), F.xxhash64(F.col(f"`{text}`")).alias("_text_hash"),
         F.coalesce(F.concat(F.lit("s"), F.col(f"`{site}`").cast("string")), F.lit("n")).alias("site"), _lines(text).alias("_lines"))
     lines = rows.select("_key", "_text_hash", "site", F.posexplode("_lines").alias("pos", "line")).withColumn("line", F.trim("line")).filter(
-        F.length("line") >= min_chars).select(
+        F.length("line") >= max(1, min_chars or 1)).select(
         "_key", "_text_hash", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     lines = settle(lines, "lines")
     boilerplate = spread_lines(lines.select("h1", "h2", "site"), min_sites)

@@ -67,7 +67,7 @@ WITH lines AS (
   SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
 boilerplate AS (
-  SELECT trim(line) AS line FROM lines WHERE length(trim(line)) >= 16
+  SELECT trim(line) AS line FROM lines WHERE trim(line) <> ''
   GROUP BY trim(line) HAVING count(DISTINCT coalesce('s' || source, 'n')) >= 10),
 marked AS (SELECT l.*, b.line IS NOT NULL AS gone FROM lines l LEFT JOIN boilerplate b ON trim(l.line) = b.line)
 SELECT doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(*) FILTER (gone) AS INTEGER) AS n_removed,

@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -28,7 +30,7 @@ def test_boilerplate_equals_exact_counts(spark):
         expected = Counter()
         for k, t, _ in rows:
             every = (t or "").split("\n")
-            left = [x for x in every if len(x.strip(" ")) < 16 or len(sites[x.strip(" ")]) < least]
+            left = [x for x in every if not x.strip(" ") or len(sites[x.strip(" ")]) < least]
             expected[(k, len(every), len(every) - len(left), "\n".join(left))] += 1
         found = drop_boilerplate(_sites(spark, rows), min_sites=least).collect()
         assert Counter((r.doc_id, r.n_lines, r.n_removed, r.kept_text) for r in found) == expected
@@ -49,29 +51,52 @@ def _words(text):
 
 
 def _brute_force(docs, items, window=16, share=0.75):
-    """Items found under every possible shift that a seed of a mask hits."""
+    """Items found under any shift of the item on the document."""
     out = {}
     for d, (_, text) in enumerate(docs):
         w, found = _words(text), set()
         for item, passage in items:
             p = _words(passage)
-            for shift in range(-len(p), len(w)):
-                pairs = [(w[j + shift], p[j]) for j in range(max(0, -shift), min(len(p), len(w) - shift))]
-                equal = [a == b for a, b in pairs]
-                seed = any(all(equal[i + k] for k, bit in enumerate(m) if bit == "1") for m in MASKS for i in range(len(equal) - len(m) + 1))
+            for shift in range(-len(p) + 1, len(w)):
+                equal = [w[j + shift] == p[j] for j in range(max(0, -shift), min(len(p), len(w) - shift))]
                 least = min(len(p), window)
                 best = max((sum(equal[i:i + least]) for i in range(len(equal) - least + 1)), default=-1)
-                if seed and best >= share * least:
+                if p and best >= share * least:
                     found.add(item)
         out[d] = found
     return out
 
 
+def test_masks_fit_under_every_choice_of_substitutions():
+    for n in range(1, 17):
+        masks = [m for least, found in MASKS if least <= n for m in [found]][-1]
+        for gone in itertools.combinations(range(n), n - math.ceil(0.75 * n)):
+            places = [(m, i) for m in masks for i in range(n - len(m) + 1)]
+            assert any(all(i + k not in gone for k, bit in enumerate(m) if bit == "1") for m, i in places)
+
+
+def test_short_items_are_found_with_every_allowed_substitution(spark):
+    words, docs, items, expected = [f"w{i}" for i in range(200)], [], [], {}
+    for n in range(1, 17):
+        passage = [f"p{n}x{j}" for j in range(n)]
+        items.append((n, " ".join(passage)))
+        allowed = n - math.ceil(0.75 * n)
+        for gone in itertools.islice(itertools.combinations(range(n), allowed), 0, None, 7):
+            there = [f"q{j}" if j in gone else x for j, x in enumerate(passage)]
+            docs.append((len(docs), " ".join(words[:20] + there + words[20:40])))
+            expected[len(docs) - 1] = n
+        if allowed < n - 1:  # one more is too many
+            there = [f"q{j}" if j <= allowed else x for j, x in enumerate(passage)]
+            docs.append((len(docs), " ".join(there)))
+    found = {r.doc_id: r.item_id for r in contamination_report(frame(spark, docs), _benchmark(spark, items)).collect() if r.contaminated}
+    assert found == expected and len(expected) > 300
+
+
 def _benchmark(spark, items):
     return spark.createDataFrame([(k, t, "x") for k, t in items], "item_id long, text string, _key string")
 
 
-ITEMS = [(1, prose(101, 25)), (2, prose(102, 14)), (3, prose(103, 40)), (4, "too short"), (5, None), (6, prose(101, 25))]
+ITEMS = [(1, prose(101, 25)), (2, prose(102, 14)), (3, prose(103, 40)), (4, "rather short"), (5, None), (6, prose(101, 25)), (7, "..")]
 
 
 def _documents():
