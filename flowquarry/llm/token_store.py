@@ -34,6 +34,7 @@ SEGMENT_TOKENS = 1 << 20
 TEXTS_AT_ONCE = 1 << 21  # characters tokenized in one go
 ROWS_AT_ONCE = 512  # documents that Spark hands to a worker at once
 BYTES_AT_ONCE = 1 << 22  # and their bytes, beyond the last one of them
+POSITIONS_AT_ONCE = 1 << 16  # ids read by one access
 SEGMENTS_AT_ONCE = 4  # segments handed to a worker at once
 ROW_GROUP = 1 << 24  # bytes of a store's row group, which a task holds as it writes and as it reads
 
@@ -64,8 +65,8 @@ def dac_encode(ids: np.ndarray) -> tuple[list[bytes], list[bytes], list[bytes]]:
         levels.append((rest & 0xFF).astype(np.uint8).tobytes())
         rest = rest >> CHUNK_BITS
         goes_on = rest > 0
-        bits = np.packbits(goes_on, bitorder="little")
-        marks.append(bits.tobytes())
+        bits = np.packbits(goes_on, bitorder="little").tobytes()
+        marks.append(bits + bytes(-len(bits) % (RANK_BITS // 8)))  # whole blocks
         per_block = np.add.reduceat(goes_on, np.arange(0, len(goes_on), RANK_BITS), dtype=np.int64) if len(goes_on) else np.zeros(0, np.int64)
         ranks.append((np.cumsum(per_block) - per_block).astype("<u4").tobytes())
         if not goes_on.any():
@@ -73,34 +74,39 @@ def dac_encode(ids: np.ndarray) -> tuple[list[bytes], list[bytes], list[bytes]]:
         rest = rest[goes_on]
 
 
+def _marks_before(bits: bytes, ranks: bytes, at: np.ndarray) -> np.ndarray:
+    """Marks before each position: the directory's entry of its block, and the bits of that one block before it."""
+    words = np.frombuffer(bits, "<u8").reshape(-1, RANK_BITS // 64)
+    block, inside = at // RANK_BITS, at % RANK_BITS
+    # of each word of the block all bits, none, or those below the position
+    left = np.clip(inside[:, None] - 64 * np.arange(RANK_BITS // 64), 0, 64).astype(np.uint64)
+    kept = np.where(left == 64, ~np.uint64(0), (np.uint64(1) << (left & np.uint64(63))) - np.uint64(1))
+    return np.frombuffer(ranks, "<u4")[block].astype(np.int64) + np.bitwise_count(words[block] & kept).sum(axis=1, dtype=np.int64)
+
+
 def dac_access(levels: list[bytes], marks: list[bytes], ranks: list[bytes], at: np.ndarray) -> np.ndarray:
-    """The ids at the positions ``at``, each by its own chunks, bits and directory entries only."""
+    """The ids at the positions ``at``, each by its own chunks, the bits of one block per level and a directory entry."""
     at = np.asarray(at, dtype=np.int64)
     out = np.zeros(len(at), dtype=np.uint32)
     which = np.arange(len(at))
     for level, (chunk, bits, rank) in enumerate(zip(levels, marks, ranks)):
-        if not len(which):
-            break
-        chunk, bits, rank = np.frombuffer(chunk, np.uint8), np.frombuffer(bits, np.uint8), np.frombuffer(rank, "<u4")
-        out[which] |= chunk[at].astype(np.uint32) << np.uint32(CHUNK_BITS * level)
-        goes_on = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        out[which] |= np.frombuffer(chunk, np.uint8)[at].astype(np.uint32) << np.uint32(CHUNK_BITS * level)
+        goes_on = (np.frombuffer(bits, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
         at, which = at[goes_on], which[goes_on]
         if not len(at):
             break
-        # marks before the position: whole blocks from the directory, then a count inside the block
-        block = at // RANK_BITS
-        words = np.zeros((len(bits) + 63) // 64 * 64, np.uint8)
-        words[: len(bits)] = bits
-        by_byte = np.bitwise_count(words).reshape(-1, 64)
-        before = np.cumsum(by_byte, axis=1, dtype=np.uint32) - by_byte
-        byte = at >> 3
-        inside = before[block, byte & 63] + np.bitwise_count(words[byte] & ((1 << (at & 7)) - 1).astype(np.uint8))
-        at = rank[block].astype(np.int64) + inside
+        at = _marks_before(bits, rank, at)
     return out
 
 
+def dac_read(levels: list[bytes], marks: list[bytes], ranks: list[bytes], start: int, n: int) -> np.ndarray:
+    """The ``n`` ids from position ``start`` on, by random access, a bounded number at once."""
+    found = [dac_access(levels, marks, ranks, np.arange(at, min(at + POSITIONS_AT_ONCE, start + n))) for at in range(start, start + n, POSITIONS_AT_ONCE)]
+    return np.concatenate(found) if found else np.zeros(0, np.uint32)
+
+
 def dac_decode(levels: list[bytes], marks: list[bytes], ranks: list[bytes]) -> np.ndarray:
-    """All ids of a segment in order."""
+    """All ids of a segment in order, front to back."""
     rest = np.zeros(0, np.uint32)
     for chunk, bits in zip(reversed(levels), reversed(marks)):
         chunk = np.frombuffer(chunk, np.uint8)
@@ -161,7 +167,7 @@ def write_token_store(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k
         .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
     segments = ordered.mapInArrow(_segments(tokenizer, end_id), SEGMENT_SCHEMA)
     with _small_batches(docs.sparkSession, ROWS_AT_ONCE):
-        segments.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
+        segments.write.option("compression", "none").option("parquet.block.size", ROW_GROUP).parquet(path)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
@@ -178,19 +184,32 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     return segments.join(starts, ["part", "segment"])
 
 
+def _checksums(parts: list[list[bytes]], sizes: np.ndarray) -> list[int]:
+    """crc32 of the ids of each document of a segment; short documents are read together."""
+    out, start, group = [], 0, 0
+    ends = np.cumsum(sizes)
+    while group < len(sizes):
+        last = max(int(np.searchsorted(ends, start + POSITIONS_AT_ONCE, side="right")), group + 1)
+        raw = memoryview(dac_read(*parts, start, int(ends[last - 1]) - start).astype("<u4").tobytes())
+        for size, end in zip(sizes[group:last].tolist(), (ends[group:last] - start).tolist()):
+            out.append(zlib.crc32(raw[4 * (end - size):4 * end]))
+        start, group = int(ends[last - 1]), last
+    return out
+
+
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(len(batch)):
             one = batch.slice(row, 1)
-            ids = dac_decode(*[one[c][0].as_py() for c in ("levels", "marks", "ranks")]).astype("<u4")
+            parts = [[c.as_buffer() for c in one[name][0].values] for name in ("levels", "marks", "ranks")]
             sizes = np.asarray(one["doc_tokens"][0].as_py(), dtype=np.int64)
             ends = np.cumsum(sizes)
-            raw = memoryview(ids.tobytes())
+            crcs = _checksums(parts, sizes)
             yield pa.RecordBatch.from_pydict({
                 "part": pa.array(np.full(len(sizes), one["part"][0].as_py(), np.int32)),
                 "segment": pa.array(np.full(len(sizes), one["segment"][0].as_py(), np.int32)),
                 "doc_id": one["doc_ids"].flatten(), "offset": pa.array(ends - sizes), "n_tokens": pa.array(sizes),
-                "ids_crc32": pa.array([zlib.crc32(raw[4 * (e - n):4 * e]) for e, n in zip(ends.tolist(), sizes.tolist())], pa.int64())})
+                "ids_crc32": pa.array(crcs, pa.int64())})
 
 
 def read_token_store(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 
 from flowquarry.llm import tokenizing
 from flowquarry.llm.token_counts import token_counts
-from flowquarry.llm.token_store import dac_access, dac_decode, dac_encode, read_token_store, tokens_at, write_token_store
+from flowquarry.llm.token_store import dac_access, dac_decode, dac_encode, dac_read, read_token_store, tokens_at, write_token_store
 from flowquarry.llm.tokenizing import WordIds, load_tokenizer
 from tests.llm.data import awkward_texts, frame
 
@@ -50,6 +50,29 @@ def test_codes_round_trip_and_random_access(n):
     assert (dac_access(*coded, at) == ids[at]).all()
 
 
+def test_an_access_reads_one_block_of_bits_a_level():
+    pick = np.random.default_rng(5)
+    ids = pick.integers(0, 1 << 20, 20_000).astype(np.uint32)
+    levels, marks, ranks = dac_encode(ids)
+    for at in (0, 511, 512, 7_777, 19_999):
+        others = []
+        place = at
+        for bits, rank in zip(marks, ranks):  # all other blocks are turned over, and all other directory entries spoilt
+            block = place // 512
+            spoilt = np.frombuffer(bits, np.uint8) ^ 0xFF
+            spoilt[block * 64:block * 64 + 64] ^= 0xFF
+            entries = np.full(len(rank) // 4, 0xFFFFFFFF, "<u4")
+            own = np.frombuffer(rank, "<u4")
+            entries[block] = own[block]
+            others.append((spoilt.tobytes(), entries.tobytes()))
+            set_before = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")[:place].sum()
+            if not np.frombuffer(bits, np.uint8)[place >> 3] >> (place & 7) & 1:
+                break
+            place = int(set_before)
+        assert dac_access(levels, [m for m, _ in others], [r for _, r in others], np.array([at]))[0] == ids[at]
+    assert (dac_read(levels, marks, ranks, 100, 9_000) == ids[100:9_100]).all() and len(dac_read(levels, marks, ranks, 5, 0)) == 0
+
+
 def test_store_round_trip(spark, tmp_path):
     rows, path = awkward_texts(), str(tmp_path / "store")
     write_token_store(frame(spark, rows), path)
