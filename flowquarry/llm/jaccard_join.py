@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowquarry.llm.arrays import local_roots, mixed, shingle_sets, sorted_runs
-from flowquarry.llm.batches import pieces
+from flowquarry.llm.batches import begin, give_back, pieces
 from flowquarry.llm.components import connected_components
 from flowquarry.session import settle
 
@@ -73,12 +73,17 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
 
 
 def _report_heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    begin("shingles")
     for batch in batches:
         sets = [s for piece in pieces(batch) for s in shingle_sets(_texts(piece))]
-        codes, counts = np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)]), return_counts=True)
+        codes = np.concatenate(sets or [np.zeros(0, np.uint64)])
         del sets
-        often = counts >= HEAVY_IN_TASK
-        yield pa.RecordBatch.from_pydict({"code": codes[often].view(np.int64), "n": counts[often].astype(np.int64)})
+        codes.sort()
+        cuts = np.concatenate([[0], np.flatnonzero(codes[1:] != codes[:-1]) + 1, [len(codes)]])
+        often = np.flatnonzero(np.diff(cuts) >= HEAVY_IN_TASK)
+        yield pa.RecordBatch.from_pydict({"code": codes[cuts[often]].view(np.int64), "n": np.diff(cuts)[often].astype(np.int64)})
+        del codes, cuts
+    give_back()
 
 
 def frequent_shingles(texts: DataFrame) -> list[int]:
@@ -113,6 +118,7 @@ MEMBER_SCHEMA = "_key long, _text_hash long, n long, d1 long, d2 long, gid long,
 
 def _read_members(order_of, percent: int, postings: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("shingles")
         order = order_of.value
         for batch in (piece for whole in batches for piece in pieces(whole)):
             rows, seen, codes_out, gid_out = [], set(), [], []
@@ -146,6 +152,7 @@ LIST_SCHEMA = "list long, whole boolean, gids array<long>"
 def _shared_lists(list_block: int):
     """The groups that have a shingle, for each shingle of two groups or more; longer lists in pieces of ``list_block``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("lists")
         held = gids = np.zeros(0, dtype=np.int64)
         begun = False  # whether pieces of the held list have gone out
 
@@ -225,6 +232,7 @@ def near_pairs(sizes: np.ndarray, signatures: list[np.ndarray], single: np.ndarr
 
 def _list_edges(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("list pairs")
         for table, at in sorted_runs(batches, ("list", "first", "second")):
             gid, n, own, first, second = (table[c].to_numpy() for c in ("gid", "n", "own", "first", "second"))
             single = table["single"].to_numpy(zero_copy_only=False)
@@ -272,6 +280,7 @@ def overlaps(sets: list[np.ndarray], left: int) -> np.ndarray:
 
 def _cluster_links(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("cluster links")
         for table, at in sorted_runs(batches, ("cluster", "first", "second")):
             member, copies, own, first, second = (table[c].to_numpy() for c in ("member", "copies", "own", "first", "second"))
             for s, e in zip(at[:-1].tolist(), at[1:].tolist()):

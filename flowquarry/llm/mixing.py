@@ -74,7 +74,7 @@ def _pair_lists(texts: list[str]) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(codes, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], ["codes", "shares"])
 
 
-_pairs = text_function("struct<codes:array<int>,shares:array<float>>", lambda: _pair_lists)
+_pairs = text_function("mixing", "struct<codes:array<int>,shares:array<float>>", lambda: _pair_lists)
 
 
 def fit_softmax(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, n_cols: int, n_classes: int,
@@ -168,7 +168,7 @@ def posteriors(docs: DataFrame, model: DomainModel, text: str = "text") -> Colum
 
         return read
 
-    return text_function(f"struct<{CHANCES}>", make)(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+    return text_function("mixing", f"struct<{CHANCES}>", make)(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
 
 
 def _matrix(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -240,7 +240,7 @@ def _decided(docs: DataFrame, plan: MixingPlan, text: str, key: str, seed: int)
 
         return decide
 
-    decide = text_function(f"struct<{CHANCES},domain:string,rate:double>", make)
+    decide = text_function("mixing", f"struct<{CHANCES},domain:string,rate:double>", make)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     value = text_of(F.col("row"), text)
     chance = F.pmod(F.xxhash64(F.lit(seed), F.col("row").getField(key).cast("string"), value), F.lit(1 << 30)) / F.lit(float(1 << 30))

@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from flowquarry.llm.batches import begin
 from flowquarry.llm.tokenizing import word_ids
 from flowquarry.session import scratch_path, settle
 
@@ -121,7 +122,7 @@ def _segments(tokenizer: str, end_id: int):
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.default_memory_pool().release_unused()  # what earlier work of this process has left
+        begin("tokens")
         words, part, number = word_ids(tokenizer), TaskContext.get().partitionId(), 0
         docs, coded, held = [], [], 0
 
@@ -198,6 +199,7 @@ def _checksums(parts: list[list[bytes]], sizes: np.ndarray) -> list[int]:
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    begin("token documents")
     for batch in batches:
         for row in range(len(batch)):
             one = batch.slice(row, 1)

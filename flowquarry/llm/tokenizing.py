@@ -10,6 +10,8 @@ from collections.abc import Iterable
 import numpy as np
 from tokenizers import Tokenizer
 
+from flowquarry.llm.batches import keep
+
 WORD_END = "</w>"  # fixed value: how such a vocabulary marks the last token of a pre-token
 JOINED = 512  # words given to the library in one string
 CLOSING = re.compile(rb"(?<=[0-9A-Za-z])([,.])(?=[ \t-\r]|\Z)")  # a lone comma or full stop at the end of a word
@@ -109,5 +111,9 @@ class WordIds:
 
 @functools.lru_cache(maxsize=2)
 def word_ids(name: str) -> WordIds:
-    """One per worker process; it lives on between tasks."""
+    """One per worker process; it lives on between tasks, until the process does other work."""
     return WordIds(name)
+
+
+keep(word_ids.cache_clear)
+keep(load_tokenizer.cache_clear)

@@ -105,7 +105,7 @@ def _sample_features(texts: list[str]) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(features, kind), pa.array(sketches, kind)], ["features", "sketch"])
 
 
-_features = text_function("struct<features:array<string>,sketch:array<string>>", lambda: _sample_features)
+_features = text_function("toxicity", "struct<features:array<string>,sketch:array<string>>", lambda: _sample_features)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic",
@@ -184,7 +184,7 @@ def _verdict(docs: DataFrame, model: OrdinalModel, text: str, least: float) -> D
 
         return score
 
-    score = text_function("struct<p_toxic:double,expected_severity:double,grade:int,is_toxic:boolean>", make)
+    score = text_function("toxicity", "struct<p_toxic:double,expected_severity:double,grade:int,is_toxic:boolean>", make)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return rows.withColumn("verdict", score(text_of(F.col("row"), text)))
 
