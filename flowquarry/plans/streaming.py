@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowquarry.config import BENIGN, TIME_RESOLUTIONS
+from flowquarry.operators.evaluation import detection_rates
 from flowquarry.plans.adapters import EVENT_FEATURES, event_columns, table
 from flowquarry.plans.registry import FLOWS, query, rounded, with_sql
 from flowquarry.plans.windows import windows_cte
 from flowquarry.session import scratch_path
 from flowquarry.streaming import count_windows, monitors
+from flowquarry.streaming.state import state_session
 
 WATERMARK = "10 minutes"
 
@@ -19,11 +21,6 @@ def event_stream(spark, sf_dir):
     return event_columns(monitors.read_parquet_stream(spark, f"{sf_dir}/events.parquet*", schema))
 
 
-def event_rows(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    return event_columns(events.withColumn("ts", F.col("ts").cast("timestamp")))
-
-
 def _started(df):
     return df.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")).drop("window_end")
 
@@ -36,9 +33,8 @@ def _label_counts(name: str):
   label, count(*) AS n FROM flows GROUP BY ALL)
 SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, label, n FROM counted"""))
     def label_counts(spark, sf_dir):
-        return _started(monitors.run_bounded(
-            lambda df: monitors.label_counts_stream(df, duration, WATERMARK), event_stream(spark, sf_dir), event_rows(spark, sf_dir),
-            WATERMARK, scratch_path(spark, "label-counts")))
+        counts = monitors.label_counts_stream(event_stream(spark, sf_dir), duration, WATERMARK)
+        return _started(monitors.run_bounded(counts, ["n"], scratch_path(spark, "label-counts")))
 
 
 for _name in TIME_RESOLUTIONS:
@@ -55,9 +51,9 @@ SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, tn, fp, fn, tp, round(C
 FROM counted"""))
 def stream_detection_rate(spark, sf_dir):
     flagged = F.when(F.col("value") > 5, "flagged").otherwise(BENIGN)
-    stream, rows = (df.withColumn("predicted", flagged) for df in (event_stream(spark, sf_dir), event_rows(spark, sf_dir)))
+    counts = monitors.confusion_stream(event_stream(spark, sf_dir).withColumn("predicted", flagged), "1 hour", WATERMARK)
     rates = _started(monitors.run_bounded(
-        lambda df: monitors.detection_stream(df, "1 hour", WATERMARK), stream, rows, WATERMARK, scratch_path(spark, "detection")))
+        counts, ["tn", "fp", "fn", "tp"], scratch_path(spark, "detection"), finish=detection_rates))
     return rounded(rates, 9, "detection_rate", "false_alarm_rate", "attack_precision")
 
 
@@ -66,7 +62,7 @@ SELECT source, window_id, min_by(row_key, step_no) AS first_key, max_by(row_key,
        max_by(label, step_no) AS label FROM cut GROUP BY source, window_id"""))
 def stream_count_windows(spark, sf_dir):
     out = count_windows.run_count_windows(
-        event_stream(spark, sf_dir), scratch_path(spark, "stream-windows"), order=["ts", "row_key"],
-        features=EVENT_FEATURES, label="label", size=10, step=5, group_cols=["source"], keep=["row_key"])
+        event_stream(state_session(spark), sf_dir), scratch_path(spark, "stream-windows"), ended=True, watermark=WATERMARK,
+        order=["ts", "row_key"], features=EVENT_FEATURES, label="label", size=10, step=5, group_cols=["source"], keep=["row_key"])
     return out.select("source", "window_id", F.element_at("row_key", 1).alias("first_key"),
                       F.element_at("row_key", -1).alias("last_key"), "label")

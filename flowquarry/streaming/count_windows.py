@@ -1,77 +1,162 @@
-"""Row-count windows over a stream, per group, without holding a group in one task.
+"""Row-count windows over a stream, per group, in event time.
 
-Each micro-batch is placed with the distributed position operator; the next
-position and the open tail (under ``size`` rows) of every group are kept in a
-table per batch. A batch that is run again reads the same earlier state and
-overwrites its own output, so restarts change nothing.
+The rows of a group wait in its state until the watermark has passed them. An event-time timer then takes them in
+order, gives them the group's next positions, cuts the windows that are full, and keeps the rows that the next window
+shares. A batch reads and writes the state of those groups only that have new rows or a timer that is due.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
+from flowquarry.operators.columns import number, quoted
 from flowquarry.operators.positions import attach, ordered_positions
-from flowquarry.operators.windows import window_columns, window_payload, windows_from_positions
+from flowquarry.operators.windows import window_columns, windows_from_positions
 from flowquarry.session import scratch_path, settle
+from flowquarry.streaming.state import PROVIDER_CONF, ROCKSDB, read_state
 
 
-def _earlier_state(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    if batch_id == 0:
-        return None
-    return spark.read.parquet(f"{path}/after={batch_id - 1}")
-
-
-def count_window_writer(
-    out_path: str,
-    state_path: str,
-    order: Sequence[str],
-    features: Sequence[str],
-    label: str,
-    size: int,
-    step: int,
-    group_cols: Sequence[str],
-    keep: Sequence[str] = (),
-) -> Callable[[DataFrame, int], None]:
-    """Function for ``foreachBatch``; within a batch rows are taken in ``order``."""
-    groups = list(group_cols)
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        payload = window_payload(batch, order, features, label, groups, keep)
-        placed = ordered_positions(payload, order, groups)
-        state = _earlier_state(batch.sparkSession, state_path, batch_id)
-        if state is not None:
-            starts = state.filter("_next IS NOT NULL").select(*groups, "_next")
-            placed = attach(placed, starts, groups, "left").withColumn(
-                "pos", F.col("pos") + F.coalesce("_next", F.lit(0))).drop("_next")
-            placed = placed.unionByName(state.filter("_next IS NULL").drop("_next"))
-        placed = settle(placed, "placed")
-        cut = windows_from_positions(placed, size, step, ["_x", "_label", *keep], groups)
-        window_columns(cut, groups, keep).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-        ends = settle(placed.groupBy(*groups).agg((F.max("pos") + 1).alias("_next")), "ends")
-        if state is not None:
-            ends = ends.unionByName(
-                state.filter("_next IS NOT NULL").select(*groups, "_next").join(ends, groups, "left_anti"))
-        # The next window not yet full is the first whose last row is at or past _next.
-        open_from = F.greatest(F.ceil((F.col("_next") - size + 1) / step), F.lit(0)) * step
-        tails = attach(placed, ends, groups).filter(F.col("pos") >= open_from).withColumn(
-            "_next", F.lit(None).cast("long"))
-        empty = [F.lit(None).cast(placed.schema[c].dataType).alias(c) for c in placed.columns if c not in groups]
-        tails.unionByName(ends.select(*groups, *empty, "_next")).write.mode("overwrite").parquet(
-            f"{state_path}/after={batch_id}")
-
-    return write
-
-
-def run_count_windows(stream: DataFrame, out_path: str, checkpoint: str | None = None, **settings) -> DataFrame:
-    """Processes all available data; returns the windows written so far."""
+class WindowCutter(StatefulProcessor):
+    """State of one group: ``waiting`` rows, the ``tail`` of placed rows that windows still need, ``next`` position."""
+
+    def __init__(self, row: T.StructType, n_order: int, size: int, step: int, groups: Sequence[str], keep: Sequence[str]):
+        self.row, self.n_order, self.size, self.step = row, n_order, size, step
+        self.groups, self.keep = list(groups), list(keep)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.row)
+        self.tail = handle.getListState("tail", self.row)
+        self.next = handle.getValueState("next", T.StructType([T.StructField("next", T.LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for frame in rows:
+            # by place: Spark may rename the columns on the way
+            columns = [frame.iloc[:, len(self.groups) + 1 + i] for i in range(len(self.row.fields))]
+            held = list(zip(*[_plain(c, f.dataType) for c, f in zip(columns, self.row.fields)]))
+            if held:
+                self.waiting.appendList(held)
+                first = min(h[0] for h in held) if first is None else min(first, *(h[0] for h in held))
+        if first is not None:
+            self.handle.registerTimer(first // 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = [tuple(r) for r in self.waiting.get()]
+        ready = sorted((r for r in waiting if r[0] <= passed), key=lambda r: r[:self.n_order])
+        later = [r for r in waiting if r[0] > passed]
+        if later:
+            self.handle.registerTimer(min(r[0] for r in later) // 1000)
+        if not ready:
+            return
+        _replace(self.waiting, later)
+        tail = [tuple(r) for r in self.tail.get()]
+        done = self.next.get()[0] if self.next.exists() else 0
+        rows, start, end = tail + ready, done - len(tail), done + len(ready)
+        first, last = -(-max(start, 0) // self.step), (end - self.size) // self.step
+        cut = [(w, rows[w * self.step - start:w * self.step - start + self.size]) for w in range(first, last + 1)]
+        # the next window not yet full is the first whose last row is at or past the next position
+        open_from = max(-(-(end - self.size + 1) // self.step), 0) * self.step
+        _replace(self.tail, rows[max(open_from - start, 0):])
+        self.next.update((end,))
+        if cut:
+            at = {f.name: i for i, f in enumerate(self.row.fields)}
+            out = {g: [k] * len(cut) for g, k in zip(self.groups, key)}
+            out["window_id"] = [w for w, _ in cut]
+            out["x"] = [[list(r[at["_x"]]) for r in rows] for _, rows in cut]
+            out["label"] = [rows[-1][at["_label"]] for _, rows in cut]
+            for name in self.keep:
+                out[name] = [[r[at["_keep_" + name]] for r in rows] for _, rows in cut]
+            yield pd.DataFrame(out)
+
+    def close(self) -> None:
+        pass
+
+
+def _plain(values: pd.Series, kind: T.DataType) -> list:
+    """Python values of a column, as the state takes them; pandas gives whole numbers beside a NULL as floats."""
+    out = [v.tolist() if hasattr(v, "tolist") else v for v in values.tolist()]
+    if isinstance(kind, (T.DoubleType, T.FloatType, T.ArrayType)):
+        return out
+    out = [None if v is None or v != v else v for v in out]
+    return [v if v is None else int(v) for v in out] if isinstance(kind, T.IntegralType) else out
+
+
+def _replace(state, rows: list) -> None:
+    if rows:
+        state.put(rows)
+    else:
+        state.clear()
+
+
+def _payload(stream: DataFrame, order: Sequence[str], features: Sequence[str], label: str, groups: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """Group columns, the event time, and the row as the state holds it: order columns (the time as microseconds), features, label, kept columns."""
+    times = [F.unix_micros(order[0]).alias("_order_0"), *[quoted(c).alias(f"_order_{i}") for i, c in enumerate(order[1:], 1)]]
+    return stream.select(
+        *[quoted(g) for g in groups], quoted(order[0]).alias("_ts"), *times, F.array(*[number(stream, c) for c in features]).alias("_x"),
+        quoted(label).alias("_label"), *[quoted(c).alias("_keep_" + c) for c in keep])
+
+
+def count_windows_stream(
+    stream: DataFrame, watermark: str, order: Sequence[str], features: Sequence[str], label: str,
+    size: int, step: int, group_cols: Sequence[str], keep: Sequence[str] = (),
+) -> DataFrame:
+    """Stream of (group columns, window_id, x, label, kept columns) of all windows whose rows the watermark has passed.
+
+    ``order`` starts with the event time, a TIMESTAMP, and must be unique per group. Rows later than ``watermark`` are dropped.
+    """
+    spark, groups = stream.sparkSession, list(group_cols)
+    if spark.conf.get(PROVIDER_CONF, None) != ROCKSDB:
+        raise ValueError("list state and timers need RocksDB: read the stream in a session of state_session()")
+    payload = _payload(stream.withWatermark(order[0], watermark), order, features, label, groups, keep)
+    row = T.StructType([f for f in payload.schema.fields if f.name not in groups and f.name != "_ts"])
+    out = T.StructType([
+        *[payload.schema[g] for g in groups], T.StructField("window_id", T.LongType()),
+        T.StructField("x", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("label", payload.schema["_label"].dataType),
+        *[T.StructField(c, T.ArrayType(payload.schema["_keep_" + c].dataType)) for c in keep]])
+    cutter = WindowCutter(row, len(order), size, step, groups, keep)
+    return payload.groupBy(*groups).transformWithStateInPandas(
+        statefulProcessor=cutter, outputStructType=out, outputMode="Append", timeMode="EventTime")
+
+
+def open_windows(spark, checkpoint: str, size: int, step: int, groups: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """The windows that a stream would still cut if its source ended here, from its state alone."""
+    groups = list(groups)
+    # the single group column of a key struct comes back under the name of the column
+    key = [F.col(f"key.`{g}`").alias(g) for g in groups]
+    waiting = read_state(spark, checkpoint, "waiting").select(*key, "list_element.*")
+    tail = read_state(spark, checkpoint, "tail").select(*key, "list_element.*")
+    next_place = read_state(spark, checkpoint, "next").select(*key, F.col("value.next").alias("_next"))
+    order = [c for c in waiting.columns if c.startswith("_order_")]
+    # tail rows end right before the next position; waiting ones follow in order
+    held = settle(tail.withColumn("_from_tail", F.lit(True)).unionByName(waiting.withColumn("_from_tail", F.lit(False))), "stream-state")
+    placed = ordered_positions(held, order, groups, "_rank")
+    tails = held.groupBy(*groups).agg(F.count_if("_from_tail").alias("_tail"))
+    starts = tails.join(next_place, groups, "left").select(*groups, (F.coalesce("_next", F.lit(0)) - F.col("_tail")).alias("_start"))
+    placed = attach(placed, starts, groups).withColumn("pos", F.col("_start") + F.col("_rank"))
+    placed = placed.withColumnsRenamed({"_keep_" + c: c for c in keep})
+    return window_columns(windows_from_positions(placed, size, step, ["_x", "_label", *keep], groups), groups, keep)
+
+
+def run_count_windows(stream: DataFrame, out_path: str, checkpoint: str | None = None, ended: bool = False, **settings) -> DataFrame:
+    """Processes all available data and returns the windows cut so far; if the source has ``ended``, also those of the rows that wait."""
     spark = stream.sparkSession
     checkpoint = checkpoint or scratch_path(spark, "count-windows")
-    writer = count_window_writer(out_path, f"{checkpoint}/windows-state", **settings)
+    windows = count_windows_stream(stream, **settings)
     query = (
-        stream.writeStream.foreachBatch(writer).option("checkpointLocation", f"{checkpoint}/stream")
-        .trigger(availableNow=True).start())
+        windows.writeStream.format("parquet").outputMode("append").option("path", out_path)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
-    return spark.read.option("basePath", out_path).parquet(f"{out_path}/batch=*")
+    cut = spark.read.schema(windows.schema).parquet(out_path)
+    if not ended:
+        return cut
+    rest = open_windows(spark, checkpoint, settings["size"], settings["step"], settings["group_cols"], settings.get("keep", ()))
+    return cut.unionByName(rest)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from flowquarry.config import BENIGN
 from flowquarry.operators.columns import quoted
 from flowquarry.operators.evaluation import detection_rates
 from flowquarry.session import scratch_path
+from flowquarry.streaming.state import read_state
 
 
 def read_parquet_stream(spark: SparkSession, path: str, schema: StructType, ts: str = "ts") -> DataFrame:
@@ -34,10 +35,16 @@ def detection_stream(
     df: DataFrame, duration: str, watermark: str, label: str = "label", predicted: str = "predicted"
 ) -> DataFrame:
     """Confusion counts, detection and false-alarm rate of each window."""
+    return detection_rates(confusion_stream(df, duration, watermark, label, predicted))
+
+
+def confusion_stream(
+    df: DataFrame, duration: str, watermark: str, label: str = "label", predicted: str = "predicted"
+) -> DataFrame:
     attack, flagged = quoted(label) != BENIGN, quoted(predicted) != BENIGN
     counts = [F.count_if(~attack & ~flagged).alias("tn"), F.count_if(~attack & flagged).alias("fp"),
               F.count_if(attack & ~flagged).alias("fn"), F.count_if(attack & flagged).alias("tp")]
-    return detection_rates(windowed(df, duration, watermark, counts))
+    return windowed(df, duration, watermark, counts)
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str | None = None) -> DataFrame:
@@ -54,15 +61,30 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str | None = None) ->
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def open_windows(spark: SparkSession, checkpoint: str, counts: Sequence[str]) -> DataFrame:
+    """Windows that a stream of :func:`windowed` counts still holds open, from its state: bounds, keys and counts.
+
+    ``counts`` names the aggregates in their order; counts are kept in the state as they are.
+    """
+    state = read_state(spark, checkpoint)
+    keys = [f.name for f in state.schema["key"].dataType.fields if f.name != "window"]
+    bounds = [F.col("key.window.start").alias("window_start"), F.col("key.window.end").alias("window_end")]
+    # the state calls every count the same, so they are renamed by place
+    value = F.col("value").cast("struct<" + ",".join(f"`{c}`:bigint" for c in counts) + ">")
+    return state.select(*bounds, *[F.col(f"key.`{k}`").alias(k) for k in keys], value.alias("value")).select(
+        "window_start", "window_end", *[quoted(k) for k in keys], "value.*")
+
+
 def run_bounded(
-    make: Callable[[DataFrame], DataFrame], stream: DataFrame, rows: DataFrame, watermark: str, path: str, ts: str = "ts",
+    stream: DataFrame, counts: Sequence[str], path: str, checkpoint: str | None = None,
+    finish: Callable[[DataFrame], DataFrame] = lambda windows: windows,
 ) -> DataFrame:
-    """All windows of a stream over a source that has ended; ``rows`` is that source as a table.
+    """All windows of a stream of counts over a source that has ended.
 
-    The stream writes the windows that the watermark has passed. Those still open when the data ends are counted from
-    the rows: none of their rows can have been late.
+    The stream writes the windows that the watermark has passed; those still open when the data ends are read from its
+    state, so no row is read twice. ``finish`` derives further columns of the counts.
     """
-    closed = run_to_table(make(stream), path)
-    passed = rows.agg((F.max(ts) - F.expr(f"INTERVAL {watermark}")).alias("passed"))
-    still_open = make(rows).filter(F.col("window_end") > passed.scalar())
-    return closed.unionByName(still_open)
+    spark = stream.sparkSession
+    checkpoint = checkpoint or scratch_path(spark, "stream-state")
+    closed = run_to_table(stream, path, checkpoint)
+    return finish(closed.unionByName(open_windows(spark, checkpoint, counts)))

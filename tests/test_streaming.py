@@ -1,9 +1,12 @@
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from flowquarry.operators import windows
 from flowquarry.streaming import count_windows, monitors
+from flowquarry.streaming.state import read_state, state_session
 
 SCHEMA = "ts timestamp, key int, source string, v double, label string"
 START = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
@@ -22,19 +25,54 @@ def stream(spark, folder):
     return monitors.read_parquet_stream(spark, f"{folder}/batch*", spark.createDataFrame([], SCHEMA).schema)
 
 
+SETTINGS = dict(order=["ts", "key"], features=["v"], label="label", size=5, step=2, group_cols=["source"], keep=["key"])
+
+
+def as_set(df):
+    return {(r["source"], r["window_id"], tuple(r["key"]), tuple(map(tuple, r["x"])), r["label"]) for r in df.collect()}
+
+
 def test_windows_over_several_batches_equal_one_batch(spark, tmp_path):
-    sizes, start = [7, 1, 30, 25, 4], 0
-    for i, n in enumerate(sizes):
-        # Batches of one or three sources, so that a source can be absent from a batch.
-        write(spark, rows(start, n, groups=1 if i == 1 else 3), tmp_path, f"batch{i}")
-        settings = dict(order=["ts", "key"], features=["v"], label="label", size=5, step=2, group_cols=["source"], keep=["key"])
+    """Rows come out of order, within the watermark, in batches that lack some sources."""
+    session = state_session(spark)
+    whole, out, state = rows(0, 150, groups=3), str(tmp_path / "out"), str(tmp_path / "state")
+    pick = random.Random(3)
+    late = {r[1]: r[1] + pick.choice([0, 0, 0, 9]) for r in whole}  # arrival: up to nine minutes late
+    for i, (a, b) in enumerate(((0, 40), (40, 41), (41, 100), (100, 200))):
+        arrived = [r for r in whole if a <= late[r[1]] < b]
+        pick.shuffle(arrived)
+        write(spark, arrived, tmp_path, f"batch{i}")
+        got = count_windows.run_count_windows(stream(session, tmp_path), out, state, watermark="10 minutes", ended=i == 3, **SETTINGS)
+    table = spark.read.schema(SCHEMA).parquet(f"{tmp_path}/batch*")
+    expected = windows.count_windows(table, **SETTINGS)
+    assert as_set(got) == as_set(expected) and got.count() == expected.count() == 3 * 23
+
+
+def test_windows_wait_for_the_watermark(spark, tmp_path):
+    session = state_session(spark)
+    write(spark, rows(0, 60, groups=1), tmp_path, "batch0")
+    got = count_windows.run_count_windows(
+        stream(session, tmp_path), str(tmp_path / "out"), str(tmp_path / "state"), watermark="10 minutes", **SETTINGS)
+    # the watermark is 00:49, so rows 0 to 49 are placed
+    assert sorted(r["window_id"] for r in got.collect()) == list(range(23))
+    state = read_state(spark, str(tmp_path / "state"), "waiting")
+    assert state.count() == 10
+
+
+def test_steps_longer_than_windows(spark, tmp_path):
+    session, settings = state_session(spark), {**SETTINGS, "size": 3, "step": 7}
+    for i in range(3):
+        write(spark, rows(i * 20, 20, groups=2), tmp_path, f"batch{i}")
         got = count_windows.run_count_windows(
-            stream(spark, tmp_path), str(tmp_path / "out"), str(tmp_path / "state"), **settings)
-        start += n
-    whole = spark.read.schema(SCHEMA).parquet(f"{tmp_path}/batch*")
-    expected = windows.count_windows(whole, ["ts", "key"], ["v"], "label", 5, 2, ["source"], keep=["key"])
-    as_set = lambda d: {(r["source"], r["window_id"], tuple(r["key"]), r["label"]) for r in d.collect()}
-    assert as_set(got) == as_set(expected) and got.count() == expected.count() > 20
+            stream(session, tmp_path), str(tmp_path / "out"), str(tmp_path / "state"), watermark="1 minute", ended=i == 2, **settings)
+    table = spark.read.schema(SCHEMA).parquet(f"{tmp_path}/batch*")
+    assert as_set(got) == as_set(windows.count_windows(table, **settings)) and got.count() > 0
+
+
+def test_a_session_without_rocksdb_is_refused(spark, tmp_path):
+    write(spark, rows(0, 5), tmp_path, "batch0")
+    with pytest.raises(ValueError, match="RocksDB"):
+        count_windows.count_windows_stream(stream(spark, tmp_path), "1 minute", **SETTINGS)
 
 
 def test_label_counts_and_late_rows(spark, tmp_path):
@@ -61,8 +99,9 @@ def test_detection_stream(spark, tmp_path):
 
 def test_a_source_that_has_ended_leaves_no_window_open(spark, tmp_path):
     write(spark, rows(0, 60), tmp_path, "batch0")
-    table = spark.read.schema(SCHEMA).parquet(f"{tmp_path}/batch*")
     got = monitors.run_bounded(
-        lambda df: monitors.label_counts_stream(df, "10 minutes", "5 minutes"), stream(spark, tmp_path), table, "5 minutes", str(tmp_path / "out"))
+        monitors.label_counts_stream(stream(spark, tmp_path), "10 minutes", "5 minutes"), ["n"], str(tmp_path / "out"), str(tmp_path / "state"))
+    plan = got._jdf.queryExecution().toString()
+    assert "batch0" not in plan  # the source is not read again
     assert {(r["window_start"].minute, r["label"]): r["n"] for r in got.collect()} == {
         (m, label): 5 for m in range(0, 60, 10) for label in ("BENIGN", "dos")}
