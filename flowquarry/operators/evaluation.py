@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowquarry.operators.positions import attach, running_totals
+from flowquarry.operators.ranks import before_cells, cell_cuts, running_in_cells
+from flowquarry.session import settle
 
 
 def argmax(proba: str = "proba") -> Column:
@@ -88,31 +89,36 @@ def class_accuracy(pred: DataFrame, classes: int) -> DataFrame:
 
 
 def score_ranks(pred: DataFrame) -> DataFrame:
-    """(class, score, pos, neg, upto_pos, upto_neg): one-vs-rest counts from the highest score down."""
-    long = pred.select("y_true", F.posexplode("proba").alias("class", "score"))
-    counted = long.groupBy("class", "score").agg(
-        F.count_if(F.col("y_true") == F.col("class")).alias("pos"),
-        F.count_if(F.col("y_true") != F.col("class")).alias("neg")).withColumn("_down", -F.col("score"))
-    return running_totals(counted, ["_down"], ["pos", "neg"], ["class"]).drop("_down")
+    """(class, score, pos, neg, all_pos, all_neg, ..): one-vs-rest counts with running counts, from the highest score down, inside a cell of scores."""
+    long = pred.select("y_true", F.posexplode("proba").alias("class", "score")).withColumn("_down", -F.col("score"))
+    hit = F.col("y_true") == F.col("class")
+    cuts = cell_cuts(long, ["class"], "_down", {"all_pos": F.count_if(hit), "all_neg": F.count_if(~hit)})
+    counted = long.groupBy("class", "_down").agg(F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg"))
+    both = cuts.filter("all_pos > 0 AND all_neg > 0")
+    return running_in_cells(counted, both, ["class"], "_down", ["pos", "neg"]).withColumn("score", -F.col("_down")).drop("_down")
 
 
-def _with_totals(ranks: DataFrame) -> DataFrame:
-    totals = ranks.groupBy("class").agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    return attach(ranks, totals.filter("all_pos > 0 AND all_neg > 0"), ["class"])
+def _score_cells(ranks: DataFrame, *aggs: Column) -> DataFrame:
+    cells = ranks.groupBy("class", "all_pos", "all_neg", "_cell").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), *aggs)
+    return before_cells(cells, ["class"], ["pos", "neg"])
 
 
 def roc_points(ranks: DataFrame) -> DataFrame:
     """False and true positive rate at every distinct score; classes without both sides are left out."""
-    return _with_totals(ranks).select(
-        "class", "score", (F.col("upto_neg") / F.col("all_neg")).alias("fpr"),
-        (F.col("upto_pos") / F.col("all_pos")).alias("tpr"))
+    ranks = settle(ranks, "score-ranks")
+    before = _score_cells(ranks).select("class", "_cell", "before_pos", "before_neg")
+    return ranks.join(F.broadcast(before), ["class", "_cell"]).select(  # at most 256 rows a class
+        "class", "score", ((F.col("before_neg") + F.col("in_neg")) / F.col("all_neg")).alias("fpr"),
+        ((F.col("before_pos") + F.col("in_pos")) / F.col("all_pos")).alias("tpr"))
 
 
 def roc_auc(ranks: DataFrame) -> DataFrame:
     """Area under each curve by trapezoids; tied scores form one step."""
-    step = F.col("neg") * (F.col("upto_pos") * 2 - F.col("pos"))
-    return _with_totals(ranks).groupBy("class", "all_pos", "all_neg").agg(F.sum(step).alias("_area")).select(
-        "class", (F.col("_area") / (F.col("all_pos") * F.col("all_neg") * 2)).alias("auc"))
+    large = lambda c: F.col(c).cast("decimal(19,0)")
+    step = large("neg") * (large("in_pos") * 2 - large("pos"))
+    area = F.col("_area").cast("double") + 2.0 * F.col("before_pos") * F.col("neg")
+    return _score_cells(ranks, F.sum(step).alias("_area")).groupBy("class", "all_pos", "all_neg").agg(F.sum(area).alias("_area")).select(
+        "class", (F.col("_area") / (F.col("all_pos").cast("double") * F.col("all_neg") * 2)).alias("auc"))
 
 
 def calibration_bins(pred: DataFrame, bins: int = 10) -> DataFrame:
@@ -149,27 +155,51 @@ def loss_curve(losses: DataFrame, classes: int, stages: int) -> DataFrame:
     return grid.join(losses, ["y_true", "stage"], "left")
 
 
-def report(pred: DataFrame, dimension: DataFrame, benign: str) -> DataFrame:
-    """One row with the basic metrics, the intrusion-detection metrics and the confusion matrix."""
+def _numbers(keys: Column, values: Column, when: Column) -> Column:
+    """Aggregate: map of the keys and values of the rows for which ``when`` holds."""
+    return F.map_from_entries(F.collect_list(F.when(when, F.struct(keys, values))))
+
+
+def report(pred: DataFrame, dimension: DataFrame, benign: str, bins: int = 10) -> DataFrame:
+    """One row with the basic metrics, the intrusion-detection metrics and the confusion matrix.
+
+    One scan: rows are counted by grouping sets over class, predicted class and confidence bin, and everything else
+    follows from these few counts.
+    """
     names = [r["label"] for r in dimension.orderBy("label_id").collect()]
     classes, safe = len(names), benign_id(dimension, benign)
-    ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("class", c))), lambda s: s[c]).alias(c)
-    per_class = per_class_scores(pred, classes).agg(*[ordered(c) for c in ("precision", "recall", "f1", "support")])
-    cells = confusion_matrix(pred, classes).withColumn(
-        "row", F.collect_list("n").over(Window.partitionBy("y_true").orderBy("y_pred").rowsBetween(
-            Window.unboundedPreceding, Window.unboundedFollowing)))
-    matrix = cells.filter("y_pred = 0").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("y_true", "row"))), lambda s: s["row"]).alias("m"))
-    types = attack_type_rates(pred, safe).join(
-        F.broadcast(dimension.select(F.col("label_id").alias("y_true"), "label")), "y_true").agg(
-        F.sort_array(F.collect_list(F.struct("label", "samples", "detected", "detection_rate"))).alias("t"))
-    rates = detection_rates(binary_counts(pred, safe))
-    return rates.select(
-        accuracy(pred).scalar().alias("accuracy"),
-        per_class.select(F.struct("precision", "recall", "f1", "support")).scalar().alias("per_class"),
+    scored = pred.select(
+        "y_true", "y_pred", F.ceil(F.array_max("proba") * bins).cast("int").alias("bin"), F.array_max("proba").alias("conf"),
+        (F.col("y_true") == F.col("y_pred")).cast("int").alias("hit"))
+    axes = ("y_true", "y_pred", "bin")
+    sets = scored.groupingSets([["y_true", "y_pred"], ["y_true"], ["y_pred"], ["bin"], []], *axes).agg(
+        F.grouping_id().alias("set"), F.count("*").alias("n"), F.sum("hit").alias("hit"), F.sum("conf").alias("conf"))
+    of = {name: F.col("set") == code for name, code in (("pair", 0b001), ("true", 0b011), ("pred", 0b101), ("bin", 0b110), ("all", 0b111))}
+    gap = F.when(of["bin"] & (F.col("bin") > 0), F.abs(F.col("hit") - F.col("conf"))).otherwise(0.0)
+    found = sets.agg(
+        F.max(F.when(of["all"], F.col("n"))).alias("rows"), F.max(F.when(of["all"], F.col("hit"))).alias("hits"), F.sum(gap).alias("gap"),
+        _numbers(F.col("y_true") * classes + F.col("y_pred"), F.col("n"), of["pair"]).alias("pairs"),
+        _numbers(F.col("y_true"), F.col("n"), of["true"]).alias("actual"), _numbers(F.col("y_pred"), F.col("n"), of["pred"]).alias("given"))
+    ids = F.sequence(F.lit(0), F.lit(classes - 1))
+    count = lambda numbers, k: F.coalesce(F.try_element_at(numbers, k), F.lit(0).cast("long"))
+    cell = lambda i, j: count(F.col("pairs"), i * classes + j)
+    found = found.withColumns({
+        "confusion": F.transform(ids, lambda i: F.transform(ids, lambda j: cell(i, j))),
+        "support": F.transform(ids, lambda i: count(F.col("actual"), i)), "predicted": F.transform(ids, lambda i: count(F.col("given"), i))})
+    hit, support, predicted = (lambda i: cell(i, i)), (lambda i: F.get("support", i)), (lambda i: F.get("predicted", i))
+    found = found.withColumn("tn", hit(F.lit(safe))).withColumns({
+        "fp": support(F.lit(safe)) - F.col("tn"), "fn": predicted(F.lit(safe)) - F.col("tn")})
+    found = detection_rates(found.withColumn("tp", F.col("rows") - F.col("tn") - F.col("fp") - F.col("fn")))
+    texts = F.array(*[F.lit(n) for n in names])
+    types = F.transform(F.filter(ids, lambda i: (i != safe) & (support(i) > 0)), lambda i: F.struct(
+        F.get(texts, i).alias("label"), support(i).alias("samples"), hit(i).alias("detected"), (hit(i) / support(i)).alias("detection_rate")))
+    return found.select(
+        (F.col("hits") / F.col("rows")).alias("accuracy"),
+        F.struct(
+            F.transform(ids, lambda i: _ratio(hit(i), predicted(i))).alias("precision"),
+            F.transform(ids, lambda i: _ratio(hit(i), support(i))).alias("recall"),
+            F.transform(ids, lambda i: _ratio(hit(i) * 2, support(i) + predicted(i))).alias("f1"), "support").alias("per_class"),
         F.struct("tn", "fp", "fn", "tp").alias("binary_confusion"),
         "detection_rate", "false_alarm_rate", "attack_precision",
-        types.scalar().alias("attack_types"),
-        matrix.scalar().alias("confusion"),
-        calibration_error(pred).scalar().alias("calibration_error"),
-        F.array(*[F.lit(n) for n in names]).alias("class_names"))
+        F.sort_array(types).alias("attack_types"), "confusion",
+        (F.col("gap") / F.col("rows")).alias("calibration_error"), texts.alias("class_names"))

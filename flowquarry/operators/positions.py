@@ -48,6 +48,11 @@ def attach(df: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "inner")
     still spreads over ``SALTS`` tasks.
     """
     dim, size = settle_measured(dim, "dim")
+    return join_measured(df, dim, size, on, how)
+
+
+def join_measured(df: DataFrame, dim: DataFrame, size: int, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """As ``attach``, for a table that is settled and measured already, so that several joins can share it."""
     if size <= BROADCAST_BYTES:
         return df.join(F.broadcast(dim), list(on), how)
     return salted_join(df, dim, on, how)
@@ -97,31 +102,52 @@ def first_by_hash(
     """The first ``quota`` rows of each group in hash order (all rows of smaller groups).
 
     ``quota`` is one number, or a table of the group columns and ``quota``.
-    Slice counts tell which slice of a group holds the last wanted row; rows past
-    it are dropped before any shuffle and only the kept slices are ranked.
     """
-    sliced = df.withColumn("_g", _group_key(group_cols)).withColumn("_slice", F.substring(order[0], 1, SLICE_DIGITS))
-    counts = sliced.groupBy("_g", "_slice").agg(F.count("*").alias("_n"))
-    up_to = Window.partitionBy("_g").orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("_upto", F.sum("_n").over(up_to))
+    keyed = df.withColumn("_g", _group_key(group_cols))
+    limits = keyed.groupBy("_g").agg(F.count("*").alias("n"))
     if isinstance(quota, int):
-        counts = counts.withColumn("quota", F.lit(quota))
+        limits = limits.withColumn("quota", F.lit(quota))
     else:
-        limits = quota.select(_group_key(group_cols).alias("_g"), F.col("quota"))
-        counts = counts.join(limits, "_g")
-    cuts = counts.groupBy("_g").agg(
-        F.max("quota").alias("_quota"),
-        F.min(F.when(F.col("_upto") >= F.col("quota"), F.col("_slice"))).alias("_cut"),
-        F.max(F.when(F.col("_upto") < F.col("quota"), F.col("_upto"))).alias("_below"),
-    ).filter("_quota > 0")
-    kept = attach(sliced, cuts, ["_g"]).filter(F.col("_cut").isNull() | (F.col("_slice") <= F.col("_cut")))
-    inside = Window.partitionBy("_g", "_slice").orderBy(*order)
-    return (
-        kept.withColumn("_rank", F.row_number().over(inside))
-        .filter(F.col("_cut").isNull() | (F.col("_slice") < F.col("_cut"))
-                | (F.col("_rank") <= F.col("_quota") - F.coalesce("_below", F.lit(0))))
-        .drop("_g", "_slice", "_quota", "_cut", "_below", "_rank")
-    )
+        limits = limits.join(quota.select(_group_key(group_cols).alias("_g"), F.col("quota")), "_g")
+    return bottom_rows(keyed, limits, order, "_g").drop("_g")
+
+
+def _prefix_at(share: Column) -> Column:
+    """Text that a share of all md5 digests lies below; beyond all digests for the whole share."""
+    place = F.ceil(share * F.lit(float(1 << 52))).cast("long")
+    return F.when(share >= 1, F.lit("g")).otherwise(F.lower(F.lpad(F.hex(place), 13, "0")))
+
+
+def bottom_rows(df: DataFrame, limits: DataFrame, order: Sequence[str], on: str, group: str | None = None) -> DataFrame:
+    """The first ``quota`` rows of each group by ``order``, of which ``order[0]`` is an md5 hex string.
+
+    ``limits`` has a row per value of the column ``on`` with ``n`` and ``quota`` of its group, and the group if it is
+    not the value itself. Digests are even, so a group's first rows lie below a share of (quota + slack) / n of all
+    digests: the rest is dropped in the scan. Rows below (quota - slack) / n are in the sample; only the band between,
+    whose size is the slack, is ranked. Counts of what was kept say whether the slack did for every group, otherwise it
+    is widened; so the rows are exact, and no task ranks a whole group or quota.
+    """
+    group = group or on
+    limits, size = settle_measured(limits.filter("quota > 0"), "limits")
+    prefix, slack = F.substring(order[0], 1, 13), 8.0
+    while True:
+        margin = F.sqrt(F.col("quota").cast("double")) * slack + 4 * slack
+        cuts = limits.withColumns({
+            "_sure": _prefix_at(F.greatest(F.col("quota") - margin, F.lit(0.0)) / F.col("n")),
+            "_last": _prefix_at((F.col("quota") + margin) / F.col("n"))})
+        near = join_measured(df, cuts.drop("n", "quota"), size, [on]).filter(prefix < F.col("_last"))
+        kept = settle(near.withColumn("_sure", prefix < F.col("_sure")).drop("_last"), "bottom-rows")
+        found = kept.groupBy(group).agg(F.count_if("_sure").alias("_below"), F.count("*").alias("_found"))
+        groups = limits.groupBy(group).agg(F.max("n").alias("n"), F.max("quota").alias("quota"))
+        state, state_size = settle_measured(groups.join(found, group, "left").fillna(0, ["_below", "_found"]), "bottom-state")
+        if state.filter("_below > quota OR _found < least(quota, n)").isEmpty():
+            break
+        slack *= 4
+    first = Window.partitionBy(group).orderBy(*order)
+    band = join_measured(kept.filter("NOT _sure"), state.select(group, "quota", "_below"), state_size, [group])
+    ranked = band.withColumn("_rank", F.row_number().over(first)).filter("_rank <= quota - _below")
+    names = [c for c in kept.columns if c != "_sure"]
+    return kept.filter("_sure").select(*[F.col(f"`{c}`") for c in names]).unionByName(ranked.select(*[F.col(f"`{c}`") for c in names]))
 
 
 def _ranged(df: DataFrame, group_cols: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from flowquarry.functions.addresses import anonymize_long, ip_to_long, key_digest, long_to_ip
 from flowquarry.operators.columns import quoted
-from flowquarry.operators.positions import attach
-from flowquarry.session import settle
+from flowquarry.operators.positions import attach, join_measured
+from flowquarry.session import settle_measured
 
 
 def _anonymized(df: DataFrame, ip: str, out: str, key: bytes) -> DataFrame:
@@ -36,14 +36,14 @@ def ip_mapping(df: DataFrame, ip_cols: Sequence[str], key: bytes) -> DataFrame:
 def anonymize(df: DataFrame, ip_cols: Sequence[str], key: bytes) -> DataFrame:
     """Replace each address column; columns keep their order.
 
-    Each distinct address is computed once and looked up by ``attach``, which broadcasts a mapping of checked size
-    and salts the join beyond it.
+    Each distinct address is computed once. The mapping is written and measured once; all columns look their
+    addresses up in it, by a broadcast if it is small and by a salted join beyond.
     """
     order = [quoted(c) for c in df.columns]
-    mapping = settle(ip_mapping(df, ip_cols, key), "ips")
+    mapping, size = settle_measured(ip_mapping(df, ip_cols, key), "ips")
+    lookup = mapping.select(F.col("ip").alias("_ip"), F.col("anon_ip").alias("_new"))
     for c in ip_cols:
-        lookup = mapping.select(F.col("ip").alias("_ip"), F.col("anon_ip").alias("_new"))
-        df = attach(df.withColumn("_ip", canonical_ip(c)), lookup, ["_ip"], "left").withColumn(c, F.col("_new")).drop("_new", "_ip")
+        df = join_measured(df.withColumn("_ip", canonical_ip(c)), lookup, size, ["_ip"], "left").withColumn(c, F.col("_new")).drop("_new", "_ip")
     return df.select(*order)
 
 

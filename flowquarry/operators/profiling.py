@@ -18,7 +18,17 @@ from pyspark.sql import functions as F
 
 from flowquarry.functions.stats import chi2_tail, importance, kolmogorov_tail
 from flowquarry.operators.columns import long_form, number, quoted, readable
-from flowquarry.operators.positions import attach, running_totals
+from flowquarry.operators.gram import pair_correlations
+from flowquarry.operators.positions import attach
+from flowquarry.operators.ranks import (
+    before_cells,
+    cell_cuts,
+    interpolated,
+    quantile_at,
+    quantile_brackets,
+    running_in_cells,
+    strata,
+)
 from flowquarry.session import settle
 
 Stat = Callable[[Column], Column]
@@ -46,8 +56,10 @@ def value_counts(df: DataFrame, features: Sequence[str], flag: str = "is_attack"
 
 
 def value_ranks(df: DataFrame, features: Sequence[str], flag: str = "is_attack") -> DataFrame:
-    """Value counts with ``upto_attack`` and ``upto_benign`` in value order."""
-    return running_totals(value_counts(df, features, flag), ["value"], ["attack", "benign"], ["feature"])
+    """Value counts with the totals of their feature and, in value order, running counts inside a cell of its values."""
+    cuts = cell_cuts(long_form(df, features, [flag]), ["feature"], "value", {
+        "n_attack": F.count_if(F.col(flag)), "n_benign": F.count_if(~F.col(flag))})
+    return running_in_cells(value_counts(df, features, flag), cuts, ["feature"], "value", ["attack", "benign"])
 
 
 def category_counts(df: DataFrame, columns: Sequence[str], flag: str = "is_attack") -> DataFrame:
@@ -112,11 +124,18 @@ def effect_sizes(moments: DataFrame) -> DataFrame:
 
 
 def ks_test(ranks: DataFrame) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov statistic and asymptotic p-value per feature."""
-    totals = ranks.groupBy("feature").agg(F.sum("attack").alias("n_attack"), F.sum("benign").alias("n_benign"))
-    gap = F.abs(F.try_divide("upto_attack", "n_attack") - F.try_divide("upto_benign", "n_benign"))
+    """Two-sample Kolmogorov-Smirnov statistic and asymptotic p-value per feature.
+
+    The gap of the two distributions at a value is the gap before its cell plus what the cell adds, so a cell's largest
+    and smallest addition are all that is needed of it.
+    """
+    added = F.try_divide("in_attack", "n_attack") - F.try_divide("in_benign", "n_benign")
+    cells = ranks.groupBy("feature", "n_attack", "n_benign", "_cell").agg(
+        F.sum("attack").alias("attack"), F.sum("benign").alias("benign"), F.max(added).alias("_most"), F.min(added).alias("_least"))
+    before = F.try_divide("before_attack", "n_attack") - F.try_divide("before_benign", "n_benign")
+    gap = F.greatest(F.abs(before + F.col("_most")), F.abs(before + F.col("_least")))
     return (
-        attach(ranks, totals, ["feature"]).groupBy("feature", "n_attack", "n_benign")
+        before_cells(cells, ["feature"], ["attack", "benign"]).groupBy("feature", "n_attack", "n_benign")
         .agg(F.max(gap).alias("ks_statistic"))
         .withColumn("ks_pvalue", kolmogorov_tail(F.col("ks_statistic"), F.col("n_attack"), F.col("n_benign")))
     )
@@ -190,37 +209,29 @@ def top_separation(differences: DataFrame, top: int = 10) -> DataFrame:
     return differences.select("feature", "separation").orderBy(F.desc("separation"), "feature").limit(top)
 
 
-def quartiles(ranks: DataFrame) -> DataFrame:
-    """Exact linear-interpolated quartiles per feature and class, from value counts with running totals."""
-    totals = ranks.groupBy("feature").agg(F.sum("attack").alias("n_attack"), F.sum("benign").alias("n_benign"))
-    classes = F.array(*[
-        F.struct(F.lit(c).alias("class"), F.col(c).alias("rows"), F.col(f"upto_{c}").alias("upto"), F.col(f"n_{c}").alias("n"))
-        for c in ("attack", "benign")])
-    placed = attach(ranks, totals, ["feature"]).select("feature", "value", F.inline(classes)).filter("rows > 0")
-    out, first = [], F.col("upto") - F.col("rows")
-    for q in (0.25, 0.5, 0.75):
-        at = (F.col("n") - 1) * q
-        for rank, name in ((F.floor(at), "lo"), (F.ceil(at), "hi")):
-            holds = (first <= rank) & (rank < F.col("upto"))
-            out.append(F.max(F.when(holds, F.col("value"))).alias(f"_{name}{int(q * 100)}"))
-    found = placed.groupBy("feature", "class", "n").agg(*out)
-    for q, name in ((25, "q1"), (50, "median"), (75, "q3")):
-        at = (F.col("n") - 1) * (q / 100)
-        found = found.withColumn(
-            name, F.col(f"_lo{q}") + (F.col(f"_hi{q}") - F.col(f"_lo{q}")) * (at - F.floor(at)))
-    return found.select("feature", "class", "n", "q1", "median", "q3")
-
-
-def box_statistics(ranks: DataFrame) -> DataFrame:
-    """Quartiles, whiskers (the extreme values within 1.5 interquartile ranges) and rows beyond them."""
-    quart = settle(quartiles(ranks), "quartiles")
-    classes = F.array(*[F.struct(F.lit(c).alias("class"), F.col(c).alias("rows")) for c in ("attack", "benign")])
-    by_class = ranks.select("feature", "value", F.inline(classes)).filter("rows > 0")
+def box_statistics(df: DataFrame, features: Sequence[str], flag: str = "is_attack") -> DataFrame:
+    """Exact quartiles, whiskers (the extreme values within 1.5 interquartile ranges) and rows beyond them, per feature and class.
+
+    Two scans: a sketch brackets the quartiles, and with them the fences; then the values inside the brackets are
+    counted one by one and those between them as a whole.
+    """
+    by, quartiles = ["feature", "class"], (0.25, 0.5, 0.75)
+    class_name = F.when(F.col(flag), "attack").otherwise("benign")
+    long = long_form(df, features, [flag]).select("feature", class_name.alias("class"), "value")
+    brackets = quantile_brackets(long, by, "value", quartiles)
+    low, high = [F.get("_low", F.lit(i)) for i in range(3)], [F.get("_high", F.lit(i)) for i in range(3)]
+    # a fence is 2.5 of one quartile less 1.5 of the other
+    fences = ((low[0] * 2.5 - high[2] * 1.5, high[0] * 2.5 - low[2] * 1.5), (low[2] * 2.5 - high[0] * 1.5, high[2] * 2.5 - low[0] * 1.5))
+    brackets = brackets.select(
+        *by, "n", F.concat("_low", F.array(*[f[0] for f in fences])).alias("_low"), F.concat("_high", F.array(*[f[1] for f in fences])).alias("_high"))
+    cells = settle(strata(long, brackets, by, "value"), "strata")
+    found = cells.groupBy(*by, "n").agg(*[a for q in quartiles for a in quantile_at(q)])
+    found = found.select(*by, "n", *[interpolated(q).alias(c) for q, c in zip(quartiles, ("q1", "median", "q3"))])
     reach = (F.col("q3") - F.col("q1")) * 1.5
-    inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
-    return attach(by_class, quart, ["feature", "class"]).groupBy("feature", "class", "n", "q1", "median", "q3").agg(
-        F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
+    # no stretch between brackets spans a fence, so its ends say on which side it lies
+    inside = (F.col("least") >= F.col("q1") - reach) & (F.col("most") <= F.col("q3") + reach)
+    return cells.join(F.broadcast(found), [*by, "n"]).groupBy(*by, "n", "q1", "median", "q3").agg(  # a row per feature and class
+        F.min(F.when(inside, F.col("least"))).alias("whisker_low"), F.max(F.when(inside, F.col("most"))).alias("whisker_high"),
         F.sum(F.when(inside, 0).otherwise(F.col("rows"))).alias("outliers"))
 
 
@@ -323,23 +334,23 @@ def analysis_summary(scored: DataFrame) -> DataFrame:
 # --- correlation -------------------------------------------------------------
 
 def correlations(df: DataFrame, features: Sequence[str]) -> np.ndarray:
-    """Pearson matrix: the rows are reduced to one matrix of columns x columns on the executors.
-
-    Only that matrix, bounded by the number of columns, reaches the driver.
-    """
+    """Pearson matrix on the driver, for the eigenvalues of the component study; the rows are reduced on the executors."""
     vectors = df.select(array_to_vector(F.array(*[number(df, f) for f in features])).alias("v"))
     return Correlation.corr(vectors, "v").first()[0].toArray()
 
 
+def correlation_pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(i, j, feature1, feature2, r) for i <= j, from blocks of columns; nothing but the means reaches the driver."""
+    found = {r["feature"]: r["mean"] for r in per_feature(df, features, {"mean": F.avg}).collect()}
+    return pair_correlations(df, features, [found.get(f, 0.0) for f in features])
+
+
 def correlation_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(i, j, feature1, feature2, r) for all pairs; the upper half is taken from the matrix and mirrored."""
-    matrix = correlations(df, features)
-    first, second = np.triu_indices(len(features))
-    rows = zip(first.tolist(), second.tolist(), matrix[first, second].tolist())
-    names = F.array(*[F.lit(f) for f in features])
-    upper = df.sparkSession.createDataFrame(list(rows), "i int, j int, r double")
-    both = upper.union(upper.filter("i < j").select("j", "i", "r"))
-    return both.select("i", "j", F.get(names, F.col("i")).alias("feature1"), F.get(names, F.col("j")).alias("feature2"), "r")
+    """(i, j, feature1, feature2, r) for all pairs, those below the diagonal mirrored."""
+    upper = correlation_pairs(df, features)
+    below = upper.filter("i < j").select(
+        F.col("j").alias("i"), F.col("i").alias("j"), F.col("feature2").alias("feature1"), F.col("feature1").alias("feature2"), "r")
+    return upper.unionByName(below)
 
 
 def high_correlations(matrix: DataFrame, threshold: float = 0.95) -> DataFrame:

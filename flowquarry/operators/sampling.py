@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowquarry.operators.columns import quoted, split_by_label
-from flowquarry.operators.positions import attach, first_by_hash, hash_positions, order_hash, ordered_positions
+from flowquarry.config import BENIGN
+from flowquarry.operators.columns import quoted
+from flowquarry.operators.positions import attach, bottom_rows, first_by_hash, hash_positions, order_hash
 from flowquarry.session import settle
 
 
@@ -62,20 +63,36 @@ def rare_labels(attack: DataFrame, target: int, label: str = "label", source: st
     return _mark_rare(_source_counts(attack, label, source), target)
 
 
+def _take(
+    flows: DataFrame, is_benign: Column, benign_target: int, attack_target: int, seed: int, key: str, label: str, source: str
+) -> DataFrame:
+    """Sampled rows with ``_kind``: benign ones and those of common attack labels by quotas per source, all of rare labels.
+
+    One scan counts (label, source), everything else about the sample follows from these counts, and one scan takes the rows.
+    """
+    rows = flows.withColumns({"_on": F.struct(quoted(label).alias("label"), quoted(source).alias("source")), "_order": order_hash(seed, key)})
+    counts = settle(rows.groupBy("_on").agg(F.first(is_benign).alias("benign"), F.count("*").alias("n")), "label-source-counts")
+    files = counts.agg(*[F.count_distinct(F.when(own, F.struct(F.col("_on.source")))).alias(c) for c, own in (
+        ("benign", F.col("benign")), ("attack", ~F.col("benign")))]).first()
+    quota = per_file_quota(attack_target, max(1, files["attack"]))
+    of_label = Window.partitionBy("_on.label")
+    kind = F.when(F.col("benign"), "benign").when(F.sum("n").over(of_label) < quota * 0.8, "rare").otherwise("common")
+    of_source = Window.partitionBy("_on.source")
+    marked = counts.withColumn("_kind", kind)
+    marked = marked.withColumn("_rare", F.coalesce(F.sum(F.when(F.col("_kind") == "rare", F.col("n"))).over(of_source), F.lit(0)))
+    total = F.sum("n").over(Window.partitionBy("_on.source", "_kind"))
+    limit = F.when(F.col("_kind") == "benign", F.lit(per_file_quota(benign_target, max(1, files["benign"])))).when(
+        F.col("_kind") == "rare", total).otherwise(F.greatest(F.lit(quota) - F.col("_rare"), F.lit(0)))
+    limits = marked.select("_on", F.struct(F.col("_on.source"), "_kind").alias("_group"), total.alias("n"), limit.cast("long").alias("quota"))
+    taken = bottom_rows(rows, limits, ["_order", key], "_on", "_group")
+    return taken.withColumn("_kind", F.col("_group._kind")).drop("_on", "_order", "_group")
+
+
 def sample_attacks(
     attack: DataFrame, target: int, seed: int, key: str, label: str = "label", source: str = "source"
 ) -> DataFrame:
     """All rows of rare labels; the rest of each source's quota from common labels; full duplicates dropped."""
-    per_source = _source_counts(attack, label, source)
-    marks = _mark_rare(per_source, target)
-    marked = attach(attack, marks.select(F.col("label").alias(label), "is_rare"), [label])
-    rare = marked.filter("is_rare").drop("is_rare")
-    rare_rows = F.sum(F.when(F.col("is_rare"), F.col("n")).otherwise(0))
-    left = per_source.join(marks.select("label", "quota", "is_rare"), "label").groupBy("source").agg(
-        F.greatest(F.max("quota") - rare_rows, F.lit(0)).alias("quota")).withColumnRenamed("source", source)
-    common = marked.filter("NOT is_rare").drop("is_rare").withColumn("_order", order_hash(seed, key))
-    filled = first_by_hash(common, [source], ["_order", key], left).drop("_order")
-    return rare.unionByName(filled).dropDuplicates()
+    return _take(attack, F.lit(False), 0, target, seed, key, label, source).drop("_kind").dropDuplicates()
 
 
 def sample_uniform(
@@ -87,8 +104,8 @@ def sample_uniform(
 
 
 def sample_benign(df: DataFrame, target: int, seed: int, key: str, source: str = "source") -> DataFrame:
-    files = df.select(source).distinct().count()
-    return sample_uniform(df, per_file_quota(target, max(1, files)), seed, key, [source])
+    """An even quota of rows from every source."""
+    return _take(df.withColumn("_benign", F.lit(True)), F.lit(True), target, 0, seed, key, "_benign", source).drop("_kind", "_benign")
 
 
 def balance(
@@ -101,12 +118,14 @@ def balance(
     source: str = "source",
 ) -> DataFrame:
     """Benign share ``benign_ratio`` of ``size`` rows, the rest attacks with rare labels kept."""
-    benign, attack = split_by_label(flows, label)
-    if benign.isEmpty() or attack.isEmpty():
-        raise ValueError("both benign and attack rows are needed")
     benign_needed = int(size * benign_ratio)
-    return sample_benign(benign, benign_needed, seed, key, source).unionByName(
-        sample_attacks(attack, size - benign_needed, seed, key, label, source))
+    labelled = flows.filter(quoted(label).isNotNull())
+    taken = _take(labelled, quoted(label) == BENIGN, benign_needed, size - benign_needed, seed, key, label, source)
+    kinds = taken.agg(F.count_if(F.col("_kind") == "benign"), F.count_if(F.col("_kind") != "benign")).first()
+    if not all(kinds):
+        raise ValueError("both benign and attack rows are needed")
+    benign, attack = taken.filter("_kind = 'benign'").drop("_kind"), taken.filter("_kind <> 'benign'").drop("_kind")
+    return benign.unionByName(attack.dropDuplicates())
 
 
 def shuffled(df: DataFrame, seed: int, key: str, pos: str = "shuffle_pos") -> DataFrame:
@@ -142,15 +161,21 @@ def sample_labels(
     df: DataFrame, cap: int, seed: int, key: str, label: str = "label", source: str = "source"
 ) -> DataFrame:
     """The quota of :func:`label_quotas` from every (source, label), all rows where there are fewer."""
-    quotas = label_quotas(df, cap, label, source).select(F.col("label").alias(label), "quota")
-    groups = df.select(label, source).distinct().join(quotas, label)
-    ordered = df.withColumn("_order", order_hash(seed, key))
-    return first_by_hash(ordered, [source, label], ["_order", key], groups).drop("_order")
+    rows = df.withColumns({"_on": F.struct(quoted(label).alias("label"), quoted(source).alias("source")), "_order": order_hash(seed, key)})
+    of_label = Window.partitionBy("_on.label")
+    files, total = F.count("*").over(of_label), F.sum("n").over(of_label)
+    counts = rows.groupBy("_on").agg(F.count("*").alias("n")).withColumns({"_files": files, "_total": total})
+    quota = F.greatest(F.lit(1), F.least(F.expr(f"{cap} div _files"), F.expr("_total div _files")))
+    return bottom_rows(rows, counts.select("_on", "n", quota.cast("long").alias("quota")), ["_order", key], "_on").drop("_on", "_order")
 
 
 def head_rows(df: DataFrame, n: int, groups: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first ``n`` rows of each group in a given order (a deterministic head)."""
-    return ordered_positions(df, order, groups, "_pos").filter(F.col("_pos") < n).drop("_pos")
+    """The first ``n`` rows of each group in a given order (a deterministic head).
+
+    Tasks cut each group to ``n`` rows before the shuffle, so only these move; ``order`` must be unique per group.
+    """
+    first = Window.partitionBy(*[quoted(g) for g in groups]).orderBy(*[quoted(c) for c in order])
+    return df.withColumn("_pos", F.row_number().over(first)).filter(F.col("_pos") <= n).drop("_pos")
 
 
 def client_parts(

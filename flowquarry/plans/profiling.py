@@ -175,7 +175,7 @@ SELECT feature, class, n, round(any_value(q1), 6) AS q1, round(any_value(median)
   count(*) FILTER (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS outliers
 FROM classed JOIN quart USING (feature, class) GROUP BY feature, class, n"""))
 def boxplot_stats(spark, sf_dir):
-    boxes = profiling.box_statistics(profiling.value_ranks(lines(spark, sf_dir), LINE_FEATURES))
+    boxes = profiling.box_statistics(lines(spark, sf_dir), LINE_FEATURES)
     return rounded(boxes, 6, "q1", "median", "q3")
 
 

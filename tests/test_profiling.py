@@ -68,7 +68,7 @@ def test_effect_size(df):
 
 
 def test_box_statistics(df):
-    got = {(r["feature"], r["class"]): r for r in profiling.box_statistics(profiling.value_ranks(df, ["a", "b"])).collect()}
+    got = {(r["feature"], r["class"]): r for r in profiling.box_statistics(df, ["a", "b"]).collect()}
     for cls, values in zip(("attack", "benign"), split(1)):
         row, (q1, q2, q3) = got[("a", cls)], np.quantile(values, [0.25, 0.5, 0.75])
         assert (row["q1"], row["median"], row["q3"]) == (pytest.approx(q1), pytest.approx(q2), pytest.approx(q3))
