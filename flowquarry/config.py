@@ -40,7 +40,7 @@ class StudyConfig:
     """Everything that decides the rows of a model-ready table."""
 
     seed: int = 79
-    sample_size: int = 10000
+    sample_size: int | None = 10000  # None: all rows
     benign_ratio: float = 0.5
     k_folds: int = 5
     test_share: float = 0.2

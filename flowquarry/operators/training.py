@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     LogisticRegression,
+    LogisticRegressionModel,
     MultilayerPerceptronClassificationModel,
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 from flowquarry.config import hyperparameters
 from flowquarry.operators.evaluation import accuracy, class_cross_entropy, mean_over_folds, with_predicted_class
+from flowquarry.operators.positions import order_hash
 from flowquarry.operators.preparation import (
     assign_folds,
     fold_scalers,
@@ -29,15 +32,15 @@ from flowquarry.operators.preparation import (
     split_train_validation,
     train_scaler,
 )
-from flowquarry.operators.sampling import class_weights
+from flowquarry.operators.sampling import class_weights, sample_uniform
 from flowquarry.operators.windows import to_vector
-from flowquarry.session import settle
+from flowquarry.session import scratch_path, settle
 
 NETWORKS = ("dense", "mlp_4_layer")
 
 
 def build_estimator(model_type: str, features: int, classes: int, seed: int, max_iter: int, overrides: dict | None = None):
-    """MLlib estimator for a model type; networks take no row weights."""
+    """MLlib estimator for a model type; networks take no row weights, see ``with_copies``."""
     hp = hyperparameters(model_type, overrides)
     common = {"featuresCol": "features", "labelCol": "label_id", "probabilityCol": "probability"}
     if model_type in NETWORKS:
@@ -52,12 +55,40 @@ def build_estimator(model_type: str, features: int, classes: int, seed: int, max
         weightCol="weight", numTrees=hp["num_trees"], maxDepth=hp["max_depth"], seed=seed, **common)
 
 
+def fitted(estimator, rows: DataFrame) -> Model:
+    """Model of the rows, without its training summary: that of a two-class regression holds the session, which no task can get."""
+    model = estimator.fit(rows)
+    if isinstance(model, LogisticRegressionModel) and model.numClasses == 2:
+        path = scratch_path(rows.sparkSession, "model")
+        model.write().save(path)
+        return LogisticRegressionModel.load(path)
+    return model
+
+
 def with_class_weights(train: DataFrame) -> DataFrame:
     """Balanced weight of the row's class, computed on the training rows only."""
     weights = class_weights(train, "label_id").select(F.col("label").alias("label_id"), "weight")
     return train.join(F.broadcast(weights), "label_id")  # one row per class
 
 
+def with_copies(train: DataFrame, seed: int, key: str) -> DataFrame:
+    """Rows repeated by the weight of their class, for learners that take no weights: its whole part, and one more for the
+    rows whose hash lies below its fraction. The rows are the same under any partitioning; no class loses or gains more than
+    the spread of the hash.
+    """
+    share = F.conv(F.substring(order_hash(seed, key), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+    copies = F.floor("weight") + F.when(share < F.col("weight") - F.floor("weight"), 1).otherwise(0)
+    drawn = with_class_weights(train).withColumn("copies", copies.cast("int")).filter("copies > 0")
+    return drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies", "copy")
+
+
+def training_rows(train: DataFrame, model_type: str, seed: int, key: str, weighted: bool = True) -> DataFrame:
+    """Rows to fit on, classes balanced: by a weight column, for networks by copies of rows."""
+    if not weighted:
+        return train.withColumn("weight", F.lit(1.0))
+    return with_copies(train, seed, key) if model_type in NETWORKS else with_class_weights(train)
+
+
 def predict(model: Model, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
     scored = model.transform(rows).select(
         *keep, F.col("label_id").cast("int").alias("y_true"), vector_to_array("probability").alias("proba"))
@@ -79,10 +110,12 @@ def cross_validate(
     stages: int = 1,
     overrides: dict | None = None,
     parallelism: int = 2,
+    fit_rows: int | None = None,
 ) -> DataFrame:
-    """Out-of-fold predictions (key, fold, stage, y_true, proba, y_pred).
+    """Out-of-fold predictions (key, fold, stage, y_true, proba, y_pred) of all rows.
 
-    Scaling and class weights come from the training rows of each fold. With
+    Scaling and class weights come from the training rows of each fold. With ``fit_rows`` a model is fitted on at most so
+    many of them, evenly from the classes, in the order of a hash of the key; every held-out row is scored all the same. With
     ``stages`` > 1 a network is trained in that many equal steps, each starting
     from the weights of the one before, and scored after each.
     """
@@ -93,16 +126,19 @@ def cross_validate(
 
     def one_fold(f: int) -> DataFrame:
         scaler = scalers.filter(F.col("fold") == f).drop("fold")
-        rows = to_vector(scale_array(folded, scaler, "x"), "scaled").drop("x", "scaled")
-        train = with_class_weights(rows.filter((F.col("fold") != f) & (F.col("fold") >= 0)))
-        held = rows.filter(F.col("fold") == f)
+        scaled = lambda rows: to_vector(scale_array(rows, scaler, "x"), "scaled").drop("x", "scaled")
+        train = folded.filter((F.col("fold") != f) & (F.col("fold") >= 0))
+        if fit_rows is not None:
+            train = sample_uniform(train, max(1, fit_rows // classes), seed, key, ["label_id"])
+        train = training_rows(scaled(train), model_type, seed, key)
+        held = scaled(folded.filter(F.col("fold") == f))
         steps = stages if model_type in NETWORKS else 1
         estimator = build_estimator(model_type, features, classes, seed, max(1, max_iter // steps), overrides)
         out, model = None, None
         for stage in range(1, steps + 1):
             if isinstance(model, MultilayerPerceptronClassificationModel):
                 estimator.setInitialWeights(model.weights)
-            model = estimator.fit(train)
+            model = fitted(estimator, train)
             scored = predict(model, held, [key, "fold"]).withColumn("stage", F.lit(stage))
             out = scored if out is None else out.unionByName(scored)
         return settle(out, "predictions")
@@ -136,13 +172,13 @@ def stage_losses(pred: DataFrame) -> DataFrame:
 
 
 def fit_final(
-    df: DataFrame, model_type: str, seed: int = 79, max_iter: int = 20, overrides: dict | None = None
+    df: DataFrame, model_type: str, seed: int = 79, max_iter: int = 20, overrides: dict | None = None, key: str = "id"
 ) -> tuple[Model, DataFrame]:
     """Model trained on all rows, and the scaler that belongs to it."""
     features, classes = _shape(df)
     scaler = settle(train_scaler(df, "x"), "scaler")
-    rows = with_class_weights(to_vector(scale_array(df, scaler, "x"), "scaled").drop("x", "scaled"))
-    return build_estimator(model_type, features, classes, seed, max_iter, overrides).fit(rows), scaler
+    rows = training_rows(to_vector(scale_array(df, scaler, "x"), "scaled").drop("x", "scaled"), model_type, seed, key)
+    return fitted(build_estimator(model_type, features, classes, seed, max_iter, overrides), rows), scaler
 
 
 def score(model: Model, scaler: DataFrame, df: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -154,6 +190,27 @@ def save_model(model: Model, scaler: DataFrame, path: str) -> None:
     scaler.write.mode("overwrite").parquet(f"{path}/scaler")
 
 
+@dataclass
+class Candidate:
+    """A model type with settings, and what a search has fitted of it so far."""
+
+    model_type: str
+    settings: dict
+    iterations: int = 0
+    model: Model | None = None
+
+    def train_to(self, train: DataFrame, features: int, classes: int, seed: int, iterations: int) -> None:
+        """Brings the model to ``iterations`` in all. A network goes on from its weights; other learners start anew, and
+        as they are deterministic end where a longer run of theirs would pass.
+        """
+        resumed = self.model_type in NETWORKS and self.model is not None
+        estimator = build_estimator(
+            self.model_type, features, classes, seed, iterations - self.iterations if resumed else iterations, self.settings)
+        if resumed:
+            estimator.setInitialWeights(self.model.weights)
+        self.model, self.iterations = fitted(estimator, train), iterations
+
+
 def successive_halving(
     df: DataFrame,
     candidates: Sequence[tuple[str, dict]],
@@ -163,33 +220,40 @@ def successive_halving(
     share: float = 0.2,
     seed: int = 79,
     key: str = "id",
+    parallelism: int = 4,
 ) -> DataFrame:
     """(rung, candidate, model_type, settings, max_iter, accuracy, kept) of a search by validation accuracy.
 
-    All candidates get ``min_iter`` iterations, the best 1/``factor`` go on with
-    ``factor`` times as many, on one scaled split, until one is left or ``max_iter`` is reached.
+    All candidates get ``min_iter`` iterations, the best 1/``factor`` go on with ``factor`` times as many in all, on one
+    scaled split, until one is left or ``max_iter`` is reached. The candidates of a rung are fitted side by side, and one
+    that goes on starts from the weights it has.
     """
     features, classes = _shape(df)
     split = settle(split_train_validation(df, share, seed, key, "label_id"), "split")
     scaler = settle(train_scaler(split.filter("NOT is_validation"), "x"), "scaler")
     rows = settle(to_vector(scale_array(split, scaler, "x"), "scaled").drop("x", "scaled"), "scaled")
-    train = with_class_weights(rows.filter("NOT is_validation"))
-    held = rows.filter("is_validation")
+    train, held = rows.filter("NOT is_validation"), rows.filter("is_validation")
+    fits = {network: settle(training_rows(train, "dense" if network else "logistic", seed, key), "train-rows")
+            for network in {t in NETWORKS for t, _ in candidates}}
+    pool_of = [Candidate(model_type, dict(settings)) for model_type, settings in candidates]
     alive, rung, iterations, log = list(range(len(candidates))), 0, min_iter, []
-    while alive:
-        scores = {}
-        for c in alive:
-            model_type, settings = candidates[c]
-            model = build_estimator(model_type, features, classes, seed, iterations, settings).fit(train)
-            scores[c] = float(accuracy(predict(model, held, [key])).first()[0])
-        ranked = sorted(alive, key=lambda c: (-scores[c], c))
-        done = len(alive) == 1 or iterations * factor > max_iter
-        kept = ranked[:1] if done else ranked[: max(1, len(ranked) // factor)]
-        log += [(rung, c, candidates[c][0], str(sorted(candidates[c][1].items())), iterations, scores[c], c in kept)
-                for c in ranked]
-        if done:
-            break
-        alive, rung, iterations = kept, rung + 1, iterations * factor
+
+    def measured(c: int) -> float:
+        own = pool_of[c]
+        own.train_to(fits[own.model_type in NETWORKS], features, classes, seed, iterations)
+        return float(accuracy(predict(own.model, held, [key])).first()[0])
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        while alive:
+            scores = dict(zip(alive, pool.map(measured, alive)))
+            ranked = sorted(alive, key=lambda c: (-scores[c], c))
+            done = len(alive) == 1 or iterations * factor > max_iter
+            kept = ranked[:1] if done else ranked[: max(1, len(ranked) // factor)]
+            log += [(rung, c, candidates[c][0], str(sorted(candidates[c][1].items())), iterations, scores[c], c in kept)
+                    for c in ranked]
+            if done:
+                break
+            alive, rung, iterations = kept, rung + 1, iterations * factor
     return df.sparkSession.createDataFrame(
         log, "rung int, candidate int, model_type string, settings string, max_iter int, accuracy double, kept boolean")
 

@@ -46,6 +46,19 @@ def plain_folds(spark, sf_dir):
     return preparation.assign_folds(flows(spark, sf_dir), K, SEED, "row_key", stratified=False).select("row_key", "fold")
 
 
+@query("automatic_folds", with_sql([FLOWS], f"""
+, smallest AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM flows GROUP BY label)),
+placed AS (SELECT row_key, row_number() OVER (PARTITION BY label ORDER BY {ORDER}, row_key) - 1 AS by_label,
+             row_number() OVER (ORDER BY {ORDER}, row_key) - 1 AS by_all FROM flows)
+SELECT k, row_key, CAST(CASE WHEN n >= k THEN by_label ELSE by_all END % k AS INTEGER) AS fold
+FROM placed, smallest, (SELECT CAST(unnest([2, 100000]) AS INTEGER) AS k)""".lstrip("\n")))
+def automatic_folds(spark, sf_dir):
+    """Class by class where every class has a row for each fold, over all rows where one has fewer."""
+    df = flows(spark, sf_dir)
+    found = [preparation.assign_folds(df, k, SEED, "row_key").select(F.lit(k).alias("k"), "row_key", "fold") for k in (2, 100_000)]
+    return found[0].unionByName(found[1])
+
+
 @query("train_val_split", with_sql([FLOWS], f"""
 SELECT row_key, label, rn <= floor(n * 0.2::DOUBLE + 0.5) AS is_validation FROM (
   SELECT *, row_number() OVER (PARTITION BY label ORDER BY {ORDER}, row_key) AS rn,

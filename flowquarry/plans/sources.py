@@ -149,6 +149,29 @@ def model_ready_cache(spark, sf_dir):
     return rows.select("window_id", "label", rows.agg(F.count("*")).scalar().alias("windows"))
 
 
+@query("cache_after_change", with_sql([FLOWS], """
+SELECT label, count(*) AS first_rows, CAST(count(*) * 2 AS BIGINT) AS rows_after FROM flows GROUP BY label"""))
+def cache_after_change(spark, sf_dir):
+    """A cached table is built again when a file below its input was added, and read as it is when none was."""
+    source, root, built = scratch_path(spark, "cache-input"), scratch_path(spark, "model-cache"), []
+    narrow = flows(spark, sf_dir).select("row_key", "label")
+    narrow.write.parquet(source)
+
+    def build():
+        built.append(1)
+        rows = spark.read.parquet(source)
+        return rows, label_dimension(rows)
+
+    load = lambda: cache.load_or_build(spark, root, StudyConfig(features=EVENT_FEATURES), [source], build)[0]
+    first = load().groupBy("label").agg(F.count("*").alias("first_rows"))
+    load()
+    narrow.write.mode("append").parquet(source)
+    after = load().groupBy("label").agg(F.count("*").alias("rows_after"))
+    if len(built) != 2:
+        raise ValueError(f"built {len(built)} times")
+    return first.join(after, "label")
+
+
 AUDIT = "SELECT label, count(*) AS n, round(count(*) / (SELECT count(*) FROM flows) * 100, 2) AS percent FROM flows GROUP BY label"
 
 
@@ -167,3 +190,11 @@ def report_summary(spark, sf_dir):
     audit = sampling.class_audit(flows(spark, sf_dir))
     reports.write_summary(audit, root)
     return rounded(reports.read_summary(spark, root, audit.schema), 2, "percent")
+
+
+@query("report_csv", with_sql([FLOWS], AUDIT))
+def report_csv(spark, sf_dir):
+    root = scratch_path(spark, "summary")
+    audit = sampling.class_audit(flows(spark, sf_dir))
+    reports.write_csv(audit, f"{root}/summary.csv")
+    return rounded(reports.read_summary(spark, root, audit.schema), 2, "percent")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from flowquarry.config import BENIGN, IP_COLUMNS, LABEL_COLUMN, TIMESTAMP_COLUMN, StudyConfig
 from flowquarry.functions.addresses import octets, seed_key
 from flowquarry.operators import components, evaluation, profiling
-from flowquarry.operators.columns import column_profile, feature_array, model_columns, numeric_columns, present
+from flowquarry.operators.columns import STUDY_EXCLUDED, column_profile, feature_array, model_columns, numeric_columns, present
 from flowquarry.operators.preparation import encode_labels, label_dimension
 from flowquarry.operators.privacy import anonymize, with_octets
 from flowquarry.operators.sampling import balance, head_rows, oversample, sample_labels
@@ -43,10 +43,13 @@ def model_features(df: DataFrame, config: StudyConfig, names: FlowColumns) -> li
 
 
 def prepare(flows: DataFrame, config: StudyConfig, names: FlowColumns | None = None) -> tuple[DataFrame, DataFrame]:
-    """Balanced, typed and windowed rows (id, x, label_id), with the label dimension."""
+    """Typed and windowed rows (id, x, label_id) of a balanced sample, or of all labelled rows without a sample size, with the label dimension."""
     names = names or FlowColumns()
-    sample = settle(balance(
-        flows, config.sample_size, config.benign_ratio, config.seed, names.key, names.label, names.source), "sample")
+    if config.sample_size is None:
+        sample = flows.filter(F.col(f"`{names.label}`").isNotNull())
+    else:
+        sample = settle(balance(
+            flows, config.sample_size, config.benign_ratio, config.seed, names.key, names.label, names.source), "sample")
     sample = settle(oversample(sample, max(2, config.k_folds), config.seed, names.key, names.label), "sample")
     ips = present(sample, names.ips)
     features = model_features(sample, config, names)
@@ -67,11 +70,13 @@ def prepare(flows: DataFrame, config: StudyConfig, names: FlowColumns | None = N
 
 
 def train_and_evaluate(
-    flows: DataFrame, model_type: str, config: StudyConfig, names: FlowColumns | None = None, max_iter: int = 20
+    flows: DataFrame, model_type: str, config: StudyConfig, names: FlowColumns | None = None, max_iter: int = 20,
+    fit_rows: int | None = None,
 ) -> DataFrame:
-    """One report row, measured on out-of-fold predictions."""
+    """One report row, measured on out-of-fold predictions of all prepared rows; ``fit_rows`` bounds what a model is fitted on."""
     rows, dimension = prepare(flows, config, names)
-    pred = last_stage(cross_validate(settle(rows, "rows"), model_type, config.k_folds, config.seed, max_iter=max_iter))
+    pred = last_stage(cross_validate(
+        settle(rows, "rows"), model_type, config.k_folds, config.seed, max_iter=max_iter, fit_rows=fit_rows))
     return evaluation.report(settle(pred, "out-of-fold"), dimension, BENIGN)
 
 
@@ -80,8 +85,10 @@ def feature_study(
 ) -> dict[str, DataFrame]:
     """Scores, ranking, suggestion and summary of the columns against the attack flag.
 
-    Columns with more than 70 % readable numbers are numeric, the others categorical.
+    Columns with more than 70 % readable numbers are numeric, the others categorical. Ids, times, addresses and labels
+    (``STUDY_EXCLUDED``) are no features.
     """
+    columns = [c for c in columns if c not in STUDY_EXCLUDED]
     profile = column_profile(df, columns)
     numeric = {r["column"] for r in numeric_columns(profile, 0.7).select("column").collect()}
     numbers = [c for c in columns if c in numeric]
@@ -141,7 +148,7 @@ def component_study(
     sample = flows if cap is None else settle(sample_labels(flows, cap, seed, key, label, source), "component-sample")
     kept = model_columns(sample, columns)
     fit = components.fit_components(sample, kept)
-    matrix = profiling.correlation_matrix(sample, kept)
+    matrix = settle(profiling.correlation_matrix(sample, kept), "correlations")
     pairs = profiling.high_correlations(matrix, threshold)
     report = components.component_report(spark, fit, target)
     scores = components.distinctive_scores(report, max_components, per_component, min_loading)

@@ -11,13 +11,14 @@ if the new one has no rows of a class or no rows at all.
 from __future__ import annotations
 
 import csv
-from collections.abc import Iterator, Sequence
-from urllib.parse import unquote
+import json
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.utils import AnalysisException
 
 from flowquarry.config import BENIGN, FEATURE_COLUMNS, IP_COLUMNS, LABEL_COLUMN, TIMESTAMP_COLUMN
 from flowquarry.functions.cleaning import to_number
@@ -28,6 +29,8 @@ TEXT_COLUMNS = ("id", "Flow ID", *IP_COLUMNS, LABEL_COLUMN, TIMESTAMP_COLUMN)
 TIME_FORMATS = (
     "yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy hh:mm:ss a", "dd/MM/yyyy HH:mm")
 FILE_STEM = r"([^/]+)\.[^./]+$"
+HEADERS_AT_ONCE = 16
+SCHEMAS = "table string, schema string"
 MANIFEST = "source string, files long, bytes long, modified timestamp, delivery long, reason string"
 
 
@@ -43,25 +46,18 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.csv", source: s
                         F.col("modificationTime").alias("modified"))
 
 
-def _first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last = None
-    for batch in batches:
-        rows = []
-        for i, path in enumerate(batch["path"].to_pylist()):
-            if path != last:
-                rows.append(i)
-                last = path
-        paths = [unquote(p) for p in batch["path"].take(pa.array(rows, pa.int64())).to_pylist()]
-        yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "value": batch["value"].take(pa.array(rows, pa.int64()))})
-
-
 def read_headers(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files grouped by their header line (names kept as they stand), in one job over the first blocks of the files."""
-    lines = spark.read.text(list(paths)).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
-    heads = lines.filter("start = 0").select("path", "value").mapInArrow(_first_lines, "path string, value string")
-    groups = heads.groupBy("value").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("value")
-    return {tuple(next(csv.reader([r["value"]]), [])): r["paths"] for r in groups.collect()}
+    """Files grouped by their header line (names kept as they stand); one row of each file is read, many files side by side."""
+    def header(path: str) -> tuple[str, ...]:
+        line = spark.read.text(path).head(1)
+        return tuple(next(csv.reader([line[0]["value"]]), [])) if line else ()
+
+    with ThreadPoolExecutor(max_workers=HEADERS_AT_ONCE) as pool:
+        found = list(zip(paths, pool.map(header, paths)))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path, names in sorted(found, key=lambda f: (f[1], f[0])):
+        groups.setdefault(names, []).append(path)
+    return groups
 
 
 def read_flow_files(
@@ -164,6 +160,7 @@ def ingest(spark: SparkSession, data_path: str, store: str, wanted: Sequence[str
             flows, rejects = split_rejects(type_flows(raw, wanted or FEATURE_COLUMNS, formats))
             for rows, name in ((flows, "flows"), (rejects, "rejects")):
                 rows.withColumn("delivery", delivery).write.mode("append").partitionBy("source", "delivery").parquet(f"{store}/{name}")
+                spark.createDataFrame([(name, rows.schema.json())], SCHEMAS).coalesce(1).write.mode("append").parquet(f"{store}/schemas")
         bad = files.join(spark.createDataFrame([(p,) for p in unlabelled], "path string"), "path").select("source").distinct().withColumn(
             "reason", F.lit("no label column"))
         todo.join(bad, "source", "left").select(*same, delivery.alias("delivery"), "reason").write.mode("append").parquet(f"{store}/manifest")
@@ -172,15 +169,34 @@ def ingest(spark: SparkSession, data_path: str, store: str, wanted: Sequence[str
     return read_flow_table(spark, store)
 
 
+def _stored_schema(spark: SparkSession, store: str, name: str) -> StructType | None:
+    """Columns of all deliveries, as noted when they were written: no footer is read for them."""
+    try:
+        noted = spark.read.schema(SCHEMAS).parquet(f"{store}/schemas").filter(F.col("table") == name)
+        texts = [r[0] for r in noted.groupBy("schema").agg(F.count("*")).orderBy("schema").collect()]
+    except AnalysisException:  # nothing has been delivered yet
+        return None
+    fields: dict[str, StructField] = {}
+    for text in texts:
+        for f in StructType.fromJson(json.loads(text)).fields:
+            fields.setdefault(f.name, f)
+    return StructType(list(fields.values())) if fields else None
+
+
 def _valid_rows(spark: SparkSession, store: str, name: str) -> DataFrame:
+    """Rows of the valid deliveries; sources that look like numbers or dates stay text."""
+    schema = _stored_schema(spark, store, name)
+    if schema is None:
+        return spark.createDataFrame([], "source string, reject_reason string")
+    # the partition columns are the last ones, as in any read of the folder
+    rest = [f for f in schema.fields if f.name != "source"]
+    whole = StructType([*rest, StructField("source", StringType()), StructField("delivery", LongType())])
     try:
-        table = spark.read.option("mergeSchema", True).parquet(f"{store}/{name}")
-    except Exception as e:  # a store without any reject has no such folder
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return spark.createDataFrame([], "source string, reject_reason string")
-        raise
-    # sources that look like numbers or dates stay text
-    table = table.withColumn("source", F.col("source").cast("string")).withColumn("delivery", F.col("delivery").cast("long"))
+        table = spark.read.schema(whole).parquet(f"{store}/{name}")
+    except AnalysisException as e:  # a store without any reject has no such folder
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        table = spark.createDataFrame([], whole)
     valid = valid_deliveries(spark, store).select("source", "delivery")
     return table.join(valid, ["source", "delivery"], "left_semi").drop("delivery")
 
