@@ -31,12 +31,13 @@ from flowquarry.session import scratch_path, settle
 
 CHUNK_BITS = 8
 RANK_BITS = 512
-SEGMENT_TOKENS = 1 << 20
+SEGMENT_TOKENS = 1 << 16
 TEXTS_AT_ONCE = 1 << 21  # characters tokenized in one go
 ROWS_AT_ONCE = 512  # documents that Spark hands to a worker at once
 BYTES_AT_ONCE = 1 << 22  # and their bytes, beyond the last one of them
 POSITIONS_AT_ONCE = 1 << 16  # ids read by one access
-SEGMENTS_AT_ONCE = 4  # segments handed to a worker at once
+SEGMENTS_AT_ONCE = 16  # segments handed to a worker at once
+PAGE = 1 << 16  # bytes of a page, which is compressed by itself: a segment's column or little more
 ROW_GROUP = 1 << 24  # bytes of a store's row group, which a task holds as it writes and as it reads
 
 SEGMENT_SCHEMA = (
@@ -168,7 +169,7 @@ def write_token_store(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k
         .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
     segments = ordered.mapInArrow(_segments(tokenizer, end_id), SEGMENT_SCHEMA)
     with _small_batches(docs.sparkSession, ROWS_AT_ONCE):
-        segments.write.option("compression", "none").option("parquet.block.size", ROW_GROUP).parquet(path)
+        segments.write.option("compression", "zstd").option("parquet.page.size", PAGE).option("parquet.block.size", ROW_GROUP).parquet(path)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
