@@ -35,7 +35,7 @@ SEGMENT_TOKENS = 1 << 16
 TEXTS_AT_ONCE = 1 << 21  # characters tokenized in one go
 ROWS_AT_ONCE = 512  # documents that Spark hands to a worker at once
 BYTES_AT_ONCE = 1 << 22  # and their bytes, beyond the last one of them
-POSITIONS_AT_ONCE = 1 << 16  # ids read by one access
+POSITIONS_AT_ONCE = 1 << 16  # ids read at once
 SEGMENTS_AT_ONCE = 16  # segments handed to a worker at once
 PAGE = 1 << 16  # bytes of a page, which is compressed by itself: a segment's column or little more
 ROW_GROUP = 1 << 24  # bytes of a store's row group, which a task holds as it writes and as it reads
@@ -102,9 +102,17 @@ def dac_access(levels: list[bytes], marks: list[bytes], ranks: list[bytes], at:
 
 
 def dac_read(levels: list[bytes], marks: list[bytes], ranks: list[bytes], start: int, n: int) -> np.ndarray:
-    """The ``n`` ids from position ``start`` on, by random access, a bounded number at once."""
-    found = [dac_access(levels, marks, ranks, np.arange(at, min(at + POSITIONS_AT_ONCE, start + n))) for at in range(start, start + n, POSITIONS_AT_ONCE)]
-    return np.concatenate(found) if found else np.zeros(0, np.uint32)
+    """The ``n`` ids from position ``start`` on: on each level one stretch, whose place is one lookup in the directory."""
+    out, which = np.zeros(n, dtype=np.uint32), np.arange(n)
+    for level, (chunk, bits, rank) in enumerate(zip(levels, marks, ranks)):
+        if not len(which):
+            break
+        end = start + len(which)
+        out[which] |= np.frombuffer(chunk, np.uint8)[start:end].astype(np.uint32) << np.uint32(CHUNK_BITS * level)
+        own = np.unpackbits(np.frombuffer(bits, np.uint8)[start >> 3:(end + 7) >> 3], bitorder="little")
+        which = which[own[start & 7:(start & 7) + len(which)] == 1]
+        start = int(_marks_before(bits, rank, np.array([start]))[0])
+    return out
 
 
 def dac_decode(levels: list[bytes], marks: list[bytes], ranks: list[bytes]) -> np.ndarray:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 from collections.abc import Iterable
@@ -14,7 +15,7 @@ from flowquarry.llm.batches import keep
 
 WORD_END = "</w>"  # fixed value: how such a vocabulary marks the last token of a pre-token
 JOINED = 512  # words given to the library in one string
-CLOSING = re.compile(rb"(?<=[0-9A-Za-z])([,.])(?=[ \t-\r]|\Z)")  # a lone comma or full stop at the end of a word
+CLOSING = (b",", b".")  # after a letter or digit, a lone one at the end of a word is a token of its own
 CACHE_ENTRIES = 500_000  # words a worker remembers; later new words are encoded each time they occur
 CACHE_WORD = 64  # bytes of the longest word that is remembered
 
@@ -51,7 +52,8 @@ class WordIds:
     def __init__(self, name: str):
         self.tokenizer = load_tokenizer(name)
         self.cache: dict[bytes, bytes] = {}
-        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(map(re.escape, special)) or rb"(?!)")
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, i in vocabulary.items():
@@ -60,7 +62,7 @@ class WordIds:
     def _fold(self, text: bytes) -> bytes:
         """In lower case if that leaves the ids as they are."""
         low = text.lower()
-        return text if not text.isascii() or any(s in low for s in self.special) else low
+        return text if low == text or not text.isascii() or self.special.search(low) else low
 
     def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words by the library. A word of Latin letters is one pre-token, which ends with the only
@@ -86,19 +88,22 @@ class WordIds:
     def learn(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
         """Ids of words that the cache lacks; ASCII words of either case share them unless they hold a special token."""
         cores = {w: self._fold(w) for w in words}
+        stems = {c: c[:-1] if c[-1:] in CLOSING and c[-2:-1].isalnum() else c for c in cores.values()}
         cache = self.cache
-        ids = self._encode(sorted({c for c in cores.values() if c not in cache}))
-        out = {w: ids[c] if c in ids else cache[c] for w, c in cores.items()}
-        for new in (ids, out):
-            for w, i in new.items():
-                if len(cache) >= CACHE_ENTRIES:
-                    return out
+        ids = self._encode([s for s in {*stems.values(), *CLOSING} if s not in cache])
+        found = lambda s: ids[s] if s in ids else cache[s]
+        whole = {c: found(s) if len(s) == len(c) else found(s) + found(c[-1:]) for c, s in stems.items()}
+        out = {w: whole[c] for w, c in cores.items()}
+        if len(cache) < CACHE_ENTRIES:
+            for w, i in itertools.chain(ids.items(), out.items()):
                 if len(w) <= CACHE_WORD:
                     cache[w] = i
+                    if len(cache) >= CACHE_ENTRIES:
+                        break
         return out
 
     def texts(self, texts: Iterable[bytes | None]) -> list[bytes]:
-        split = [CLOSING.sub(rb" \1", self._fold(t)).split() if t else [] for t in texts]
+        split = [self._fold(t).split() if t else [] for t in texts]
         distinct = list(set().union(*split))
         # the words of these texts only: a small table is faster to look up in, and the cache may be full
         known = dict(zip(distinct, map(self.cache.get, distinct)))
