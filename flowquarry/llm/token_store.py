@@ -32,7 +32,7 @@ from flowquarry.session import scratch_path, settle
 CHUNK_BITS = 8
 RANK_BITS = 512
 SEGMENT_TOKENS = 1 << 16
-TEXTS_AT_ONCE = 1 << 21  # characters tokenized in one go
+TEXTS_AT_ONCE = 1 << 19  # bytes tokenized in one go: their words fit into a processor's cache
 ROWS_AT_ONCE = 512  # documents that Spark hands to a worker at once
 BYTES_AT_ONCE = 1 << 22  # and their bytes, beyond the last one of them
 POSITIONS_AT_ONCE = 1 << 16  # ids read at once
