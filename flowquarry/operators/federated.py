@@ -75,11 +75,14 @@ RULE_SCHEMA = (
 
 
 def scenario_summary(results: DataFrame, overheads: DataFrame, baseline: str = "A") -> DataFrame:
-    """One row per scenario: accuracy and gap to the baseline, times, transfer volume.
+    """One row per scenario: accuracy and gap to the baseline, times, privacy loss, error, transfer volume.
 
     ``results`` has one row per scenario; ``overheads`` one row per scenario and
-    round (duration_s, he_available, mb, mode, enc_s, agg_s, dec_s).
+    round (duration_s, he_available, mb, mode, enc_s, agg_s, dec_s). error,
+    training_time and delta are NULL if the results have none.
     """
+    optional = {"error": "string", "training_time": "double", "delta": "double"}
+    results = results.withColumns({c: F.lit(None).cast(t) for c, t in optional.items() if c not in results.columns})
     available = F.col("he_available")
     per_round = overheads.groupBy("scenario").agg(
         F.avg("duration_s").alias("round_time_mean_s"),

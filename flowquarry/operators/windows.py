@@ -30,6 +30,8 @@ def windows_from_positions(
     one bounded array, from which its windows are sliced: the data is shuffled
     once, and hardly any row twice, however much the windows overlap.
     """
+    if step > size:
+        return _apart(placed, size, step, payload, group_cols, pos)
     per_block = max(-(-size // step), BLOCK_ROWS // step, 1)
     span = per_block * step
     block = F.floor(F.col(pos) / span).cast("long")
@@ -55,6 +57,16 @@ def windows_from_positions(
     )
 
 
+def _apart(placed: DataFrame, size: int, step: int, payload: Sequence[str], group_cols: Sequence[str], pos: str) -> DataFrame:
+    """Windows with gaps between them: rows in the gaps are dropped in the scan, and a window is an array of its own."""
+    row = F.struct(F.col(pos).cast("long").alias("_pos"), *[quoted(c) for c in payload])
+    kept = placed.filter(F.pmod(F.col(pos), F.lit(step)) < size)
+    window = F.floor(F.col(pos) / step).cast("long").alias("window_id")
+    cut = kept.select(*[quoted(c) for c in group_cols], window, row.alias("_row")).groupBy(*group_cols, "window_id").agg(
+        F.sort_array(F.collect_list("_row")).alias("rows"))
+    return cut.filter(F.size("rows") == size)
+
+
 def _field(name: str) -> Callable[[Column], Column]:
     return lambda r: r[name]
 

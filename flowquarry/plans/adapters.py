@@ -114,10 +114,11 @@ def scenario_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
         F.lit("success").alias("status"),
         F.round(F.avg((F.col("k") < 60).cast("int")), 6).alias("final_accuracy"),
         F.round(F.avg((F.col("k") < 80).cast("int")), 6).alias("_validation"),
-        F.round(F.avg("value") * 10, 6).alias("total_time"),
+        F.round(F.avg("value") * 10, 6).alias("total_time"), F.round(F.avg("value") * 8, 6).alias("training_time"),
         F.countDistinct("source").alias("rounds"), F.countDistinct("user_id").alias("num_clients"))
     validation = F.when(F.col("scenario") == "A", F.col("_validation")).when(F.col("scenario") == "B", 0.0)
     return results.withColumns({
         "validation_accuracy": validation, "use_dp": use_dp, "use_he": use_he,
         "local_epochs": F.lit(2), "batch_size": F.lit(64),
-        "noise_multiplier": F.when(use_dp, 0.8)}).drop("_validation"), overheads
+        "noise_multiplier": F.when(use_dp, 0.8), "delta": F.when(use_dp, 1e-5),
+        "error": F.when(F.col("num_clients") < 1, "no clients")}).drop("_validation"), overheads

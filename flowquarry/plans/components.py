@@ -90,6 +90,21 @@ def _distinctive(spark, sf_dir, threshold=THRESHOLD):
     return report, components.rank_distinctive(kept)
 
 
+@query("correlation_pruning", with_sql([VECTORS, CORR], f"""
+, scores AS (SELECT pos, round(stddev_samp(v), 9) AS score FROM coords GROUP BY pos),
+weaker AS (SELECT CASE WHEN a.score < b.score THEN a.pos ELSE b.pos END AS pos FROM pairs JOIN scores a ON a.pos = i JOIN scores b ON b.pos = j
+           WHERE abs(r) > {THRESHOLD}),
+kept AS (SELECT * FROM scores WHERE pos NOT IN (SELECT pos FROM weaker))
+SELECT 'e' || lpad(CAST(pos AS VARCHAR), 2, '0') AS feature, round(score, 6) AS pca_importance_score,
+  CAST(row_number() OVER (ORDER BY score DESC, pos) AS INTEGER) AS rank FROM kept""".lstrip("\n")))
+def correlation_pruning(spark, sf_dir):
+    """Of every highly correlated pair the coordinate that varies less goes; what is left is ranked."""
+    df, names = embedding_columns(spark, sf_dir)
+    spread = profiling.per_feature(df, names, {"pca_importance_score": lambda c: F.round(F.stddev_samp(c), 9)})
+    pairs = profiling.high_correlations(profiling.correlation_matrix(df, names), THRESHOLD)
+    return rounded(components.rank_distinctive(components.prune_correlated(spread, pairs)), 6, "pca_importance_score")
+
+
 @query("distinctive_features")
 def distinctive_features(spark, sf_dir):
     return rounded(_distinctive(spark, sf_dir)[1], 6, "pca_importance_score")

@@ -59,7 +59,7 @@ SCENARIOS = """base AS (SELECT *, CASE event_type WHEN 'click' THEN 'A' WHEN 'er
   WHEN 'signup' THEN 'D' ELSE 'E' END AS scenario FROM flows),
 days AS (SELECT scenario, source, round(avg(value), 6) AS d, round(avg(k), 6) AS mk, count(*) AS n FROM base GROUP BY scenario, source),
 results AS (SELECT scenario, 'success' AS status, round(avg((k < 60)::INT), 6) AS final_accuracy, round(avg((k < 80)::INT), 6) AS va,
-  round(avg(value) * 10, 6) AS total_time, count(DISTINCT source) AS rounds, count(DISTINCT user_id) AS num_clients FROM base GROUP BY scenario),
+  round(avg(value) * 10, 6) AS total_time, round(avg(value) * 8, 6) AS training_time, count(DISTINCT source) AS rounds, count(DISTINCT user_id) AS num_clients FROM base GROUP BY scenario),
 scored AS (SELECT *, scenario IN ('D', 'E') AS use_dp, scenario IN ('C', 'E') AS use_he,
   CASE WHEN scenario = 'A' AND va <> 0 THEN va ELSE final_accuracy END AS accuracy FROM results),
 epsilons AS (SELECT scenario, CASE WHEN use_dp THEN rounds * num_clients * 2 * (64 / greatest(10000, 64 * num_clients * 100)) / greatest(0.8::DOUBLE * 0.8::DOUBLE, 1e-6) END AS epsilon FROM scored),
@@ -83,7 +83,8 @@ def epsilon_indicative(spark, sf_dir):
 
 
 @query("scenario_summary", with_sql([FLOWS, SCENARIOS], """
-SELECT scenario, status, use_dp, use_he, rounds, num_clients, accuracy, total_time, round(epsilon, 8) AS epsilon,
+SELECT scenario, status, use_dp, use_he, rounds, num_clients, accuracy, total_time, round(epsilon, 8) AS epsilon, training_time,
+  CASE WHEN use_dp THEN 1e-5::DOUBLE END AS delta, CAST(NULL AS VARCHAR) AS error,
   round(accuracy - (SELECT accuracy FROM scored WHERE scenario = 'A'), 6) AS acc_vs_baseline,
   round(round_mean, 5) AS round_time_mean_s, round(round_std, 5) AS round_time_std_s, round(mb_round, 5) AS he_mb_per_round,
   round(mb_total, 5) AS he_mb_total, round(mb_total / total_time, 5) AS he_mb_per_sec, he_mode,
@@ -93,7 +94,7 @@ def scenario_summary(spark, sf_dir):
                 "he_mb_per_sec", "enc_mean_s", "agg_mean_s", "dec_mean_s")
     s = rounded(rounded(s, 8, "epsilon"), 6, "acc_vs_baseline")
     return s.select(
-        "scenario", "status", "use_dp", "use_he", "rounds", "num_clients", "accuracy", "total_time", "epsilon",
+        "scenario", "status", "use_dp", "use_he", "rounds", "num_clients", "accuracy", "total_time", "epsilon", "training_time", "delta", "error",
         "acc_vs_baseline", "round_time_mean_s", "round_time_std_s", "he_mb_per_round", "he_mb_total", "he_mb_per_sec",
         "he_mode", "enc_mean_s", "agg_mean_s", "dec_mean_s")
 

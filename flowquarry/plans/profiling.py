@@ -316,3 +316,14 @@ def suggested_features(spark, sf_dir):
 SELECT count(*) AS features, count(*) FILTER (is_discriminative) AS discriminative, round(max(score), 6) AS top_score FROM scores"""))
 def analysis_summary(spark, sf_dir):
     return rounded(_study(spark, sf_dir)["summary"], 6, "top_score")
+
+
+@query("study_columns", with_sql([FLOWS], """
+SELECT unnest(['k', 'value']) AS feature, CAST(count(*) AS BIGINT) AS rows FROM flows"""))
+def study_columns(spark, sf_dir):
+    """Which columns a study looks at: ids, times, addresses and labels are none of them."""
+    df = flows(spark, sf_dir).select(
+        F.col("row_key").alias("Flow ID"), F.col("ts").alias("Timestamp"), F.col("src_ip").alias("Src IP"), F.col("dst_ip").alias("Dst IP"),
+        "value", "k", F.col("label").alias("Label"), "is_attack")
+    scores = feature_study(df, [c for c in df.columns if c != "is_attack"])["scores"]
+    return scores.select("feature", df.agg(F.count("*")).scalar().alias("rows"))

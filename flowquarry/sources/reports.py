@@ -42,15 +42,15 @@ def read_summary(spark: SparkSession, path: str, schema: StructType | None = Non
 
 
 def read_latest_json(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    """Rows of the file with the greatest path among the JSON files below ``path``."""
+    """Rows of the newest JSON report below ``path``: the file, or the folder that Spark has written, with the greatest path."""
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
-    names = reader.format("binaryFile").load(path).agg(F.max("path")).first()[0]
-    if names is None:
+    files = reader.format("binaryFile").load(path)
+    newest = files.agg(F.max(F.regexp_replace("path", r"/part-[^/]*$", ""))).first()[0]
+    if newest is None:
         raise ValueError(f"no JSON files below {path}")
-    return (spark.read if schema is None else spark.read.schema(schema)).json(names)
+    return (spark.read if schema is None else spark.read.schema(schema)).json(newest)
 
 
 def write_versioned_json(df: DataFrame, root: str, version: str) -> None:
-    """One file per version below ``root``, so that the newest is the greatest path."""
-    write_json(df.coalesce(1), f"{root}/{version}")
-
+    """One folder per version below ``root``, so that the newest is the greatest path."""
+    write_json(df, f"{root}/{version}")
