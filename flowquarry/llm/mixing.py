@@ -109,14 +109,16 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, domains: lis
     A domain without labelled rows gets next to no probability; without any labels all domains are equally likely.
     """
     sample = labelled_sample(docs, labels, {d: domain == d for d in domains}, per_class, key, text)
-    rows = sample.select("cls", "_key", _pairs("text").alias("p")).orderBy("_key", "cls").collect()
-    if not rows:
+    found = sample.select("cls", "_key", _pairs("text").alias("p")).orderBy("_key", "cls").select("cls", "p.codes", "p.shares").toArrow()
+    if not len(found):
         return DomainModel(tuple(domains), np.zeros((PAIRS, len(domains)), np.float32), np.zeros(len(domains)))
-    y = np.array([domains.index(r.cls) for r in rows])
-    sizes = np.array([len(r.p.codes) for r in rows])
-    cols = np.concatenate([np.asarray(r.p.codes, dtype=np.int64) for r in rows])
-    values = np.concatenate([np.asarray(r.p.shares, dtype=float) for r in rows])
-    weights, bias = fit_softmax(np.repeat(np.arange(len(rows)), sizes), cols, values, y, PAIRS, len(domains))
+    found = found.combine_chunks()
+    y = np.array([domains.index(c) for c in found["cls"].to_pylist()])
+    lists = found["codes"].chunk(0)
+    sizes = np.diff(lists.offsets.to_numpy())
+    cols, values = lists.flatten().to_numpy().astype(np.int64), found["shares"].chunk(0).flatten().to_numpy().astype(float)
+    del found, lists
+    weights, bias = fit_softmax(np.repeat(np.arange(len(sizes)), sizes), cols, values, y, PAIRS, len(domains))
     seen = np.bincount(y, minlength=len(domains)) > 0
     return DomainModel(tuple(domains), weights, np.where(seen, bias, -50.0))
 
