@@ -27,6 +27,7 @@ from flowquarry.session import scratch_path, settle
 
 RECORD_END = "\r\n\r\n"
 RECORDS_PER_FILE = 1_000
+RECORD_BYTES = 1 << 20  # files of larger records hold the fewer of them, so that none grows beyond what a reader takes
 MIN_BYTES = 0  # payloads of fewer bytes are always responses
 # Digits of the two base-32 notations.
 DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -40,10 +41,13 @@ def sha1_base32(payload: Column) -> Column:
 
 
 def revisits(pages: DataFrame, key: str = "page_id", payload: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(_key, _digest, refers_to) of the pages whose payload a page with a larger id has."""
+    """(_key, _digest, refers_to) of the pages whose payload a page with a larger id has.
+
+    Payloads are told apart by SHA-256, since different ones of the same length and SHA-1 are known.
+    """
     whole = F.coalesce(F.col(f"`{payload}`").cast("string"), F.lit(""))
     digests = pages.select(
-        F.col(f"`{key}`").cast("long").alias("_key"), sha1_base32(whole).alias("_digest"), F.octet_length(whole).alias("_bytes"))
+        F.col(f"`{key}`").cast("long").alias("_key"), F.sha2(whole, 256).alias("_digest"), F.octet_length(whole).alias("_bytes"))
     digests = settle(digests.filter(F.col("_bytes") >= min_bytes), "digests")
     last = digests.groupBy("_digest", "_bytes").agg(F.max("_key").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
     return settle(
@@ -57,7 +61,7 @@ def _header(value: Column) -> Column:
 
 
 def records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """One WARC record per page as text, without its end.
+    """(value, class): one WARC record per page as text, without its end, and the class of its size.
 
     A NULL payload is empty; a NULL url has no target line; a NULL key is written as ``none``. The capture time is
     derived from the key, as the pages have none. Pages that repeat key and payload are written each.
@@ -65,9 +69,9 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: s
     whole = F.coalesce(F.col(f"`{payload}`").cast("string"), F.lit(""))
     rows = pages.select(
         F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{url}`").cast("string").alias("url"), whole.alias("payload"),
-        sha1_base32(whole).alias("digest"), F.octet_length(whole).alias("bytes"))
+        sha1_base32(whole).alias("digest"), F.sha2(whole, 256).alias("identity"), F.octet_length(whole).alias("bytes"))
     again = revisits(pages, key, payload, min_bytes)
-    same = rows["key"].eqNullSafe(again["_key"]) & (rows["digest"] == again["_digest"])
+    same = rows["key"].eqNullSafe(again["_key"]) & (rows["identity"] == again["_digest"])
     rows = rows.join(again, same, "left")
     urn = lambda k: F.concat(F.lit("<urn:page:"), F.coalesce(k.cast("string"), F.lit("none")), F.lit(">"))
     is_revisit = F.col("refers_to").isNotNull()
@@ -83,12 +87,28 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: s
             F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "),
             urn(F.col("refers_to")))).otherwise(F.lit("")),
         F.lit("\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"))
-    return rows.select(F.concat(lines, block).alias("value"))
+    return rows.select(F.concat(lines, block).alias("value"), _size_class(F.col("payload")).alias("class"))
+
 
+def _size_class(payload: Column) -> Column:
+    """0 up to RECORD_BYTES, and one more for each doubling."""
+    size = F.greatest(F.octet_length(payload), F.lit(1)).cast("double")
+    return F.greatest(F.ceil(F.log2(size / RECORD_BYTES)), F.lit(0)).cast("int")
 
-def write_archive(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, **columns) -> None:
-    """Write the pages as WARC files of at most ``records_per_file`` records, which bounds what a reader holds."""
-    records(pages, **columns).write.option("lineSep", RECORD_END).option("maxRecordsPerFile", records_per_file).text(path)
+
+def write_archive(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, key: str = "page_id", url: str = "url",
+                  payload: str = "html") -> None:
+    """Write the pages as WARC files of at most ``records_per_file`` records and about as many MB, which bounds what a reader holds.
+
+    Pages are written by classes of size; ordinary ones need a single class.
+    """
+    column = F.coalesce(F.col(f"`{payload}`").cast("string"), F.lit(""))
+    classes = sorted(r[0] for r in pages.select(_size_class(column).alias("c")).distinct().collect()) or [0]  # about 30 at most
+    lines = records(pages, key, url, payload)
+    for c in classes:
+        own = lines if len(classes) == 1 else lines.filter(F.col("class") == c)
+        own.select("value").write.mode("append").option("lineSep", RECORD_END).option(
+            "maxRecordsPerFile", max(records_per_file >> c, 1)).text(path if c == 0 else f"{path}/large-{c}")
 
 
 def url_key(url: str) -> str:
@@ -145,7 +165,7 @@ def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
     """The captures of all files below ``path``; each file's are sorted and form a run."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
     return files.mapInArrow(_captures, CAPTURE)
 
 

@@ -5,6 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from flowquarry.llm import warc
 from flowquarry.llm.warc import archive_round_trip, capture_index, loser_tree, parse_records, read_captures, sha1_base32, url_key, write_archive
 
 PAGES = [
@@ -57,6 +58,16 @@ def test_files_are_plain_warc(spark, tmp_path):
     assert captures == index and len(index) == len(PAGES)
 
 
+def test_files_of_large_pages_hold_few(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RECORD_BYTES", 1_000)
+    rows = [(i, "http://a.example.com/", chr(97 + i % 26) * size) for i, size in enumerate([10] * 40 + [1_500] * 20 + [60_000] * 5 + [1_000, 0, 1_001])]
+    path = tmp_path / "archive"
+    write_archive(_pages(spark, rows), str(path), records_per_file=8)
+    assert max(f.stat().st_size for f in path.rglob("part-*")) < 8 * (1_000 + 600) + 60_000
+    found = capture_index(read_captures(spark, str(path))).collect()
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found) == _expected(rows)
+
+
 def test_empty_table(spark):
     assert archive_round_trip(_pages(spark, [])).collect() == []
 
