@@ -16,7 +16,7 @@ from flowquarry.llm.batches import keep
 WORD_END = "</w>"  # fixed value: how such a vocabulary marks the last token of a pre-token
 JOINED = 512  # words given to the library in one string
 CLOSING = (b",", b".")  # after a letter or digit, a lone one at the end of a word is a token of its own
-CACHE_ENTRIES = 500_000  # words a worker remembers; later new words are encoded each time they occur
+CACHE_ENTRIES = 750_000  # words a worker remembers; later new words are encoded each time they occur
 CACHE_WORD = 64  # bytes of the longest word that is remembered
 
 
