@@ -2,6 +2,9 @@
 
 A stage takes (spark, docs, sf_dir) and returns a table, which is written as Parquet and read again as the next
 stage's docs. ``run`` applies all of them to the documents.
+
+Every stage takes rows with NULL keys and texts, empty and very long texts, repeated rows, empty tables, and further
+columns of any name; what becomes of them is said at each.
 """
 
 from __future__ import annotations
@@ -22,28 +25,41 @@ WEIGHTS = {"en": 0.50, "de": 0.15, "fr": 0.15, "es": 0.12, "low": 0.08}
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not toxic. The model is fitted on the labelled documents among them."""
+    """Documents that are not toxic. The model is fitted on the labelled documents among them.
+
+    NULL and empty texts are never toxic. Repeated rows share their verdict; texts are read whole. Without labels of both
+    kinds nothing goes.
+    """
     return drop_toxic(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest doc_id."""
+    """One document of each group of near duplicates, the one with the smallest doc_id; of rows that repeat it, one.
+
+    Texts without words are duplicates of nothing and stay all. NULL keys come after all others.
+    """
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages."""
+    """Documents without benchmark passages. NULL and empty texts hold none; repeated rows share their verdict."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated so that the domains' tokens have the target weights; each stays at least once."""
+    """Documents repeated so that the domains' tokens have the target weights; each stays at least once.
+
+    Documents without tokens stay once. Repeated rows are repeated alike.
+    """
     model = fit_domains(docs, quality_domains(docs, table(spark, sf_dir, "labels")), F.col("domain"), list(WEIGHTS))
     return mix(docs, plan_mixture(docs, model, WEIGHTS, size=None, low=1.0))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token store's documents as read back: doc_id, start, n_tokens, ids_crc32."""
+    """The token store's documents as read back: doc_id, start, n_tokens, ids_crc32.
+
+    A NULL text has the end id only; NULL keys come first, rows of one key in the order of their texts.
+    """
     return store_digest(docs)
 
 
