@@ -224,7 +224,7 @@ def box_statistics(df: DataFrame, features: Sequence[str], flag: str = "is_attac
     fences = ((low[0] * 2.5 - high[2] * 1.5, high[0] * 2.5 - low[2] * 1.5), (low[2] * 2.5 - high[0] * 1.5, high[2] * 2.5 - low[0] * 1.5))
     brackets = brackets.select(
         *by, "n", F.concat("_low", F.array(*[f[0] for f in fences])).alias("_low"), F.concat("_high", F.array(*[f[1] for f in fences])).alias("_high"))
-    cells = settle(strata(long, brackets, by, "value"), "strata")
+    cells = settle(strata(long, brackets, by, "value", 5), "strata")
     found = cells.groupBy(*by, "n").agg(*[a for q in quartiles for a in quantile_at(q)])
     found = found.select(*by, "n", *[interpolated(q).alias(c) for q, c in zip(quartiles, ("q1", "median", "q3"))])
     reach = (F.col("q3") - F.col("q1")) * 1.5

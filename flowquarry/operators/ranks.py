@@ -7,12 +7,13 @@ table is ordered inside its cells only, and what lies before a cell follows from
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CELLS = 256
-ACCURACY = 10_000  # a sketch's ranks are off by at most 1 / ACCURACY of the rows
+ACCURACY = 2_000  # a sketch's ranks are off by at most 1 / ACCURACY of the rows
 SMALL_GROUP = 10_000  # rows up to which a group's values are all kept
 
 
@@ -64,7 +65,7 @@ def quantile_brackets(rows: DataFrame, by: Sequence[str], value: str, quantiles:
         F.when(small, wide(1)).otherwise(F.slice("_ends", k + 1, k)).alias("_high"))
 
 
-def strata(rows: DataFrame, brackets: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+def strata(rows: DataFrame, brackets: DataFrame, by: Sequence[str], value: str, n_brackets: int) -> DataFrame:
     """(by, n, least, most, rows, first, last): the values of a group in order, those inside a bracket one by one, those between as one row.
 
     ``least`` and ``most`` are the smallest and largest value of a row, ``first`` and ``last`` their ranks from 0.
@@ -72,8 +73,9 @@ def strata(rows: DataFrame, brackets: DataFrame, by: Sequence[str], value: str)
     what moves is the bracketed values.
     """
     held = rows.join(F.broadcast(brackets), list(by))
-    inside = F.exists(F.arrays_zip("_low", "_high"), lambda b: (F.col(value) >= b["_low"]) & (F.col(value) <= b["_high"]))
-    passed = F.aggregate("_high", F.lit(0), lambda n, high: n + F.when(F.col(value) > high, 1).otherwise(0))
+    ends = [(F.get("_low", F.lit(i)), F.get("_high", F.lit(i))) for i in range(n_brackets)]
+    inside = reduce(Column.__or__, [F.col(value).between(low, high) for low, high in ends])
+    passed = reduce(Column.__add__, [(F.col(value) > high).cast("int") for _, high in ends])
     # between two brackets, how many brackets lie below tells the stretch
     cells = held.groupBy(*by, "n", F.when(~inside, passed).alias("_passed"), F.when(inside, F.col(value)).alias("_value")).agg(
         F.min(value).alias("least"), F.max(value).alias("most"), F.count("*").alias("rows"))

@@ -24,7 +24,7 @@ def test_quantiles_equal_numpy(spark, monkeypatch, small_group):
     monkeypatch.setattr(ranks, "ACCURACY", 500)
     rows = table(spark, VALUES)
     brackets = ranks.quantile_brackets(rows, ["g"], "value", QUANTILES)
-    cells = ranks.strata(rows, brackets, ["g"], "value")
+    cells = ranks.strata(rows, brackets, ["g"], "value", 3)
     found = cells.groupBy("g", "n").agg(*[a for q in QUANTILES for a in ranks.quantile_at(q)])
     found = found.select("g", *[ranks.interpolated(q).alias(f"q{int(q * 100)}") for q in QUANTILES])
     got = {r["g"]: tuple(r)[1:] for r in found.collect()}
