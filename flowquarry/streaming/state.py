@@ -7,10 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CARRIED = ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone")
+#: Packs of rows pass between Spark and its Python workers; a batch is bounded by its bytes, and state is read a few elements at a time.
+BATCHES = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    "spark.sql.execution.arrow.transformWithStateInPySpark.maxStateRecordsPerBatch": "64",
+}
 
 
 def state_session(spark: SparkSession) -> SparkSession:
-    """Session on the same cluster whose streams keep state in RocksDB, which list state and timers need.
+    """Session on the same cluster whose streams keep state in RocksDB, which map state and timers need.
 
     The given session's settings stay as they are.
     """
@@ -19,7 +24,8 @@ def state_session(spark: SparkSession) -> SparkSession:
         value = spark.conf.get(name, None)
         if value is not None:
             session.conf.set(name, value)
-    session.conf.set(PROVIDER_CONF, ROCKSDB)
+    for name, value in {PROVIDER_CONF: ROCKSDB, **BATCHES}.items():
+        session.conf.set(name, value)
     return session
 
 

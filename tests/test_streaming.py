@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +70,46 @@ def test_steps_longer_than_windows(spark, tmp_path):
     assert as_set(got) == as_set(windows.count_windows(table, **settings)) and got.count() > 0
 
 
+def test_large_groups_wait_in_packs(spark, tmp_path):
+    """One group of many rows, in two files and mixed order, with NULLs; its state grows with packs, not with rows."""
+    session = state_session(spark)
+    whole = [(START + dt.timedelta(seconds=i), None if i % 7 == 0 and i > 20_000 else i, "s0", None if i % 5 == 0 else i / 4, None if i % 3 == 0 else "dos")
+             for i in range(20_500)]
+    random.Random(5).shuffle(whole)
+    for i in range(2):
+        write(spark, whole[i::2], tmp_path, f"batch{i}")
+    settings = {**SETTINGS, "order": ["ts"]}
+    got = count_windows.run_count_windows(
+        stream(session, tmp_path), str(tmp_path / "out"), str(tmp_path / "state"), watermark="10 minutes", ended=True, **settings)
+    assert read_state(session, str(tmp_path / "state"), "waiting").count() <= 11  # 600 rows of ten minutes wait
+    expected = windows.count_windows(spark.read.schema(SCHEMA).parquet(f"{tmp_path}/batch*"), **settings)
+    assert as_set(got) == as_set(expected) and got.count() == expected.count() == 10_248
+
+
+def test_rows_behind_placed_ones_are_dropped(spark, tmp_path):
+    session, settings = state_session(spark), dict(watermark="10 minutes", **SETTINGS)
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    write(spark, rows(0, 60, groups=1), tmp_path, "batch0")
+    count_windows.run_count_windows(stream(session, tmp_path), out, state, **settings)
+    late = [(START + dt.timedelta(seconds=30), 999, "s0", 1.0, "dos")]
+    write(spark, late + rows(60, 20, groups=1), tmp_path, "batch1")
+    got = count_windows.run_count_windows(stream(session, tmp_path), out, state, ended=True, **settings)
+    expected = windows.count_windows(spark.createDataFrame(rows(0, 80, groups=1), SCHEMA), **SETTINGS)
+    assert as_set(got) == as_set(expected) and got.count() == expected.count()
+
+
+def test_packs_keep_groups_and_windows_apart(monkeypatch):
+    monkeypatch.setattr(count_windows, "CUT_ROWS", 40)
+    given = pa.table({"a": ["x", None, "x", "y"] * 25, "b": [1, 1, 2, None] * 25, "_order_0": pa.array(range(100), pa.int64())})
+    packs = pa.Table.from_batches(count_windows._pack(2)(iter(given.to_batches(max_chunksize=30))))
+    found = {(r["a"], r["b"]): (r["_first"], count_windows._unpacked([r["_pack"]])["_order_0"].to_pylist()) for r in packs.to_pylist()}
+    assert found == {key: (i, list(range(i, 100, 4))) for i, key in enumerate([("x", 1), (None, 1), ("x", 2), ("y", None)])}
+    run = pa.table({"_x": [[float(i)] for i in range(103)], "_label": [str(i) for i in range(103)]})
+    runs = pa.record_batch({"g": ["a"], "_window": pa.array([7], pa.int64()), "_pack": [count_windows._packed(run)]})
+    cut = [r for batch in count_windows._cut(1, 10, 5, [])(iter([runs])) for r in batch.to_pylist()]
+    assert cut == [{"g": "a", "window_id": 7 + w, "x": [[float(i)] for i in range(5 * w, 5 * w + 10)], "label": str(5 * w + 9)} for w in range(19)]
+
+
 def test_a_session_without_rocksdb_is_refused(spark, tmp_path):
     write(spark, rows(0, 5), tmp_path, "batch0")
     with pytest.raises(ValueError, match="RocksDB"):
